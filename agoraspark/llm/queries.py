@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agoraspark.llm import bpe, mpeg_audio
+from agoraspark.llm import bpe, mpeg_audio, simhash
 from agoraspark.llm.common import table
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -22,8 +22,14 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_features(mpeg_audio.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op7_mpeg_audio": op7_mpeg_audio,
+    "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agoraspark.llm import bpe, mpeg_audio, simhash
+from agoraspark.llm import bpe, chunks, mpeg_audio, simhash
 from agoraspark.llm.common import table
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,11 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_features(mpeg_audio.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that repeat passages of earlier ones, with the spans to cut."""
+    return chunks.repeated_runs(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -30,6 +35,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op7_mpeg_audio": op7_mpeg_audio,
+    "op9_chunk_dedup": op9_chunk_dedup,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agoraspark.llm import bpe, chunks, mpeg_audio, simhash
+from agoraspark.llm import bpe, chunks, decontaminate, mpeg_audio, simhash, weak_quality
 from agoraspark.llm.common import table
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -17,11 +17,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path(RANKS_FILE), public_tokenizers.PATTERN, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every document as MPEG audio frames, read them back, and digest what was read."""
     return mpeg_audio.media_features(mpeg_audio.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a scorer trained on weak labels."""
+    return weak_quality.quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that repeat passages of earlier ones, with the spans to cut."""
     return chunks.repeated_runs(table(spark, sf_dir, "documents"))
@@ -34,7 +44,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_templates": op3_templates,
     "op7_mpeg_audio": op7_mpeg_audio,
+    "op8_weak_labels": op8_weak_labels,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_simhash": op10_simhash,
 }

@@ -7,6 +7,7 @@ offset between document and item) are counted, and a document holds an item if t
 and the slots agree: over the covered places, equal values of the item stand against equal values of the document and
 unequal against unequal, for MIN_CONSISTENCY of the distinct pairs. So a copy with other numbers and names is found, and
 texts of the same form by chance are not.
+Documents with words in capitals side by side, where names can't be told, are looked up by lower-case words as well.
 
 Null and empty texts, in either table, match nothing; items of fewer than 3 tokens are left out; items shorter than a
 window are one window of their own length. Repeated rows of a table count once.
@@ -25,6 +26,7 @@ MIN_CONSISTENCY = 0.8
 MIN_TOKENS = 3
 BROADCAST_WINDOWS = 200_000  # benchmark windows up to which they are broadcast (16 bytes each); beyond, both sides are shuffled
 
+CAPITALS = r"\p{Lu}{2}[^\p{L}]+\p{Lu}{2}"  # words in capitals side by side: names can't be told
 NUMBER = r"\p{N}+(?:[.,:]\p{N}+)*"
 UNITS = (
     "percent|mm|cm|m|km|inch|inches|foot|feet|yard|yards|mile|miles|mg|g|kg|gram|grams|kilogram|kilograms|ton|tons|ounce|ounces|pound|pounds|"
@@ -41,13 +43,14 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=\p{N})\s*%", " percent ")
 
 
-def template(text: Column) -> Column:
-    """The template tokens of a text: 0 for a number, 1 for a unit, 2 for a name, else a lower-case word."""
+def template(text: Column, names: bool = True) -> Column:
+    """The template tokens of a text: 0 for a number, 1 for a unit, 2 for a name (a word without names), else a lower-case word."""
     out = F.regexp_replace(_plain(text), rf"{NUMBER}(?:\s*(?i:{UNITS})(?![\p{{L}}\p{{M}}\p{{N}}]))?", " 0$0 ")
     # the number just marked is replaced, and what follows it up to the blank is its unit
     out = F.regexp_replace(out, rf" 0{NUMBER}(\s*\p{{L}}+) ", " 0 1 ")
     out = F.regexp_replace(out, rf" 0{NUMBER} ", " 0 ")
-    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{FUNCTION_WORDS})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}\p{{N}}])", "2")
+    if names:
+        out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{FUNCTION_WORDS})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}\p{{N}}])", "2")
     return F.filter(F.split(F.lower(out), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
 
@@ -56,16 +59,16 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(_plain(text), F.lit(rf"{NUMBER}|[\p{{L}}\p{{M}}]+"), 0)
 
 
-def _windows(tokens: Column, size: int) -> Column:
-    """Hash of each run of size tokens."""
+def _windows(tokens: Column, size: int, view: int) -> Column:
+    """Hash of each run of size tokens, apart for each view."""
     places = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(tokens, i, size)))
+    return F.transform(places, lambda i: F.xxhash64(F.lit(view), F.slice(tokens, i, size)))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
     """item_id, template, raw tokens, window size and number of windows."""
     rows = benchmark.select(F.col("item_id").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
-    rows = rows.select("item_id", template(F.col("text")).alias("item_template"), raw_tokens(F.col("text")).alias("item_raw")).filter(F.size("item_template") >= MIN_TOKENS)
+    rows = rows.select("item_id", template(F.col("text")).alias("item_template"), template(F.col("text"), False).alias("item_words"), raw_tokens(F.col("text")).alias("item_raw")).filter(F.size("item_template") >= MIN_TOKENS)
     size = F.least(F.size("item_template"), F.lit(WINDOW))
     return rows.withColumn("w", size).withColumn("n_windows", F.size("item_template") - F.col("w") + 1)
 
@@ -76,11 +79,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in items.select("w").distinct().collect())  # at most WINDOW values
     found = None
     for size in sizes:
-        own = items.filter(F.col("w") == size).select("item_id", F.posexplode(_windows(F.col("item_template"), size)).alias("item_at", "h"))
+        own = items.filter(F.col("w") == size).select("item_id", F.explode(F.array(_windows(F.col("item_template"), size, 1), _windows(F.col("item_words"), size, 2))).alias("v")).select("item_id", F.posexplode("v").alias("item_at", "h"))
         if own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
-        tokens = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), template(F.col("text")).alias("t"))
-        rows = tokens.select("doc_id", F.posexplode(_windows(F.col("t"), size)).alias("doc_at", "h"))
+        shown = F.when(F.col("text").rlike(CAPITALS), _windows(template(F.col("text"), False), size, 2)).otherwise(F.array().cast("array<bigint>"))
+        tokens = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _windows(template(F.col("text")), size, 1).alias("v"), shown.alias("v2"))
+        rows = tokens.select("doc_id", F.size("v").alias("n"), F.posexplode(F.concat("v", "v2")).alias("at", "h"))
+        rows = rows.select("doc_id", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("doc_at"), "h")
         hits = rows.join(own, "h").select("doc_id", "item_id", F.col("item_at"), (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:

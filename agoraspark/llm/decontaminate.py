@@ -82,9 +82,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = items.filter(F.col("w") == size).select("item_id", F.explode(F.array(_windows(F.col("item_template"), size, 1), _windows(F.col("item_words"), size, 2))).alias("v")).select("item_id", F.posexplode("v").alias("item_at", "h"))
         if own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
-        shown = F.when(F.col("text").rlike(CAPITALS), _windows(template(F.col("text"), False), size, 2)).otherwise(F.array().cast("array<bigint>"))
-        tokens = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _windows(template(F.col("text")), size, 1).alias("v"), shown.alias("v2"))
-        rows = tokens.select("doc_id", F.size("v").alias("n"), F.posexplode(F.concat("v", "v2")).alias("at", "h"))
+        words = F.when(F.col("text").rlike(CAPITALS), template(F.col("text"), False)).otherwise(F.array().cast("array<string>"))
+        tokens = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), template(F.col("text")).alias("t"), words.alias("t2"))
+        views = tokens.select("doc_id", _windows(F.col("t"), size, 1).alias("v"), _windows(F.col("t2"), size, 2).alias("v2"))
+        rows = views.select("doc_id", F.size("v").alias("n"), F.posexplode(F.concat("v", "v2")).alias("at", "h"))
         rows = rows.select("doc_id", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("doc_at"), "h")
         hits = rows.join(own, "h").select("doc_id", "item_id", F.col("item_at"), (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
         found = hits if found is None else found.unionByName(hits)

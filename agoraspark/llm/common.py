@@ -56,8 +56,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def crc_fold(doc_id: Column | str, folds: int) -> Column:
-    """crc32 of doc_id as text, modulo folds; null ids fall in fold 0 of an empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % F.lit(folds)
+    """crc32 of doc_id as text, modulo folds; a null id counts as an empty text."""
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % F.lit(folds)
 
 
 def unit_hash(*columns: Column | str) -> Column:
@@ -66,14 +67,12 @@ def unit_hash(*columns: Column | str) -> Column:
 
 
 def class_sample(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """About per_class rows of each label value, chosen by a hash of key; classes below that are kept whole.
+    """per_class rows of each label value in expectation, chosen by a hash of key; classes below that are kept whole.
 
-    The bound holds in expectation for each class, and exactly for all: at most 2 * per_class rows a class are returned in total.
+    All rows are counted, and each class gets a share of its own, so the bound is the same at every size.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    if not counts:
-        return rows.limit(0)
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
-    return rows.filter(unit_hash(F.lit("sample"), F.col(key)) < share).limit(2 * per_class * len(counts))
+    return rows.filter(unit_hash(F.lit("sample"), F.col(key)) < share)

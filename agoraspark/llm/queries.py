@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from agoraspark.llm import bpe, chunks, decontaminate, mpeg_audio, simhash, weak_quality
+from agoraspark.llm import bpe, chat, chunks, decontaminate, langid, mpeg_audio, simhash, toxicity, warc, weak_quality
 from agoraspark.llm.common import table
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that aren't held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document by the ranks of a public multilingual vocabulary."""
     docs = table(spark, sf_dir, "documents")
@@ -22,6 +28,34 @@ def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages to WARC archives and read them back."""
+    manifest, folder = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that aren't held out."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one that holds the template's marks, and digest what is read back."""
+    marks = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marks).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    read = chat.read_back(chat.formatted(chat.canonical_turns(chat.as_records(rows))).select("conv_id", "formatted", "mask"))
+    listed = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("read_turns").cast("long").alias("n_turns"),
+        F.sha2(listed.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every document as MPEG audio frames, read them back, and digest what was read."""
     return mpeg_audio.media_features(mpeg_audio.encode_media(table(spark, sf_dir, "documents")))
@@ -43,11 +77,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_templates": op3_templates,
+    "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
+    "op6_chat": op6_chat,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_weak_labels": op8_weak_labels,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN is_revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN is_revisit THEN keep END AS refers_to
+FROM (SELECT *, octet_length(encode(payload)) >= 1000 AND keep IS NOT NULL AND page_id IS DISTINCT FROM keep AS is_revisit
+      FROM (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages))""",
+    "op6_chat": r"""
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(regexp_replace(text, '(\\*)(\[/?INST\]|</?s>|<</?SYS>>|<<ROLE:|<</ROLE>>)', '\1\1\\\2', 'g')) + 2
+                + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 18 + length(url_encode(role)) END) + count(*) - 1 AS BIGINT) AS formatted_chars
+FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+GROUP BY conv_id""",
+}

@@ -21,7 +21,7 @@ from agoraspark.llm import textvec
 from agoraspark.llm.common import unit_hash
 
 BITS = 14
-SAMPLE_ROWS = 6000  # documents that the scorer is trained on, at most twice as many
+SAMPLE_ROWS = 6000  # documents that the scorer is trained on, in expectation
 ROUNDS = 40
 LABELLERS = ("symbols", "capitals", "variety", "doubling", "loose_marks", "word_length", "short_words", "endings", "heavy_punctuation")
 GOOD, BAD, NONE = 1, 0, 2
@@ -192,9 +192,9 @@ def quality_scores(docs: DataFrame) -> DataFrame:
     patterns = [(r[0], r[1]) for r in voted.groupBy("votes").count().collect()]
     posterior, _, _ = fit_labellers(sorted(patterns))
     share = min(1.0, SAMPLE_ROWS / max(1, sum(c for _, c in patterns)))
-    chosen = docs.filter(unit_hash("doc_id") < share).limit(2 * SAMPLE_ROWS)
+    chosen = docs.filter(unit_hash("doc_id") < share)
     rows, targets = [], []
-    for r in _featured(chosen).toLocalIterator():
+    for r in sorted(_featured(chosen).collect(), key=lambda r: (r["place"], r["at"])):
         rows.append((np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(float)))
         targets.append(posterior.get(r["votes"], 0.5))
     w, bias = fit_scorer(rows, np.array(targets))
@@ -222,15 +222,15 @@ def _featured(docs: DataFrame) -> DataFrame:
         shapes = shape_map()
         for batch in batches:
             found, at_all, x_all = [], [], []
-            for block in textvec.blocks(batch.column(0).to_pylist()):
+            for block in textvec.blocks(batch.column(1).to_pylist()):
                 m = measures(block)
                 found += ["".join(map(str, row)) for row in votes(m).tolist()]
                 for at, x in features(block, m, shapes):
                     at_all.append(at.tobytes())
                     x_all.append(x.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(at_all, pa.binary()), pa.array(x_all, pa.binary())], ["votes", "at", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(at_all, pa.binary()), pa.array(x_all, pa.binary())], ["place", "votes", "at", "x"])
 
-    return docs.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").mapInArrow(run, "votes string, at binary, x binary")
+    return docs.select(F.xxhash64("doc_id").alias("place"), "text").mapInArrow(run, "place long, votes string, at binary, x binary")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

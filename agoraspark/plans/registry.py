@@ -7,13 +7,13 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-THEMES = ("events",)
+THEMES = ("events", "aggregates")
 
 
 def _all(attribute: str) -> dict:
     out: dict = {}
-    for theme in THEMES:
-        found = getattr(import_module(f"agoraspark.plans.{theme}"), attribute)
+    for name in THEMES:
+        found = getattr(import_module(f"agoraspark.plans.{name}").theme, attribute)
         if clash := out.keys() & found.keys():
             raise ValueError(f"registered twice: {sorted(clash)}")
         out |= found
@@ -21,8 +21,8 @@ def _all(attribute: str) -> dict:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _all("QUERIES")
+    return _all("queries")
 
 
 def oracle_sql() -> dict[str, str]:
-    return _all("ORACLE_SQL")
+    return _all("sql")

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MAX_STATES = 250_000
+MAX_STATES = 400_000
 MAX_PAIRS = 500_000
 MAX_PIECES = 300_000
 LONGEST_KEPT = 48
@@ -158,16 +158,22 @@ class Transducer:
         if len(self.states) > MAX_STATES:
             self.reset()
         moves, state, ends = self.moves, self.start, []
-        for byte in piece:
-            step = moves.get(state | byte)
-            if step is None:
+        push, rest = ends.append, iter(piece)
+        while True:
+            try:
+                for byte in rest:
+                    state, last = moves[state | byte]
+                    push(last)
+                break
+            except KeyError:  # a move that wasn't made yet; the state is still the one before it
+                byte = piece[len(ends)]
                 step = moves[state | byte] = self.move(state, byte)
                 if len(self.states) > 2 * MAX_STATES:  # within one very long piece
                     keep = self.states[step[0] >> 8]
                     self.reset()
                     moves, step = self.moves, (self.intern(keep), step[1])
-            state = step[0]
-            ends.append(step[1])
+                state = step[0]
+                push(step[1])
         out, at, sizes = [], len(ends), self.sizes
         while at:
             token = ends[at - 1]
@@ -184,6 +190,7 @@ class Codec:
         self.machine = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text."""
@@ -192,10 +199,13 @@ class Codec:
         for piece in self.split(text or ""):
             ids = known.get(piece)
             if ids is None:
-                ids = machine.encode_piece(piece.encode("utf-8", "surrogatepass"))
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = machine.encode_piece(piece.encode("utf-8", "surrogatepass"))
                 if len(piece) <= LONGEST_KEPT:
-                    if len(known) >= MAX_PIECES:
-                        known.clear()
+                    if len(known) >= MAX_PIECES:  # those that were met since the last time stay within reach
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[piece] = ids
             out += ids
         return out

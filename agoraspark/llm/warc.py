@@ -186,7 +186,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll_bytes: int
     place = shard_of(F.coalesce("page_id", F.lit(least)))
     noted = notes.select(place.alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "keep")
     bodies = rows.select(place.alias("shard"), "page_id", F.sha1("payload").alias("digest"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("keep"))
-    dealt = bodies.unionByName(noted).repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    dealt = bodies.unionByName(noted).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, note = _Writer(folder, roll_bytes), (None, None, None)
@@ -265,4 +265,5 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, RECORD_SCHEMA)
+    # a given number, since adaptive execution would put the few small rows that name the files into one task
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(run, RECORD_SCHEMA)

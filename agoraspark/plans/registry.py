@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-THEMES = ("events", "aggregates", "joins", "windows", "ledgers", "vectors", "search")
+THEMES = ("events", "aggregates", "joins", "windows", "ledgers", "vectors", "search", "incremental")
 
 
 def _all(attribute: str) -> dict:

@@ -1 +1 @@
-"""."""
+"""Structured Streaming: views without near repeats, outboxes, presence."""

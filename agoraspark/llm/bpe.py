@@ -15,6 +15,7 @@ Null texts count as empty: no ids, and the digest of nothing. Repeated rows give
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -23,9 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MAX_STATES = 400_000
-MAX_PAIRS = 500_000
-MAX_PIECES = 300_000
+MAX_STATES = 200_000
+MAX_PAIRS = 300_000
+MAX_PIECES = 150_000
 LONGEST_KEPT = 48
 DECODE_BLOCK = 8192
 NEVER = 1 << 60
@@ -189,8 +190,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.machine = Transducer(ranks)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text."""
@@ -201,7 +202,7 @@ class Codec:
             if ids is None:
                 ids = self.older.get(piece)
                 if ids is None:
-                    ids = machine.encode_piece(piece.encode("utf-8", "surrogatepass"))
+                    ids = tuple(machine.encode_piece(piece.encode("utf-8", "surrogatepass")))
                 if len(piece) <= LONGEST_KEPT:
                     if len(known) >= MAX_PIECES:  # those that were met since the last time stay within reach
                         self.older, self.known = known, {}
@@ -252,7 +253,9 @@ class Utf8Stream:
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
     """A worker's codec, kept between batches and tasks."""
-    return Codec(read_ranks(path), pattern)
+    made = Codec(read_ranks(path), pattern)
+    gc.freeze()  # the trie stays, so the collector needn't walk it again and again
+    return made
 
 
 ENCODED_SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string, n_chars_decoded long"

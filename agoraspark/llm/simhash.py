@@ -23,7 +23,7 @@ from agoraspark.llm.components import connected_components
 
 SEED = 42
 BLOCK_LIMIT = 1 << 16  # rows of one block value beyond which it is dealt again
-PAIRS_AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1 << 15  # node pairs that are split at a time; about four times as many wait at each of the trie's levels
 ROWS_AT_ONCE = 1 << 17
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -122,9 +122,8 @@ def trie_links(keys: np.ndarray, starts: np.ndarray, width: int, radius: int, cl
     while stack:
         depth, a, a2, b, b2, errors = stack.pop()
         if len(a) > PAIRS_AT_ONCE:
-            half = len(a) // 2
-            stack.append((depth, a[half:], a2[half:], b[half:], b2[half:], errors[half:]))
-            a, a2, b, b2, errors = a[:half], a2[:half], b[:half], b2[:half], errors[:half]
+            stack.append((depth, *(v[PAIRS_AT_ONCE:] for v in (a, a2, b, b2, errors))))
+            a, a2, b, b2, errors = (v[:PAIRS_AT_ONCE] for v in (a, a2, b, b2, errors))
         single = ((a2 - a == 1) & (b2 - b == 1)) | (depth == width)
         if single.any():
             x, y, many = a[single], b[single], (a2 - a)[single] * (b2 - b)[single] > 1

@@ -1,7 +1,7 @@
 """Vectorised text features for Arrow batches: code points, words and n-gram hashes of many texts at once.
 
 Texts are laid end to end with two separators after each, so that a window of up to three code points never
-reaches into the next text. A block holds about a million code points (or one longer text), which bounds memory.
+reaches into the next text. A block holds about 260,000 code points (or one longer text), which bounds memory.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 SEPARATOR = 0x20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -113,7 +113,7 @@ def words(block: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     inside = codes != SEPARATOR
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     begin, end = edge[0::2], edge[1::2]
-    size = 1 << max(20, int(len(codes)).bit_length())
+    size = 1 << max(19, int(len(codes)).bit_length())
     power, inverse = _powers(size)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(codes) + 1, np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def idempotent(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -29,7 +29,7 @@ def guarded(entries: DataFrame, key: str, delta: str, order: list[str]) -> DataF
     Entries of a key are streamed in their order; only the running balance is held.
     """
     names = entries.columns
-    schema = StructType(entries.schema.fields).add("granted", BooleanType()).add("balance", LongType())
+    schema = StructType([*entries.schema.fields, StructField("granted", BooleanType()), StructField("balance", LongType())])
     dealt = entries.repartition(key).sortWithinPartitions(key, *order)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def accepted_rows(rows: DataFrame, keys: list[str], seconds: str, order: str, gap: float | None = None, cap: int | None = None, span: float | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def accepted_rows(rows: DataFrame, keys: list[str], seconds: str, order: str, ga
     if (gap is None) == (cap is None):
         raise ValueError("either gap or cap with span")
     names = rows.columns
-    schema = StructType(rows.schema.fields).add("accepted", BooleanType())
+    schema = StructType([*rows.schema.fields, StructField("accepted", BooleanType())])
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, seconds, order)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,9 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MAX_STATES = 200_000
+MAX_STATES = 320_000
 MAX_PAIRS = 300_000
-MAX_PIECES = 150_000
+MAX_PIECES = 200_000
 LONGEST_KEPT = 48
 DECODE_BLOCK = 8192
 NEVER = 1 << 60

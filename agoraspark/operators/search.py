@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,19 +11,15 @@ from pyspark.sql import functions as F
 from agoraspark.functions.text import words
 
 
-def _same(term: str) -> Callable[[Column], Column]:
-    return lambda w: F.when(w == term, 1)
-
-
 def bm25(docs: DataFrame, id_: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """id, matched (how many of the terms) and score of every document that holds a term.
 
     Only the occurrences of the asked terms are counted, per document and without a shuffle; the document frequencies
     and the mean length are sums over all documents that combine before the shuffle, and come back as one row.
     """
-    found = words(F.col(text))
-    counts = [F.size(F.array_compact(F.transform(found, _same(t)))) for t in terms]
-    rows = docs.select(F.col(id_), F.size(found).alias("length"), F.array(*counts).alias("tf"))
+    low, edge = F.lower(text), r"[\p{L}\p{N}]"
+    counts = [F.regexp_count(low, F.lit(rf"(?<!{edge}){re.escape(t)}(?!{edge})")) for t in terms]
+    rows = docs.select(F.col(id_), F.regexp_count(text, F.lit(f"{edge}+")).alias("length"), F.array(*counts).alias("tf"))
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))))
     met = rows.filter(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(totals))  # one row
 

@@ -1,10 +1,10 @@
 """Benchmark decontamination by templates, with DataFrame functions only.
 
-Numbers, units after a number and names (capitalised words that aren't function words) become typed placeholders; what
+Numbers, units after a number and names (runs of capitalised words that aren't function words) become typed placeholders; what
 is left is lower-cased and cut at everything that is no letter or digit. Every window of WINDOW template tokens of
-every document is hash-joined with the windows of the benchmark items. Matches that lie on one diagonal (the same
-offset between document and item) are counted, and a document holds an item if they cover MIN_COVERAGE of its windows
-and the slots agree: over the covered places, equal values of the item stand against equal values of the document and
+every document is hash-joined with the windows of the benchmark items. Matches whose diagonals (offsets between document
+and item) lie within DRIFT of each other are taken together, so words put in or left out do no harm, and a document holds
+an item if they cover MIN_COVERAGE of its tokens and the slots agree: over the covered places, equal values of the item stand against equal values of the document and
 unequal against unequal, for MIN_CONSISTENCY of the distinct pairs. So a copy with other numbers and names is found, and
 texts of the same form by chance are not.
 Documents with words in capitals side by side, where names can't be told, are looked up by lower-case words as well.
@@ -15,7 +15,7 @@ window are one window of their own length. Repeated rows of a table count once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agoraspark.llm.common import stored
@@ -24,6 +24,7 @@ WINDOW = 8
 MIN_COVERAGE = 0.5
 MIN_CONSISTENCY = 0.8
 MIN_TOKENS = 3
+DRIFT = 8  # tokens by which the matches of one copy may be shifted against each other, by words put in or left out
 BROADCAST_WINDOWS = 200_000  # benchmark windows up to which they are broadcast (16 bytes each); beyond, both sides are shuffled
 
 CAPITALS = r"\p{Lu}{2}[^\p{L}]+\p{Lu}{2}"  # words in capitals side by side: names can't be told
@@ -39,24 +40,40 @@ FUNCTION_WORDS = (
 )
 
 
+WORD_NAME = rf"(?<![\p{{L}}\p{{M}}\p{{N}}\uE001])(?!(?:{FUNCTION_WORDS})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}\p{{N}}])"
+NAMES = rf"{WORD_NAME}(?:[\s\-]+{WORD_NAME})*"  # words of a name side by side are one
+UNIT, NAME, END = "\uE001", "\uE002", "\uE003"  # mark raw tokens; of private use
+
+
 def _plain(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=\p{N})\s*%", " percent ")
 
 
-def template(text: Column, names: bool = True) -> Column:
-    """The template tokens of a text: 0 for a number, 1 for a unit, 2 for a name (a word without names), else a lower-case word."""
+def _numbered(text: Column, raw: bool) -> Column:
+    """The text with numbers and the units after them as 0 and 1, or (raw) as they are, apart and with UNIT before a unit."""
     out = F.regexp_replace(_plain(text), rf"{NUMBER}(?:\s*(?i:{UNITS})(?![\p{{L}}\p{{M}}\p{{N}}]))?", " 0$0 ")
     # the number just marked is replaced, and what follows it up to the blank is its unit
-    out = F.regexp_replace(out, rf" 0{NUMBER}(\s*\p{{L}}+) ", " 0 1 ")
-    out = F.regexp_replace(out, rf" 0{NUMBER} ", " 0 ")
-    if names:
-        out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{FUNCTION_WORDS})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}\p{{N}}])", "2")
-    return F.filter(F.split(F.lower(out), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
+    out = F.regexp_replace(out, rf" 0({NUMBER})\s*(\p{{L}}+) ", f" $1 {UNIT}$2 " if raw else " 0 1 ")
+    return F.regexp_replace(out, rf" 0({NUMBER}) ", " $1 " if raw else " 0 ")
+
 
+def _split(marked: Column) -> Column:
+    return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
-def raw_tokens(text: Column) -> Column:
-    """The tokens that template() canonicalises, place by place."""
-    return F.regexp_extract_all(_plain(text), F.lit(rf"{NUMBER}|[\p{{L}}\p{{M}}]+"), 0)
+
+def template(text: Column, names: bool = True) -> Column:
+    """The template tokens of a text: 0 for a number, 1 for a unit, 2 for a name of one or more words (a word each without names), else a lower-case word."""
+    out = _numbered(text, False)
+    return _split(F.regexp_replace(out, NAMES, "2") if names else out)
+
+
+def raw_tokens(text: Column, names: bool = True) -> Column:
+    """The tokens that template() canonicalises, in lower case, place by place."""
+    out = _numbered(F.translate(text, UNIT + NAME + END, "   "), True)
+    if names:
+        out = F.regexp_replace(out, NAMES, f"{NAME}$0{END}")
+    found = F.regexp_extract_all(out, F.lit(rf"{NAME}[^{END}]+{END}|{NUMBER}|[\p{{L}}\p{{M}}]+"), 0)
+    return F.transform(found, lambda t: F.lower(F.translate(t, NAME + END, "")))
 
 
 def _windows(tokens: Column, size: int, view: int) -> Column:
@@ -66,11 +83,11 @@ def _windows(tokens: Column, size: int, view: int) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, template, raw tokens, window size and number of windows."""
+    """item_id, view (1 with names, 2 without), template, raw tokens and window size."""
     rows = benchmark.select(F.col("item_id").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
-    rows = rows.select("item_id", template(F.col("text")).alias("item_template"), template(F.col("text"), False).alias("item_words"), raw_tokens(F.col("text")).alias("item_raw")).filter(F.size("item_template") >= MIN_TOKENS)
-    size = F.least(F.size("item_template"), F.lit(WINDOW))
-    return rows.withColumn("w", size).withColumn("n_windows", F.size("item_template") - F.col("w") + 1)
+    views = [F.struct(F.lit(v).alias("view"), template(F.col("text"), v == 1).alias("item_template"), raw_tokens(F.col("text"), v == 1).alias("item_raw")) for v in (1, 2)]
+    rows = rows.select("item_id", F.explode(F.array(*views)).alias("p")).select("item_id", "p.*").filter(F.size("item_template") >= MIN_TOKENS)
+    return rows.withColumn("w", F.least(F.size("item_template"), F.lit(WINDOW)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -79,7 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in items.select("w").distinct().collect())  # at most WINDOW values
     found = None
     for size in sizes:
-        own = items.filter(F.col("w") == size).select("item_id", F.explode(F.array(_windows(F.col("item_template"), size, 1), _windows(F.col("item_words"), size, 2))).alias("v")).select("item_id", F.posexplode("v").alias("item_at", "h"))
+        own = items.filter(F.col("w") == size).select("item_id", "view", F.posexplode(F.when(F.col("view") == 1, _windows(F.col("item_template"), size, 1)).otherwise(_windows(F.col("item_template"), size, 2))).alias("item_at", "h"))
         if own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
         words = F.when(F.col("text").rlike(CAPITALS), template(F.col("text"), False)).otherwise(F.array().cast("array<string>"))
@@ -87,34 +104,52 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         views = tokens.select("doc_id", _windows(F.col("t"), size, 1).alias("v"), _windows(F.col("t2"), size, 2).alias("v2"))
         rows = views.select("doc_id", F.size("v").alias("n"), F.posexplode(F.concat("v", "v2")).alias("at", "h"))
         rows = rows.select("doc_id", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("doc_at"), "h")
-        hits = rows.join(own, "h").select("doc_id", "item_id", F.col("item_at"), (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+        hits = rows.join(own, "h").select("doc_id", "item_id", "view", F.col("item_at"), (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, item_at int, diagonal int")
-    lines = found.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("item_at").alias("places"))
-    held = lines.join(items, "item_id").withColumn("coverage", F.size("places") / F.col("n_windows")).filter(F.col("coverage") >= MIN_COVERAGE)
-    held = stored(held.select("doc_id", "item_id", "diagonal", "places", "w", "coverage", "item_template", "item_raw"), "held")
+        found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, view int, item_at int, diagonal int")
+    lines = found.groupBy("doc_id", "item_id", "view", "diagonal").agg(F.collect_set("item_at").alias("places"))
+    # each diagonal with those that lie within DRIFT of it
+    near = Window.partitionBy("doc_id", "item_id", "view").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
+    held = lines.withColumn("lines", F.collect_list(F.struct("diagonal", "places")).over(near)).join(items, ["item_id", "view"])
+    # for every place of the item the diagonal of a matched window that covers it, the nearest if there are several, else null
+    at = F.transform(
+        F.sequence(F.lit(0), F.size("item_template") - 1),
+        lambda p: F.array_min(
+            F.transform(
+                F.filter("lines", lambda s: F.exists(s["places"], lambda q: (q <= p) & (p < q + F.col("w")))),
+                lambda s: F.struct(F.abs(s["diagonal"] - F.col("diagonal")).alias("drift"), s["diagonal"].alias("diagonal")),
+            )
+        )["diagonal"],
+    )
+    held = held.withColumn("at", at).withColumn("coverage", F.size(F.filter("at", lambda d: d.isNotNull())) / F.size("at")).filter(F.col("coverage") >= MIN_COVERAGE)
+    held = stored(held.select("doc_id", "item_id", "view", "at", "coverage", "item_template", "item_raw"), "held")
     ids = held.select(F.col("doc_id").alias("held_doc")).distinct()
-    raw = docs.join(ids, docs["doc_id"] == ids["held_doc"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), raw_tokens(F.col("text")).alias("doc_raw")).distinct()
+    raw = docs.join(ids, docs["doc_id"] == ids["held_doc"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text").distinct()
+    raw = raw.select("doc_id", F.explode(F.array(*[F.struct(F.lit(v).alias("view"), raw_tokens(F.col("text"), v == 1).alias("doc_raw")) for v in (1, 2)])).alias("p")).select("doc_id", "p.*")
     # places of the item that a matched window covers and that are slots, each with the value on either side
     slots = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.size("item_raw") - 1),
             lambda p: F.struct(
                 F.get("item_template", p).alias("kind"),
-                F.lower(F.get("item_raw", p)).alias("theirs"),
-                F.lower(F.get("doc_raw", p + F.col("diagonal"))).alias("ours"),
-                F.exists("places", lambda q: (q <= p) & (p < q + F.col("w"))).alias("covered"),
+                F.get("item_raw", p).alias("theirs"),
+                F.get("doc_raw", p + F.get("at", p)).alias("ours"),
+                F.get("at", p).isNotNull().alias("covered"),
             ),
         ),
         lambda s: s["covered"] & s["kind"].isin("0", "1", "2"),
     )
-    rows = held.join(raw, "doc_id").withColumn("pairs", F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["theirs"], s["ours"]))))
+    rows = held.join(raw, ["doc_id", "view"]).withColumn("pairs", F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["theirs"], s["ours"]))))
     theirs = F.size(F.array_distinct(F.transform("pairs", lambda s: F.struct(s["kind"], s["theirs"]))))
     ours = F.size(F.array_distinct(F.transform("pairs", lambda s: F.struct(s["kind"], s["ours"]))))
     share = F.when(F.size("pairs") == 0, F.lit(1.0)).otherwise(F.least(theirs, ours) / F.size("pairs"))
     rows = rows.withColumn("slot_consistency", share).filter(F.col("slot_consistency") >= MIN_CONSISTENCY)
-    best = F.max(F.struct("coverage", "slot_consistency", F.size("pairs").cast("long").alias("n_slots"), F.col("diagonal").cast("long").alias("at_token"))).alias("best")
+    # where the copy begins, in words: a name of several words before it counts by its words
+    start = F.get(F.filter("at", lambda d: d.isNotNull()), F.lit(0))
+    words = F.aggregate(F.slice("doc_raw", 1, F.greatest(start, F.lit(0))), F.lit(0), lambda n, t: n + F.size(F.split(t, r"[\s\-]+")))
+    rows = rows.withColumn("at_token", F.when(start < 0, start).otherwise(words).cast("long"))
+    best = F.max(F.struct("coverage", "slot_consistency", F.size("pairs").cast("long").alias("n_slots"), "at_token")).alias("best")
     return rows.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 

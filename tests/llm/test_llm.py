@@ -72,6 +72,25 @@ def test_templates(spark, odd, empty):
     assert decontaminate.drop_contaminated(odd, bench).count() == odd.count()
 
 
+def test_templates_of_edited_copies(spark):
+    item = "Maria buys 12 apples for 30 cents each and sells 7 apples to Peter before the 3 trains leave the old station with Maria"
+    copies = {
+        "names of more words": "Mary Ann buys 15 apples for 40 cents each and sells 9 apples to Van Dyke before the 4 trains leave the old station with Mary Ann",
+        "a word put in": item.replace("sells 7", "quickly sells 7"),
+        "a word left out": item.replace(" each", ""),
+        "a word changed": item.replace(" sells ", " gives "),
+    }
+    clean = "Maria buys 12 apples for 30 cents each and nothing more is told of that day by anyone who was there to see it"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = spark.createDataFrame([(i, f"Some words are here. {c}. More words follow.") for i, c in enumerate([*copies.values(), clean])], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in decontaminate.contaminated(texts, bench).collect()}
+    assert set(rows) == set(range(len(copies))) and {r["at_token"] for r in rows.values()} <= {3, 4}
+    odd_text = "On 12 Miles Davis and Mary-Ann Abc12 paid 3,50 or 7 % to J. Van Dyke"
+    one = spark.range(1).select(decontaminate.template(F.lit(odd_text)).alias("t"), decontaminate.raw_tokens(F.lit(odd_text)).alias("r")).first()
+    assert list(zip(one["t"], one["r"], strict=True))[:5] == [("on", "on"), ("0", "12"), ("1", "miles"), ("2", "davis"), ("and", "and")]
+    assert ("2", "van dyke") in zip(one["t"], one["r"], strict=True)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "equal payload " * 200
     rows = [(i, f"http://x/{i}", f"<p>page {i}</p>" * (i % 50)) for i in range(200)] + [(900, "http://a", big), (901, None, big), (902, "http://b\r\nX: y", big), (902, "http://b\r\nX: y", big), (903, "u", None), (None, "n", big), (904, "s", "tiny"), (905, "s", "tiny")]

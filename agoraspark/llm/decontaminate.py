@@ -7,7 +7,8 @@ and item) lie within DRIFT of each other are taken together, so words put in or
 an item if they cover MIN_COVERAGE of its tokens and the slots agree: over the covered places, equal values of the item stand against equal values of the document and
 unequal against unequal, for MIN_CONSISTENCY of the distinct pairs. So a copy with other numbers and names is found, and
 texts of the same form by chance are not.
-Documents with words in capitals side by side, where names can't be told, are looked up by lower-case words as well.
+Every document is looked up by lower-case words without names as well, since names can't be told in a copy in capitals or
+in lower case; of such a copy with other names only what lies between the names is compared.
 
 Null and empty texts, in either table, match nothing; items of fewer than 3 tokens are left out; items shorter than a
 window are one window of their own length. Repeated rows of a table count once.
@@ -27,7 +28,6 @@ MIN_TOKENS = 3
 DRIFT = 8  # tokens by which the matches of one copy may be shifted against each other, by words put in or left out
 BROADCAST_WINDOWS = 200_000  # benchmark windows up to which they are broadcast (16 bytes each); beyond, both sides are shuffled
 
-CAPITALS = r"\p{Lu}{2}[^\p{L}]+\p{Lu}{2}"  # words in capitals side by side: names can't be told
 NUMBER = r"\p{N}+(?:[.,:]\p{N}+)*"
 UNITS = (
     "percent|mm|cm|m|km|inch|inches|foot|feet|yard|yards|mile|miles|mg|g|kg|gram|grams|kilogram|kilograms|ton|tons|ounce|ounces|pound|pounds|"
@@ -61,10 +61,14 @@ def _split(marked: Column) -> Column:
     return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
 
+def _named(marked: Column) -> Column:
+    return _split(F.regexp_replace(marked, NAMES, "2"))
+
+
 def template(text: Column, names: bool = True) -> Column:
     """The template tokens of a text: 0 for a number, 1 for a unit, 2 for a name of one or more words (a word each without names), else a lower-case word."""
     out = _numbered(text, False)
-    return _split(F.regexp_replace(out, NAMES, "2") if names else out)
+    return _named(out) if names else _split(out)
 
 
 def raw_tokens(text: Column, names: bool = True) -> Column:
@@ -76,10 +80,26 @@ def raw_tokens(text: Column, names: bool = True) -> Column:
     return F.transform(found, lambda t: F.lower(F.translate(t, NAME + END, "")))
 
 
-def _windows(tokens: Column, size: int, view: int) -> Column:
-    """Hash of each run of size tokens, apart for each view."""
-    places = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.lit(view), F.slice(tokens, i, size)))
+def _windows(rows: DataFrame, name: str, size: int, view: Column) -> DataFrame:
+    """Replace the tokens of a column by the hash of each run of size tokens, apart for each view.
+
+    Hashes of 1, 2, 4, ... tokens are put together, so a run costs a few hashes of numbers instead of size hashes of words.
+    """
+
+    def joined(a: str, b: str, shift: int) -> Column:
+        n = F.greatest(F.size(b) - shift, F.lit(0))
+        return F.zip_with(F.slice(a, 1, n), F.slice(b, shift + 1, n), lambda x, y: F.xxhash64(x, y))
+
+    rows = rows.withColumn(name, F.transform(name, lambda t: F.xxhash64(view, t))).withColumnRenamed(name, "power")
+    have, width = 0, 1
+    while True:
+        if size & width:
+            rows = rows.withColumn(name, joined(name, "power", have) if have else F.col("power"))
+            have += width
+        if have == size:
+            return rows.drop("power")
+        rows = rows.withColumn("power", joined("power", "power", width))
+        width *= 2
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -96,12 +116,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in items.select("w").distinct().collect())  # at most WINDOW values
     found = None
     for size in sizes:
-        own = items.filter(F.col("w") == size).select("item_id", "view", F.posexplode(F.when(F.col("view") == 1, _windows(F.col("item_template"), size, 1)).otherwise(_windows(F.col("item_template"), size, 2))).alias("item_at", "h"))
+        own = _windows(items.filter(F.col("w") == size).select("item_id", "view", "item_template"), "item_template", size, F.col("view"))
+        own = own.select("item_id", "view", F.posexplode("item_template").alias("item_at", "h"))
         if own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
-        words = F.when(F.col("text").rlike(CAPITALS), template(F.col("text"), False)).otherwise(F.array().cast("array<string>"))
-        tokens = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), template(F.col("text")).alias("t"), words.alias("t2"))
-        views = tokens.select("doc_id", _windows(F.col("t"), size, 1).alias("v"), _windows(F.col("t2"), size, 2).alias("v2"))
+        numbered = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _numbered(F.col("text"), False).alias("marked"))
+        views = numbered.select("doc_id", _named(F.col("marked")).alias("v"), _split(F.col("marked")).alias("v2"))
+        views = _windows(_windows(views, "v", size, F.lit(1)), "v2", size, F.lit(2))
         rows = views.select("doc_id", F.size("v").alias("n"), F.posexplode(F.concat("v", "v2")).alias("at", "h"))
         rows = rows.select("doc_id", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("doc_at"), "h")
         hits = rows.join(own, "h").select("doc_id", "item_id", "view", F.col("item_at"), (F.col("doc_at") - F.col("item_at")).alias("diagonal"))

@@ -91,6 +91,13 @@ def test_templates_of_edited_copies(spark):
     assert ("2", "van dyke") in zip(one["t"], one["r"], strict=True)
 
 
+def test_templates_whatever_the_case(spark):
+    item = "Maria and Peter met Anna in Rome before Oliver, Paula and Hugo took 3 trains. Later Maria paid 12 euros to Hugo in Paris"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = spark.createDataFrame([(1, f"Some words. {item.lower()}. More words."), (2, item.upper()), (3, item), (4, item.lower().replace("rome", "oslo"))], "doc_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(texts, bench).collect()} == {1, 2, 3, 4}
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "equal payload " * 200
     rows = [(i, f"http://x/{i}", f"<p>page {i}</p>" * (i % 50)) for i in range(200)] + [(900, "http://a", big), (901, None, big), (902, "http://b\r\nX: y", big), (902, "http://b\r\nX: y", big), (903, "u", None), (None, "n", big), (904, "s", "tiny"), (905, "s", "tiny")]

@@ -66,8 +66,8 @@ def unit_hash(*columns: Column | str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def class_sample(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """per_class rows of each label value in expectation, chosen by a hash of key; classes below that are kept whole.
+def class_sample(rows: DataFrame, label: str, key: str | list[str], per_class: int) -> DataFrame:
+    """per_class rows of each label value in expectation, chosen by a hash of key (one or more columns); classes below that are kept whole.
 
     All rows are counted, and each class gets a share of its own, so the bound is the same at every size.
     """
@@ -75,4 +75,4 @@ def class_sample(rows: DataFrame, label: str, key: str, per_class: int) -> DataF
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
-    return rows.filter(unit_hash(F.lit("sample"), F.col(key)) < share)
+    return rows.filter(unit_hash(F.lit("sample"), *([key] if isinstance(key, str) else key)) < share)

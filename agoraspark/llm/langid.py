@@ -172,7 +172,9 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict | None:
     if not n_docs:
         return None
     idf = np.log((1 + n_docs) / (1 + df)) + 0.1
-    sampled = sorted(_sampled(class_sample(known, "lang", "doc_id", per_lang)).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["at"]))
+    # by id and text, so that rows of one id or of none are drawn apart; repeated rows count once
+    chosen = class_sample(known.select("doc_id", "text", "lang"), "lang", ["doc_id", "text"], per_lang).distinct()
+    sampled = sorted(_sampled(chosen).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["at"]))
     sampled = [r for r in sampled if r["at"]]
     langs = sorted({r["lang"] for r in sampled})
     rows, target = [], np.array([langs.index(r["lang"]) for r in sampled], int)

@@ -185,6 +185,14 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ep
     return w, bias
 
 
+def training_sample(docs: DataFrame, share: float) -> DataFrame:
+    """doc_id and text of a share of docs, by a hash of both, so that rows of one id or of none are drawn apart.
+
+    Repeated rows count once, so a row that fills much of the table is one row of the sample at most.
+    """
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter(unit_hash("doc_id", "text") < share).distinct()
+
+
 def quality_scores(docs: DataFrame) -> DataFrame:
     """doc_id, posterior (of good, by the labellers), score (of the trained scorer), keep (score of 0.5 or more), for every row."""
     spark = docs.sparkSession
@@ -192,7 +200,7 @@ def quality_scores(docs: DataFrame) -> DataFrame:
     patterns = [(r[0], r[1]) for r in voted.groupBy("votes").count().collect()]
     posterior, _, _ = fit_labellers(sorted(patterns))
     share = min(1.0, SAMPLE_ROWS / max(1, sum(c for _, c in patterns)))
-    chosen = docs.filter(unit_hash("doc_id") < share)
+    chosen = training_sample(docs, share)
     rows, targets = [], []
     for r in sorted(_featured(chosen).collect(), key=lambda r: (r["place"], r["at"])):
         rows.append((np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(float)))

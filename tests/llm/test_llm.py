@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from agoraspark.llm import bpe, chat, chunks, decontaminate, langid, mpeg_audio, queries, simhash, toxicity, warc, weak_quality
+from agoraspark.llm.common import class_sample
 from agoraspark.llm.components import connected_components
 
 DATA = "/root/testdata/sf0.001"
@@ -197,6 +198,17 @@ def test_weak_quality(spark, docs, odd, empty):
     assert weak_quality.quality_scores(empty).count() == 0
 
 
+def test_samples_of_skewed_ids(spark):
+    n = 3000
+    # a third has no id, a third one id with one text, a third one id with many texts
+    rows = [(None if i % 3 == 0 else i % 3, "the same" if i % 3 == 1 else f"text {i}", "en") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r["doc_id"] for r in weak_quality.training_sample(df, 0.1).collect()]
+    assert 50 < got.count(None) < 160 and 50 < got.count(2) < 160 and got.count(1) <= 1
+    sampled = [r["doc_id"] for r in class_sample(df, "lang", ["doc_id", "text"], n // 10).distinct().collect()]
+    assert 50 < sampled.count(None) < 160 and 50 < sampled.count(2) < 160 and sampled.count(1) <= 1
+
+
 def test_chunks(spark, odd, empty):
     rng = np.random.default_rng(0)
     say = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))

@@ -325,7 +325,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     A fingerprint of 256 bits estimates the similarity; pairs are candidates if one of its eight parts of 32 bits differs
     in 3 bits at most (found by the trie self-join), and are linked if all of it differs in NEAR_TOTAL bits at most. At a
-    similarity of exactly 0.8 a pair is a candidate with probability 0.9, at 0.85 with 0.98. Null texts count as empty.
+    similarity of exactly 0.8 a pair is a candidate with probability 0.9, at 0.85 with 0.98; NEAR_TOTAL then drops more, and
+    no exact similarity confirms a link. Null texts count as empty.
     """
     prints = stored(fingerprints(docs, NEAR_SHINGLE, NEAR_LANES), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"), "prints")

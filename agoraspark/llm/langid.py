@@ -6,8 +6,11 @@ The regression is trained with follow-the-regularised-leader (proximal, one step
 penalties on a bounded sample, SAMPLE_PER_LANG documents of each language in expectation; a fifth of it is held back
 and sets the softmax temperature.
 
-Null texts and texts without a letter get `und` and score 0, and so does every text if there is nothing to learn from.
-Repeated rows get equal results; other columns are ignored.
+A prediction depends on the model and the text alone, not on the texts next to it; so equal texts and repeated rows get
+equal results in any partitioning. Null texts and texts without a letter get `und` and score 0, and so does every text if
+there is nothing to learn from. Of languages of equal probability the first by name is taken. Whole texts are read however
+long; a text longer than a block is a block of its own. A null doc_id is no hindrance. An empty table gives an empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoraspark.llm import textvec
-from agoraspark.llm.common import class_sample, crc_fold
+from agoraspark.llm.common import class_share, crc_fold, stored
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -60,11 +63,11 @@ def gram_counts(block: textvec.Block) -> Iterator[tuple[np.ndarray, np.ndarray]]
         h[~use] = -1
         found.append(h)
     for i in range(block.n):
-        a, b = block.starts[i], block.starts[i + 1]
+        a, b = block.window_range(i, 1)
         if not letter[a:b].any():
             yield np.zeros(0, np.int32), np.zeros(0)
             continue
-        own = np.concatenate([h[a:b] for h in found])
+        own = np.concatenate([h[slice(*block.window_range(i, order))] for order, h in zip(ORDERS, found, strict=True)])
         own = own[own >= 0]
         if len(own) < 4000:
             at, n = np.unique(own, return_counts=True)
@@ -82,42 +85,39 @@ def tf_idf(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / size if size else x
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many texts of docs each bucket occurs, and how many texts have letters.
+FITTED_SCHEMA = "bucket int, n long, doc_id long, lang string, at binary, counts binary"
 
-    Each task sends one count per bucket; these are summed by bucket, so 2**BITS rows reach the driver.
+
+def _frequencies_and_sample(docs: DataFrame) -> DataFrame:
+    """One pass over docs (doc_id, lang, text, chosen): how many texts of a task hold each bucket, and the grams of chosen rows.
+
+    Rows with a bucket are counts (the bucket after the last counts texts with letters); those without are chosen texts,
+    each kind of which a task gives once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((1 << BITS) + 1, np.int64)
+        counts, given = np.zeros((1 << BITS) + 1, np.int64), set()
+        schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
-            for block in textvec.blocks(batch.column(0).to_pylist()):
-                for at, _ in gram_counts(block):
+            ids, langs, chosen = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            rows = []
+            for block in textvec.blocks(batch.column(2).to_pylist()):
+                for i, (at, n) in enumerate(gram_counts(block), block.first):
                     counts[at] += 1
                     counts[-1] += len(at) > 0
+                    if not chosen[i] or not len(at):
+                        continue
+                    row = (ids[i], langs[i], at.tobytes(), n.astype(np.float32).tobytes())
+                    if row not in given:
+                        given.add(row)
+                        rows.append((None, None, *row))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros((1 << BITS) + 1, np.int64)
-    for bucket, n in rows:
-        out[bucket] = n
-    return out[:-1], int(out[-1])
-
+        none = [pa.nulls(len(used), f.type) for f in list(schema)[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used]), *none], schema=schema)
 
-def _sampled(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, langs = batch.column(0), batch.column(1)
-            first = 0
-            for block in textvec.blocks(batch.column(2).to_pylist()):
-                grams = list(gram_counts(block))
-                at = pa.array([a.tobytes() for a, _ in grams], pa.binary())
-                n = pa.array([c.astype(np.float32).tobytes() for _, c in grams], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(first, block.n), langs.slice(first, block.n), at, n], ["doc_id", "lang", "at", "n"])
-                first += block.n
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, "doc_id long, lang string, at binary, n binary")
+    return docs.select("doc_id", "lang", "text", "chosen").mapInArrow(run, FITTED_SCHEMA)
 
 
 def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,15 +167,19 @@ def fit_temperature(logits: np.ndarray, target: np.ndarray) -> float:
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict | None:
     """The model learned from text and lang of docs; None if no row has a language and letters."""
-    known = docs.filter("lang is not null and text is not null")
-    df, n_docs = document_frequencies(known)
+    known = docs.filter("lang is not null and text is not null").select(docs["doc_id"].cast("long").alias("doc_id"), "lang", "text")
+    # by id and text, so that rows of one id or of none are drawn apart; repeated rows count once
+    marked = known.withColumn("chosen", class_share(known, "lang", ["doc_id", "text"], per_lang))
+    passed = stored(_frequencies_and_sample(marked), "langid-fit")
+    df = np.zeros((1 << BITS) + 1, np.int64)
+    for bucket, n in passed.filter("bucket is not null").groupBy("bucket").agg(F.sum("n")).collect():
+        df[bucket] = n
+    n_docs, df = int(df[-1]), df[:-1]
     if not n_docs:
         return None
     idf = np.log((1 + n_docs) / (1 + df)) + 0.1
-    # by id and text, so that rows of one id or of none are drawn apart; repeated rows count once
-    chosen = class_sample(known.select("doc_id", "text", "lang"), "lang", ["doc_id", "text"], per_lang).distinct()
-    sampled = sorted(_sampled(chosen).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["at"]))
-    sampled = [r for r in sampled if r["at"]]
+    chosen = passed.filter("bucket is null").select("doc_id", "lang", "at", F.col("counts").alias("n")).distinct()
+    sampled = sorted(chosen.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["at"]))
     langs = sorted({r["lang"] for r in sampled})
     rows, target = [], np.array([langs.index(r["lang"]) for r in sampled], int)
     for r in sampled:

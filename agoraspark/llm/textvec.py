@@ -1,7 +1,8 @@
 """Vectorised text features for Arrow batches: code points, words and n-gram hashes of many texts at once.
 
-Texts are laid end to end with two separators after each, so that a window of up to three code points never
-reaches into the next text. A block holds about 260,000 code points (or one longer text), which bounds memory.
+Texts are laid end to end with a separator before and LONGEST after each. The range of a text holds all of these, and the
+windows that belong to it (window_range) end within it, so what is computed for a text depends on that text alone,
+whatever stands next to it. A block holds about 260,000 code points (or one longer text), which bounds memory.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ import numpy as np
 
 BLOCK_CHARS = 1 << 18
 SEPARATOR = 0x20
+LONGEST = 4  # code points of the longest window
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 @dataclass
 class Block:
-    """Code points of texts [first, first + n) and where each begins; starts has n + 1 entries."""
+    """Code points of texts [first, first + n) and where the range of each begins; starts has n + 1 entries."""
 
     first: int
     codes: np.ndarray
@@ -29,6 +31,10 @@ class Block:
     def n(self) -> int:
         return len(self.starts) - 1
 
+    def window_range(self, i: int, order: int) -> tuple[int, int]:
+        """First and past-last place at which windows of order code points begin that lie within text i and its separators."""
+        return int(self.starts[i]), int(self.starts[i + 1]) - order + 1
+
 
 def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[Block]:
     """Cut a list of texts into blocks; null counts as the empty text."""
@@ -39,8 +45,9 @@ def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[Block]
             chars += len(texts[stop] or "")
             stop += 1
         part = [t or "" for t in texts[first:stop]]
-        lengths = np.fromiter((len(t) + 2 for t in part), np.int64, len(part))
-        joined = "".join(f"{t}  " for t in part)
+        lengths = np.fromiter((len(t) + 1 + LONGEST for t in part), np.int64, len(part))
+        tail = " " * LONGEST
+        joined = "".join(f" {t}{tail}" for t in part)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         yield Block(first, codes, np.concatenate([[0], np.cumsum(lengths)]))
         first = stop

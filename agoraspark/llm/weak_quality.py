@@ -5,20 +5,25 @@ at most 3**9 patterns, however many documents), and a two-class latent model is
 and, for each labeller, how often it votes what on either class. Posteriors of the patterns label a bounded sample
 of documents (SAMPLE_ROWS), on which a linear scorer over hashed character shapes is trained; it scores every document.
 
-Null and empty texts, and texts without a letter or digit, score 0 and are not kept. Repeated rows give equal scores.
+A score depends on the model and the text alone, not on the texts next to it; so equal texts and repeated rows get equal
+scores in any partitioning. Null and empty texts, and texts without a letter or digit, score 0 and are not kept. Texts are
+read whole however long. Rows of a null doc_id are scored, sampled and kept like others. Patterns on which the classes tie
+have a posterior of one half; a score of exactly one half is kept. Without rows nothing is learned and nothing is returned.
+Other columns are ignored by the scores and stay as they are in keep_good, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoraspark.llm import textvec
-from agoraspark.llm.common import unit_hash
+from agoraspark.llm.common import stored, unit_hash
 
 BITS = 14
 SAMPLE_ROWS = 6000  # documents that the scorer is trained on, in expectation
@@ -97,6 +102,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
     return np.column_stack(columns)
 
 
+@lru_cache(1)
 def shape_map() -> np.ndarray:
     """Code points of the basic plane by shape: letters a or A, digits 0, white space as a space, others as they are."""
     out = np.arange(1 << 16, dtype=np.uint32)
@@ -113,18 +119,17 @@ def shape_map() -> np.ndarray:
     return out
 
 
-def features(block: textvec.Block, m: dict[str, np.ndarray], shapes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(block: textvec.Block, m: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashed features of each text: relative frequencies of shape n-grams (2 and 4), and measures in steps."""
-    codes = textvec.mapped(block.codes, shapes)
-    grams = [textvec.gram_hashes(codes, order, BITS) for order in (2, 4)]
+    codes = textvec.mapped(block.codes, shape_map())
+    grams = [(order, textvec.gram_hashes(codes, order, BITS)) for order in (2, 4)]
     words = np.maximum(m["words"], 1)
     steps = [
         np.minimum(20, (20 * m[a] / np.maximum(m[b], 1)).astype(int)) for a, b in (("marks", "visible"), ("upper", "inner"), ("twice", "words"), ("alone", "words"), ("heavy", "words"), ("short", "words"))
     ] + [np.minimum(20, (20 * m["distinct"] / words / np.minimum(1, 12 / np.sqrt(words))).astype(int))]
     counts = np.zeros(1 << BITS)
     for i in range(block.n):
-        a, b = block.starts[i], block.starts[i + 1]
-        own = np.concatenate([g[a:b] for g in grams])
+        own = np.concatenate([g[slice(*block.window_range(i, order))] for order, g in grams])
         counts[:] = 0
         np.add.at(counts, own, 1.0 / len(own)) if len(own) < 2000 else counts.__iadd__(np.bincount(own, minlength=1 << BITS) / len(own))
         for k, step in enumerate(steps):
@@ -133,17 +138,45 @@ def features(block: textvec.Block, m: dict[str, np.ndarray], shapes: np.ndarray)
         yield at.astype(np.int32), np.sqrt(counts[at])
 
 
-def with_votes(docs: DataFrame) -> DataFrame:
-    """doc_id and votes, one digit per labeller, of every row."""
+FITTED_SCHEMA = "votes string, n long, place long, at binary, x binary"
+
+
+def _votes_and_sample(docs: DataFrame) -> DataFrame:
+    """One pass over docs (place, text, chosen): how many texts of a task have each pattern of votes, and the chosen texts.
+
+    Rows with n are counts; the others are features of chosen texts, of which a task gives each kind once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("votes", pa.string()), ("n", pa.int64()), ("place", pa.int64()), ("at", pa.binary()), ("x", pa.binary())])
+        tally: dict[str, int] = {}
+        given = set()
         for batch in batches:
-            found = []
+            places, chosen = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            rows = []
             for block in textvec.blocks(batch.column(1).to_pylist()):
-                found += ["".join(map(str, row)) for row in votes(measures(block)).tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "votes"])
+                m = measures(block)
+                found = patterns_of(m)
+                for v in found:
+                    tally[v] = tally.get(v, 0) + 1
+                if not any(chosen[block.first : block.first + block.n]):
+                    continue
+                for i, (at, x) in enumerate(features(block, m)):
+                    row = (found[i], None, places[block.first + i], at.tobytes(), x.astype(np.float32).tobytes())
+                    if chosen[block.first + i] and row not in given:
+                        given.add(row)
+                        rows.append(row)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        none = [pa.nulls(len(tally), f.type) for f in list(schema)[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64()), *none], schema=schema)
+
+    return docs.select("place", "text", "chosen").mapInArrow(run, FITTED_SCHEMA)
+
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, votes string")
+def patterns_of(m: dict[str, np.ndarray]) -> list[str]:
+    """The votes of each text, one digit per labeller."""
+    return ["".join(map(str, row)) for row in votes(m).tolist()]
 
 
 def fit_labellers(patterns: list[tuple[str, int]]) -> tuple[dict[str, float], np.ndarray, float]:
@@ -185,66 +218,74 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ep
     return w, bias
 
 
-def training_sample(docs: DataFrame, share: float) -> DataFrame:
-    """doc_id and text of a share of docs, by a hash of both, so that rows of one id or of none are drawn apart.
+def in_sample(docs: DataFrame, share: float) -> Column:
+    """Whether a row is drawn: by a hash of id and text, so that rows of one id or of none are drawn apart.
 
-    Repeated rows count once, so a row that fills much of the table is one row of the sample at most.
+    Repeated rows count once in the sample, so a row that fills much of the table is one row of it at most.
     """
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter(unit_hash("doc_id", "text") < share).distinct()
+    return unit_hash(docs["doc_id"].cast("long"), docs["text"]) < share
 
 
-def quality_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, posterior (of good, by the labellers), score (of the trained scorer), keep (score of 0.5 or more), for every row."""
-    spark = docs.sparkSession
-    voted = with_votes(docs)
-    patterns = [(r[0], r[1]) for r in voted.groupBy("votes").count().collect()]
+def fit(docs: DataFrame) -> tuple[np.ndarray, float, dict[str, float]]:
+    """Weights and bias of the scorer, and the posterior of good by pattern of votes. docs is counted, then read once."""
+    total = docs.count()
+    marked = docs.select(F.xxhash64(docs["doc_id"].cast("long")).alias("place"), docs["text"].alias("text"), in_sample(docs, min(1.0, SAMPLE_ROWS / max(1, total))).alias("chosen"))
+    passed = stored(_votes_and_sample(marked), "quality-fit")
+    patterns = [(r[0], r[1]) for r in passed.filter("n is not null").groupBy("votes").agg(F.sum("n")).collect()]  # at most 3**9
     posterior, _, _ = fit_labellers(sorted(patterns))
-    share = min(1.0, SAMPLE_ROWS / max(1, sum(c for _, c in patterns)))
-    chosen = training_sample(docs, share)
     rows, targets = [], []
-    for r in sorted(_featured(chosen).collect(), key=lambda r: (r["place"], r["at"])):
+    chosen = passed.filter("n is null").select("votes", "place", "at", "x").distinct()
+    for r in sorted(chosen.collect(), key=lambda r: (r["place"], r["at"], r["x"])):
         rows.append((np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(float)))
         targets.append(posterior.get(r["votes"], 0.5))
-    w, bias = fit_scorer(rows, np.array(targets))
-    model = spark.sparkContext.broadcast((w, bias, posterior))  # 2**14 weights, at most 3**9 patterns
+    return *fit_scorer(rows, np.array(targets)), posterior
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, offset, post = model.value
-        shapes = shape_map()
-        for batch in batches:
-            scores, posts = [], []
-            for block in textvec.blocks(batch.column(1).to_pylist()):
-                m = measures(block)
-                posts += [post.get("".join(map(str, row)), 0.5) for row in votes(m).tolist()]
-                for i, (at, x) in enumerate(features(block, m, shapes)):
-                    z = offset + weights[at] @ x
-                    scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if m["words"][i] else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(posts, pa.float64()), pa.array(scores, pa.float64())], ["doc_id", "posterior", "score"])
 
-    scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, posterior double, score double")
-    return scored.withColumn("keep", F.col("score") >= 0.5)
+def quality_scores(docs: DataFrame) -> DataFrame:
+    """doc_id, posterior (of good, by the labellers), score (of the trained scorer), keep (score of 0.5 or more), for every row."""
+    return _scored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), fit(docs)).withColumn("keep", F.col("score") >= 0.5)
+
+
+def _score(texts: list[str | None], model: tuple[np.ndarray, float, dict[str, float]]) -> tuple[list[float], list[float]]:
+    """Posteriors and scores of texts."""
+    weights, offset, post = model
+    scores, posts = [], []
+    for block in textvec.blocks(texts):
+        m = measures(block)
+        posts += [post.get(v, 0.5) for v in patterns_of(m)]
+        for i, (at, x) in enumerate(features(block, m)):
+            z = offset + weights[at] @ x
+            scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if m["words"][i] else 0.0)
+    return posts, scores
 
 
-def _featured(docs: DataFrame) -> DataFrame:
+def quality_scores(docs: DataFrame) -> DataFrame:
+    """doc_id, posterior (of good, by the labellers), score (of the trained scorer), keep (score of 0.5 or more), for every row."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))  # 2**14 weights, at most 3**9 patterns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = shape_map()
         for batch in batches:
-            found, at_all, x_all = [], [], []
-            for block in textvec.blocks(batch.column(1).to_pylist()):
-                m = measures(block)
-                found += ["".join(map(str, row)) for row in votes(m).tolist()]
-                for at, x in features(block, m, shapes):
-                    at_all.append(at.tobytes())
-                    x_all.append(x.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(at_all, pa.binary()), pa.array(x_all, pa.binary())], ["place", "votes", "at", "x"])
+            posts, scores = _score(batch.column(1).to_pylist(), model.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(posts, pa.float64()), pa.array(scores, pa.float64())], ["doc_id", "posterior", "score"])
 
-    return docs.select(F.xxhash64("doc_id").alias("place"), "text").mapInArrow(run, "place long, votes string, at binary, x binary")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    return rows.mapInArrow(run, "doc_id long, posterior double, score double").withColumn("keep", F.col("score") >= 0.5)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the scorer keeps, all columns.
+    """The rows of docs that the scorer keeps, all columns as they are.
 
-    The decision is joined by doc_id; rows that repeat a doc_id are kept if the best of them is.
+    Rows pass the scorer whole and are dropped there, so nothing is joined or shuffled, and every row is decided by its own
+    text, whatever its id.
     """
-    kept = quality_scores(docs).groupBy("doc_id").agg(F.max("score").alias("score")).filter("score >= 0.5").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                _, scores = _score(part.column(place).to_pylist(), model.value)
+                yield part.filter(pa.array([x >= 0.5 for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

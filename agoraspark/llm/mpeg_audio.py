@@ -1,10 +1,15 @@
 """MPEG audio media columns: frames written from a payload, and a reader for streams in the wild.
 
-The reader skips tags, resynchronises on frame headers, reads variable-bitrate tables, verifies checksums, and gives
-exact durations and the byte offset of every frame. The writer stores a payload losslessly as the main data of
-Layer III frames; the number of payload bytes stands in an ID3v2 tag.
-
-Null texts count as empty; an empty text is one block of 64 zero bytes. Repeated rows give repeated, equal results.
+The reader skips tags, resynchronises on frame headers, reads variable-bitrate tables, verifies the checksums of all three
+layers, and gives exact durations and the byte offset of every frame, from which it seeks. Tags are read only outside the
+chain of frames: an ID3v2 tag at the start, an ID3v1 tag where the last frame ends 128 bytes before the end; what looks
+like a tag or a header within a frame is its data. The writer stores a payload losslessly as the main data of Layer III
+frames; the number of payload bytes stands in an ID3v2 tag.
+
+Null texts count as empty; an empty text is one block of 64 zero bytes. Repeated rows and equal texts give equal results.
+Texts are stored whole however long (a text of n bytes needs about 2 n in its task). A null doc_id stays null. An empty
+table gives an empty result. Other columns are ignored, whatever their names. Of the frames that follow a lost header the
+first with a second one of its kind behind it counts, so a tie between two chains goes to the earlier.
 """
 
 from __future__ import annotations
@@ -46,6 +51,7 @@ class Header:
     rate: int
     padding: int
     channels: int
+    bound: int = 32  # first subband of joint coding, Layers I and II
 
     @property
     def samples(self) -> int:
@@ -75,20 +81,62 @@ def decode_header(word: bytes) -> Header | None:
     index, rate = word[2] >> 4, word[2] >> 2 & 3
     if version == 1 or layer == 4 or index in (0, 15) or rate == 3:
         return None
-    return Header(version, layer, not word[1] & 1, BITRATES[version == 3, layer][index], RATES[version][rate], word[2] >> 1 & 1, 1 if word[3] >> 6 == 3 else 2)
+    return Header(version, layer, not word[1] & 1, BITRATES[version == 3, layer][index], RATES[version][rate], word[2] >> 1 & 1, 1 if word[3] >> 6 == 3 else 2, 4 + 4 * (word[3] >> 4 & 3) if word[3] >> 6 == 1 else 32)
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """The checksum of protected frames: polynomial 0x8005 from all ones, most significant bit first."""
-    value = 0xFFFF
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of protected frames over the first bits (all) of data: polynomial 0x8005 from all ones, most significant bit first."""
+    value, left = 0xFFFF, 8 * len(data) if bits is None else bits
     for byte in data:
-        value ^= byte << 8
-        for _ in range(8):
-            value = (value << 1 ^ 0x8005) & 0xFFFF if value & 0x8000 else value << 1 & 0xFFFF
+        for k in range(7, 7 - min(8, left), -1):
+            top = value >> 15 ^ byte >> k & 1
+            value = (value << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+        left -= 8
+        if left <= 0:
+            break
     return value
 
 
+# Fixed values of the standard, Layer II: (subbands, bits of the allocation field) from the lowest subband, by table.
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low rates": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def allocation_fields(head: Header) -> list[int]:
+    """Bits of the allocation field of each subband of a Layer II frame."""
+    each = head.kbps // head.channels
+    if head.version != 3:
+        name = "low rates"
+    elif each <= 48:
+        name = "d" if head.rate == 32000 else "c"
+    else:
+        name = "a" if head.rate == 48000 or each <= 80 else "b"
+    return [width for n, width in ALLOCATIONS[name] for _ in range(n)]
+
+
+def protected_bits(head: Header, body: bytes) -> int:
+    """How many bits after a frame's checksum it covers: side information, or allocations and (Layer II) which scale factors follow."""
+    if head.layer == 3:
+        return 8 * head.side
+    if head.layer == 1:
+        bound = min(head.bound, 32) if head.channels == 2 else 0
+        return 4 * (bound * 2 + 32 - bound)
+    value, size, at, used = int.from_bytes(body[:64], "big"), 8 * len(body[:64]), 0, 0
+    fields = allocation_fields(head)
+    for band, width in enumerate(fields):
+        shared = head.channels == 1 or band >= head.bound
+        for _ in range(1 if shared else 2):
+            used += (value >> max(0, size - at - width) & (1 << width) - 1 > 0) * (head.channels if shared else 1)
+            at += width
+    return at + 2 * used
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
@@ -183,22 +231,21 @@ def _read_id3(data: bytes, tags: dict[str, str]) -> int:
 
 
 def read_stream(data: bytes) -> Stream:
-    """Parse a stream. Bytes that belong to no frame are counted as skipped.
+    """Parse a stream. Bytes that belong to no frame or tag are counted as skipped.
 
-    A header counts if the next frame's header follows it with the same version, layer and rate, or if the data end there.
+    A header counts if the next frame's header follows it with the same version, layer and rate, or if the data or all but
+    an ID3v1 tag end there.
     """
     out = Stream()
     at, end = _read_id3(data, out.tags), len(data)
-    if data[-128:-125] == b"TAG":
-        end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
+    last = end - 128 if data[-128:-125] == b"TAG" else end  # where a chain of frames may end besides the end
     known = None
     while at + 4 <= end:
         head = decode_header(data[at : at + 4])
         stop = at + head.length if head else 0
         if head and known and (head.version, head.layer, head.rate) != known:
             head = None
-        if head and stop != end:
+        if head and stop not in (end, last):
             after = decode_header(data[stop : stop + 4]) if stop + 4 <= end else None
             if after is None or (after.version, after.layer, after.rate) != (head.version, head.layer, head.rate):
                 head = None
@@ -210,26 +257,38 @@ def read_stream(data: bytes) -> Stream:
             continue
         known = (head.version, head.layer, head.rate)
         body = at + 4 + 2 * head.protected
-        if head.protected and head.layer == 3:
+        if head.protected:
+            bits = protected_bits(head, data[body : body + 64])
+            held = data[at + 2 : at + 4] + data[body : body + (bits + 7) // 8]
             out.checked += 1
-            out.bad_checksums += crc16(data[at + 2 : at + 4] + data[body : body + head.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            out.bad_checksums += crc16(held, 16 + bits) != int.from_bytes(data[at + 4 : at + 6], "big")
         mark = body + head.side
         if not out.frames and out.vbr is None and data[mark : mark + 4] in (b"Xing", b"Info"):
-            flags, n, size = struct.unpack(">III", data[mark + 4 : mark + 16])
-            out.vbr = {"frames": n if flags & 1 else -1, "bytes": size if flags & 2 else -1}
-            out.toc = data[mark + 16 : mark + 116] if flags & 4 else b""
+            out.vbr, out.toc = _xing_table(data[mark : mark + 116])
         elif not out.frames and out.vbr is None and data[at + 36 : at + 40] == b"VBRI":
-            size, n = struct.unpack(">II", data[at + 46 : at + 54])
+            size, n = struct.unpack(">II", data[at + 46 : at + 54].ljust(8, b"\0"))
             out.vbr = {"frames": n, "bytes": size}
         else:
             out.frames.append(at)
             out.headers.append(head)
             out.samples += head.samples
         at = stop
+        if at == last < end:
+            out.tags.setdefault("TIT2", data[last + 3 : last + 33].rstrip(b"\0 ").decode("latin-1"))
+            return out
     out.skipped += max(0, end - at)
     return out
 
 
+def _xing_table(raw: bytes) -> tuple[dict[str, int], bytes]:
+    """Frames, bytes (-1 where not given) and seek table of a Xing or Info table; its fields stand one after another as far as flagged."""
+    flags, at, found = int.from_bytes(raw[4:8], "big"), 8, {}
+    for bit, name in ((1, "frames"), (2, "bytes")):
+        found[name] = int.from_bytes(raw[at : at + 4], "big") if flags & bit else -1
+        at += 4 if flags & bit else 0
+    return found, raw[at : at + 100] if flags & 4 else b""
+
+
 def payload_of(data: bytes, stream: Stream) -> bytes:
     """The payload that write_stream stored."""
     parts = [data[at + 4 + 2 * h.protected + h.side : at + h.length] for at, h in zip(stream.frames, stream.headers, strict=True)]
@@ -250,7 +309,7 @@ def feature(stream: Stream) -> str:
 
 
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms double, bad_checksums long"
+DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms double, bad_checksums long, seek_offsets array<long>"
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -267,7 +326,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Read stored streams (doc_id, n_bytes, media) and digest what they hold."""
+    """Read stored streams (doc_id, n_bytes, media): digests, features, and the byte offset of every frame to seek by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,8 +336,8 @@ def media_features(media: DataFrame) -> DataFrame:
                     data = value.as_py()
                     stream = read_stream(data)
                     body = payload_of(data, stream)
-                    rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream), len(stream.frames), stream.seconds * 1000, stream.bad_checksums))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64()]
+                    rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream), len(stream.frames), stream.seconds * 1000, stream.bad_checksums, stream.frames))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], DIGEST_NAMES)
 

@@ -1,17 +1,25 @@
 """Benchmark decontamination by templates, with DataFrame functions only.
 
-Numbers, units after a number and names (runs of capitalised words that aren't function words) become typed placeholders; what
-is left is lower-cased and cut at everything that is no letter or digit. Every window of WINDOW template tokens of
-every document is hash-joined with the windows of the benchmark items. Matches whose diagonals (offsets between document
-and item) lie within DRIFT of each other are taken together, so words put in or left out do no harm, and a document holds
-an item if they cover MIN_COVERAGE of its tokens and the slots agree: over the covered places, equal values of the item stand against equal values of the document and
-unequal against unequal, for MIN_CONSISTENCY of the distinct pairs. So a copy with other numbers and names is found, and
-texts of the same form by chance are not.
+Numbers (and lists of them), the unit right after one, and names become typed placeholders; what is left is lower-cased and
+cut at everything that is no letter or digit. A name is a run of capitalised words that are no function words of English,
+French, German or Spanish and don't stand after an article or a number, where languages that write nouns with capitals have
+a noun. Every window of WINDOW template tokens of every document is hash-joined with the windows of the benchmark items.
+Matches whose diagonals (offsets between document and item) lie within DRIFT of each other are taken together, so words put
+in or left out do no harm, and a document holds an item if they cover MIN_COVERAGE of its tokens, at least MIN_WORDS of them
+plain words where it has as many, and the slots agree: over the covered places, equal values of the item stand against
+equal values of the document and unequal against unequal, for MIN_CONSISTENCY of the distinct pairs. So a copy with other
+numbers and names is found, and texts of the same form by chance are not.
 Every document is looked up by lower-case words without names as well, since names can't be told in a copy in capitals or
 in lower case; of such a copy with other names only what lies between the names is compared.
 
-Null and empty texts, in either table, match nothing; items of fewer than 3 tokens are left out; items shorter than a
-window are one window of their own length. Repeated rows of a table count once.
+Items shorter than a window are one window of their own length; an item of fewer than MIN_TOKENS tokens is held only by a
+document whose whole template it is, since its words stand in any text. Documents are tokenised once for windows of all sizes.
+
+Null and empty texts, in either table, match nothing, and so do texts without a letter or digit. Texts are read whole however
+long. Rows of docs that repeat a doc_id and a text count once; rows that share a doc_id with other texts, or have none, are
+looked up apart by a hash of the text. Repeated rows of the benchmark count once; rows that share an item_id are one item's
+texts, of which the better match counts; those without an id are left out. Of equally good matches the earlier in the text
+counts. Empty tables give empty results. Other columns are ignored and kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,42 +27,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agoraspark.llm.common import stored
+from agoraspark.llm.common import NO_ID, row_key, stored, unclashing
 
 WINDOW = 8
 MIN_COVERAGE = 0.5
 MIN_CONSISTENCY = 0.8
 MIN_TOKENS = 3
+MIN_WORDS = 3
 DRIFT = 8  # tokens by which the matches of one copy may be shifted against each other, by words put in or left out
 BROADCAST_WINDOWS = 200_000  # benchmark windows up to which they are broadcast (16 bytes each); beyond, both sides are shuffled
 
-NUMBER = r"\p{N}+(?:[.,:]\p{N}+)*"
+# Fixed lists: units, and function words that may stand with a capital at a sentence's start, by language.
 UNITS = (
-    "percent|mm|cm|m|km|inch|inches|foot|feet|yard|yards|mile|miles|mg|g|kg|gram|grams|kilogram|kilograms|ton|tons|ounce|ounces|pound|pounds|"
+    "percent|prozent|mm|cm|m|km|inch|inches|foot|feet|yard|yards|mile|miles|mg|g|kg|gram|grams|kilogram|kilograms|ton|tons|ounce|ounces|pound|pounds|"
     "ml|l|liter|liters|litre|litres|gallon|gallons|second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|"
-    "dollar|dollars|cent|cents|euro|euros|degree|degrees|celsius|fahrenheit|kmh|mph|watt|watts|volt|volts"
+    "dollar|dollars|cent|cents|euro|euros|degree|degrees|celsius|fahrenheit|kmh|mph|watt|watts|volt|volts|"
+    "meter|metern|kilometer|kilometern|gramm|kilogramm|tonne|tonnen|sekunde|sekunden|minuten|stunde|stunden|tag|tage|tagen|woche|wochen|monat|monate|monaten|jahr|jahre|jahren|grad|"
+    "mètre|mètres|kilomètre|kilomètres|gramme|grammes|kilogramme|kilogrammes|tonnes|seconde|secondes|heure|heures|jour|jours|semaine|semaines|mois|an|ans|année|années|degré|degrés|"
+    "metro|metros|kilómetro|kilómetros|gramo|gramos|kilo|kilos|kilogramo|kilogramos|tonelada|toneladas|segundo|segundos|minuto|minutos|hora|horas|día|días|semana|semanas|mes|meses|año|años|litro|litros|grado|grados"
 )
 FUNCTION_WORDS = (
     "The|A|An|If|In|On|At|Of|To|For|From|By|With|And|Or|But|As|Is|Are|Was|Were|Be|It|Its|This|That|These|Those|He|She|They|We|You|I|His|Her|Their|"
-    "What|Which|Who|When|Where|Why|How|Each|Every|All|Some|There|Then|After|Before|Find|Let|Suppose|Given|Not|No|Do|Does|Did|Can|Could|Will|Would"
+    "What|Which|Who|When|Where|Why|How|Each|Every|All|Some|There|Then|After|Before|Find|Let|Suppose|Given|Not|No|Do|Does|Did|Can|Could|Will|Would|"
+    "Le|La|Les|Un|Une|Des|Du|De|Et|Ou|Mais|Si|En|Dans|Sur|Au|Aux|Par|Pour|Avec|Sans|Sous|Il|Elle|Ils|Elles|Nous|Vous|Je|Tu|On|Ce|Cet|Cette|Ces|Son|Sa|Ses|Leur|Leurs|"
+    "Que|Qui|Quoi|Quel|Quelle|Quels|Quelles|Quand|Comment|Combien|Pourquoi|Où|Est|Sont|Chaque|Tous|Toutes|Après|Avant|Puis|Ne|Pas|Soit|"
+    "Der|Die|Das|Den|Dem|Ein|Eine|Einen|Einem|Einer|Eines|Und|Oder|Aber|Wenn|Im|Am|An|Auf|Aus|Bei|Mit|Nach|Seit|Von|Vom|Zu|Zum|Zur|Für|Durch|Über|Unter|Vor|"
+    "Er|Sie|Es|Wir|Ihr|Ich|Du|Sein|Seine|Ihre|Was|Wer|Wie|Wo|Wann|Warum|Welche|Welcher|Welches|Ist|Sind|War|Waren|Jede|Jeder|Jedes|Alle|Einige|Dann|Nicht|Kein|Keine|Sei|"
+    "El|Los|Las|Uno|Una|Unos|Unas|Del|Al|Y|O|Pero|Como|Con|Sin|Por|Para|Desde|Hasta|Entre|Sobre|Ella|Ellos|Ellas|Nosotros|Yo|Su|Sus|Este|Esta|Estos|Estas|Ese|Esa|"
+    "Qué|Quién|Cuál|Cuáles|Cuándo|Cuánto|Cuántos|Cuántas|Cómo|Dónde|Es|Son|Era|Eran|Cada|Todos|Todas|Después|Antes|Luego|Sea|Se|Lo"
 )
+ARTICLES = "the|a|an|der|die|das|den|dem|des|ein|eine|einen|einem|einer|eines|le|la|les|un|une|du|el|los|las|una|unos|unas"
 
-
-WORD_NAME = rf"(?<![\p{{L}}\p{{M}}\p{{N}}\uE001])(?!(?:{FUNCTION_WORDS})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}\p{{N}}])"
-NAMES = rf"{WORD_NAME}(?:[\s\-]+{WORD_NAME})*"  # words of a name side by side are one
-UNIT, NAME, END = "\uE001", "\uE002", "\uE003"  # mark raw tokens; of private use
+# groups are repeated possessively, which needs no stack, so texts of any length pass
+NUMBER = r"\p{N}+(?:[.,:]\p{N}+)*+"
+NUMBERS = rf"{NUMBER}(?:[\s,;/\-]+{NUMBER})*+"
+NO_LETTER = r"(?![\p{L}\p{M}\p{N}])"
+UNIT_WORD = rf"(?:%|(?i:{UNITS}){NO_LETTER})"
+WORD_NAME = rf"(?<![\p{{L}}\p{{M}}\p{{N}}\uE001])(?!(?:{FUNCTION_WORDS})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+{NO_LETTER}"
+# not after an article or a number; then words of a name side by side are one
+NAMES = rf"(?=\p{{Lu}}[\p{{Ll}}\p{{M}}])(?<!(?<![\p{{L}}\p{{M}}])(?i:{ARTICLES})\s)(?<!0\s{{1,3}}){WORD_NAME}(?:[\s\-]+{WORD_NAME})*+"
+NUMBER_MARK, UNIT, NAME, END, NUMBER_END = "\uE000", "\uE001", "\uE002", "\uE003", "\uE004"  # mark raw tokens; of private use
+MARKS = NUMBER_MARK + UNIT + NAME + END + NUMBER_END
 
 
-def _plain(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<=\p{N})\s*%", " percent ")
+def _clean(text: Column) -> Column:
+    return F.translate(text, MARKS, " " * len(MARKS))
 
 
-def _numbered(text: Column, raw: bool) -> Column:
-    """The text with numbers and the units after them as 0 and 1, or (raw) as they are, apart and with UNIT before a unit."""
-    out = F.regexp_replace(_plain(text), rf"{NUMBER}(?:\s*(?i:{UNITS})(?![\p{{L}}\p{{M}}\p{{N}}]))?", " 0$0 ")
-    # the number just marked is replaced, and what follows it up to the blank is its unit
-    out = F.regexp_replace(out, rf" 0({NUMBER})\s*(\p{{L}}+) ", f" $1 {UNIT}$2 " if raw else " 0 1 ")
-    return F.regexp_replace(out, rf" 0({NUMBER}) ", " $1 " if raw else " 0 ")
+def _numbered(text: Column) -> Column:
+    """The text with numbers as 0, and the unit right after one as 1."""
+    out = F.regexp_replace(text, NUMBERS, " 0 ")
+    return F.regexp_replace(out, rf" 0 \s*{UNIT_WORD}", " 0 1 ")
 
 
 def _split(marked: Column) -> Column:
@@ -67,87 +90,111 @@ def _named(marked: Column) -> Column:
 
 def template(text: Column, names: bool = True) -> Column:
     """The template tokens of a text: 0 for a number, 1 for a unit, 2 for a name of one or more words (a word each without names), else a lower-case word."""
-    out = _numbered(text, False)
+    out = _numbered(_clean(text))
     return _named(out) if names else _split(out)
 
 
 def raw_tokens(text: Column, names: bool = True) -> Column:
     """The tokens that template() canonicalises, in lower case, place by place."""
-    out = _numbered(F.translate(text, UNIT + NAME + END, "   "), True)
+    out = F.regexp_replace(_clean(text), NUMBERS, f" {NUMBER_MARK}$0{NUMBER_END} ")
+    out = F.regexp_replace(out, rf"{NUMBER_END} \s*({UNIT_WORD})", f"{NUMBER_END} {UNIT}$1{END} ")
     if names:
-        out = F.regexp_replace(out, NAMES, f"{NAME}$0{END}")
-    found = F.regexp_extract_all(out, F.lit(rf"{NAME}[^{END}]+{END}|{NUMBER}|[\p{{L}}\p{{M}}]+"), 0)
-    return F.transform(found, lambda t: F.lower(F.translate(t, NAME + END, "")))
+        # what follows a number is told by its mark here, as by the 0 in template()
+        out = F.regexp_replace(out, NAMES.replace(r"(?<!0\s{1,3})", rf"(?<!{NUMBER_END}\s{{1,3}})"), f"{NAME}$0{END}")
+    marked = rf"[{NUMBER_MARK}{UNIT}{NAME}][^{END}{NUMBER_END}]+[{END}{NUMBER_END}]"
+    found = F.regexp_extract_all(out, F.lit(rf"{marked}|[\p{{L}}\p{{M}}\p{{N}}]+"), 0)
+    return F.transform(found, lambda t: F.lower(F.translate(t, MARKS, "")))
 
 
-def _windows(rows: DataFrame, name: str, size: int, view: Column) -> DataFrame:
-    """Replace the tokens of a column by the hash of each run of size tokens, apart for each view.
+def _windows(rows: DataFrame, name: str, sizes: list[int], view: int) -> DataFrame:
+    """Replace the tokens of a column by arrays name_size: the hash of each run of size tokens, apart for each view.
 
-    Hashes of 1, 2, 4, ... tokens are put together, so a run costs a few hashes of numbers instead of size hashes of words.
+    A size below zero stands for the whole of a text of that many tokens. Hashes of 1, 2, 4, ... tokens are put together, so
+    a run costs a few hashes of numbers instead of size hashes of words, and sizes share them.
     """
 
     def joined(a: str, b: str, shift: int) -> Column:
         n = F.greatest(F.size(b) - shift, F.lit(0))
         return F.zip_with(F.slice(a, 1, n), F.slice(b, shift + 1, n), lambda x, y: F.xxhash64(x, y))
 
-    rows = rows.withColumn(name, F.transform(name, lambda t: F.xxhash64(view, t))).withColumnRenamed(name, "power")
-    have, width = 0, 1
-    while True:
-        if size & width:
-            rows = rows.withColumn(name, joined(name, "power", have) if have else F.col("power"))
-            have += width
-        if have == size:
-            return rows.drop("power")
-        rows = rows.withColumn("power", joined("power", "power", width))
-        width *= 2
+    power = [f"{name}_power_1"]
+    rows = rows.withColumn(power[0], F.transform(name, lambda t: F.xxhash64(F.lit(view), t)))
+    longest = max(abs(s) for s in sizes)
+    while 1 << len(power) <= longest:
+        power.append(f"{name}_power_{1 << len(power)}")
+        rows = rows.withColumn(power[-1], joined(power[-2], power[-2], 1 << len(power) - 2))
+    for size in sizes:
+        have, out = 0, f"{name}_{size}"
+        for k, one in enumerate(power):
+            if abs(size) >> k & 1:
+                rows = rows.withColumn(out, joined(out, one, have) if have else F.col(one))
+                have += 1 << k
+        if size < 0:
+            rows = rows.withColumn(out, F.when(F.size(name) == -size, F.col(out)).otherwise(F.array().cast("array<bigint>")))
+    return rows.drop(name, *power)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, view (1 with names, 2 without), template, raw tokens and window size."""
+    """item_id, item_row (hash of the text), view (1 with names, 2 without), template, raw tokens and window size (below zero: the whole)."""
     rows = benchmark.select(F.col("item_id").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
     views = [F.struct(F.lit(v).alias("view"), template(F.col("text"), v == 1).alias("item_template"), raw_tokens(F.col("text"), v == 1).alias("item_raw")) for v in (1, 2)]
-    rows = rows.select("item_id", F.explode(F.array(*views)).alias("p")).select("item_id", "p.*").filter(F.size("item_template") >= MIN_TOKENS)
-    return rows.withColumn("w", F.least(F.size("item_template"), F.lit(WINDOW)))
+    rows = rows.select("item_id", F.xxhash64("text").alias("item_row"), F.explode(F.array(*views)).alias("p")).select("item_id", "item_row", "p.*").filter(F.size("item_template") > 0)
+    size = F.size("item_template")
+    return rows.withColumn("w", F.when(size < MIN_TOKENS, -size).otherwise(F.least(size, F.lit(WINDOW))))
+
+
+def _item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
+    """item_id, item_row, view, item_at and h of every window of every item."""
+    parts = []
+    for view in (1, 2):
+        rows = _windows(items.filter(F.col("view") == view).select("item_id", "item_row", "view", "w", "item_template"), "item_template", sizes, view)
+        own = F.lit(None).cast("array<bigint>")
+        for size in sizes:
+            own = F.when(F.col("w") == size, F.col(f"item_template_{size}")).otherwise(own)
+        parts.append(rows.select("item_id", "item_row", "view", F.posexplode(own).alias("item_at", "h")))
+    return parts[0].unionByName(parts[1])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, coverage, slot_consistency, n_slots, at_token for every document and item that it holds."""
+    """doc_id, row (hash of the text), item_id, coverage, slot_consistency, n_slots, at_token for every text and item that it holds."""
     items = stored(_items(benchmark), "items")
-    sizes = sorted(r[0] for r in items.select("w").distinct().collect())  # at most WINDOW values
-    found = None
-    for size in sizes:
-        own = _windows(items.filter(F.col("w") == size).select("item_id", "view", "item_template"), "item_template", size, F.col("view"))
-        own = own.select("item_id", "view", F.posexplode("item_template").alias("item_at", "h"))
+    sizes = sorted(r[0] for r in items.select("w").distinct().collect())  # WINDOW values at most
+    doc, row = row_key(docs)
+    if sizes:
+        own = _item_windows(items, sizes)
         if own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
-        numbered = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _numbered(F.col("text"), False).alias("marked"))
-        views = numbered.select("doc_id", _named(F.col("marked")).alias("v"), _split(F.col("marked")).alias("v2"))
-        views = _windows(_windows(views, "v", size, F.lit(1)), "v2", size, F.lit(2))
-        rows = views.select("doc_id", F.size("v").alias("n"), F.posexplode(F.concat("v", "v2")).alias("at", "h"))
-        rows = rows.select("doc_id", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("doc_at"), "h")
-        hits = rows.join(own, "h").select("doc_id", "item_id", "view", F.col("item_at"), (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, view int, item_at int, diagonal int")
-    lines = found.groupBy("doc_id", "item_id", "view", "diagonal").agg(F.collect_set("item_at").alias("places"))
+        rows = docs.filter(docs["text"].isNotNull()).select(doc.alias("doc_id"), row.alias("row"), _numbered(_clean(docs["text"])).alias("marked"))
+        rows = rows.select("doc_id", "row", _named(F.col("marked")).alias("v1"), _split(F.col("marked")).alias("v2"))
+        rows = _windows(_windows(rows, "v1", sizes, 1), "v2", sizes, 2)
+        every = F.explode(F.array(*(F.col(f"v{v}_{s}") for v in (1, 2) for s in sizes)))
+        rows = rows.select("doc_id", "row", every.alias("windows")).select("doc_id", "row", F.posexplode("windows").alias("doc_at", "h"))
+        found = rows.join(own, "h").select("doc_id", "row", "item_id", "item_row", "view", "item_at", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+    else:
+        found = docs.sparkSession.createDataFrame([], "doc_id long, row long, item_id long, item_row long, view int, item_at int, diagonal int")
+    pair = ["doc_id", "row", "item_id", "item_row", "view"]
+    lines = found.groupBy(*pair, "diagonal").agg(F.collect_set("item_at").alias("places"))
     # each diagonal with those that lie within DRIFT of it
-    near = Window.partitionBy("doc_id", "item_id", "view").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
-    held = lines.withColumn("lines", F.collect_list(F.struct("diagonal", "places")).over(near)).join(items, ["item_id", "view"])
+    near = Window.partitionBy(*pair).orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
+    held = lines.withColumn("lines", F.collect_list(F.struct("diagonal", "places")).over(near)).join(items, ["item_id", "item_row", "view"])
     # for every place of the item the diagonal of a matched window that covers it, the nearest if there are several, else null
     at = F.transform(
         F.sequence(F.lit(0), F.size("item_template") - 1),
         lambda p: F.array_min(
             F.transform(
-                F.filter("lines", lambda s: F.exists(s["places"], lambda q: (q <= p) & (p < q + F.col("w")))),
+                F.filter("lines", lambda s: F.exists(s["places"], lambda q: (q <= p) & (p < q + F.abs(F.col("w"))))),
                 lambda s: F.struct(F.abs(s["diagonal"] - F.col("diagonal")).alias("drift"), s["diagonal"].alias("diagonal")),
             )
         )["diagonal"],
     )
     held = held.withColumn("at", at).withColumn("coverage", F.size(F.filter("at", lambda d: d.isNotNull())) / F.size("at")).filter(F.col("coverage") >= MIN_COVERAGE)
-    held = stored(held.select("doc_id", "item_id", "view", "at", "coverage", "item_template", "item_raw"), "held")
-    ids = held.select(F.col("doc_id").alias("held_doc")).distinct()
-    raw = docs.join(ids, docs["doc_id"] == ids["held_doc"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text").distinct()
-    raw = raw.select("doc_id", F.explode(F.array(*[F.struct(F.lit(v).alias("view"), raw_tokens(F.col("text"), v == 1).alias("doc_raw")) for v in (1, 2)])).alias("p")).select("doc_id", "p.*")
+    plain = F.transform("item_template", lambda t: ~t.isin("0", "1", "2"))
+    words = F.zip_with(plain, "at", lambda word, d: word & d.isNotNull())
+    held = held.filter(F.size(F.filter(words, lambda x: x)) >= F.least(F.lit(MIN_WORDS), F.size(F.filter(plain, lambda x: x))))
+    held = stored(held.select(*pair, "at", "coverage", "item_template", "item_raw"), "held")
+    ids = held.select("doc_id", "row").distinct()
+    raw = docs.select(doc.alias("doc_id"), row.alias("row"), docs["text"].alias("text")).join(ids, ["doc_id", "row"], "left_semi").distinct()
+    raw = raw.select("doc_id", "row", F.explode(F.array(*[F.struct(F.lit(v).alias("view"), raw_tokens(F.col("text"), v == 1).alias("doc_raw")) for v in (1, 2)])).alias("p")).select("doc_id", "row", "p.*")
     # places of the item that a matched window covers and that are slots, each with the value on either side
     slots = F.filter(
         F.transform(
@@ -161,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ),
         lambda s: s["covered"] & s["kind"].isin("0", "1", "2"),
     )
-    rows = held.join(raw, ["doc_id", "view"]).withColumn("pairs", F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["theirs"], s["ours"]))))
+    rows = held.join(raw, ["doc_id", "row", "view"]).withColumn("pairs", F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["theirs"], s["ours"]))))
     theirs = F.size(F.array_distinct(F.transform("pairs", lambda s: F.struct(s["kind"], s["theirs"]))))
     ours = F.size(F.array_distinct(F.transform("pairs", lambda s: F.struct(s["kind"], s["ours"]))))
     share = F.when(F.size("pairs") == 0, F.lit(1.0)).otherwise(F.least(theirs, ours) / F.size("pairs"))
@@ -170,11 +217,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     start = F.get(F.filter("at", lambda d: d.isNotNull()), F.lit(0))
     words = F.aggregate(F.slice("doc_raw", 1, F.greatest(start, F.lit(0))), F.lit(0), lambda n, t: n + F.size(F.split(t, r"[\s\-]+")))
     rows = rows.withColumn("at_token", F.when(start < 0, start).otherwise(words).cast("long"))
-    best = F.max(F.struct("coverage", "slot_consistency", F.size("pairs").cast("long").alias("n_slots"), "at_token")).alias("best")
-    return rows.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    best = F.max(F.struct("coverage", "slot_consistency", F.size("pairs").cast("long").alias("n_slots"), (-F.col("at_token")).alias("before"))).alias("best")
+    out = rows.groupBy("doc_id", "row", "item_id").agg(best)
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "row", "item_id", "best.coverage", "best.slot_consistency", "best.n_slots", (-F.col("best.before")).alias("at_token"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item, all columns."""
-    held = contaminated(docs, benchmark).select(F.col("doc_id").alias("held_doc")).distinct()
-    return docs.join(held, docs["doc_id"] == held["held_doc"], "left_anti")
+    """The rows of docs that hold no benchmark item, all columns. Rows are decided by doc_id and text together."""
+    held_doc, held_row = unclashing(docs, "held_doc", "held_row")
+    held = contaminated(docs, benchmark).select(F.col("doc_id").alias(held_doc), F.col("row").alias(held_row)).distinct()
+    _, row = row_key(docs)
+    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(held[held_doc]) & (row == held[held_row]), "left_anti")

@@ -4,12 +4,17 @@ The ranks are compiled into a trie of token bytes. For each prefix of a piece ex
 a piece's encoding is the one path through the trie on which every pair of neighbours is stable (encoding the two
 tokens' joined bytes gives back the pair). The machine reads bytes from left to right and follows every live
 hypothesis: a last token and a place in the trie. Sets of hypotheses are made into states when they are first met, and
-kept with their moves in a bounded table, as lazy automata do. A token leaves the machine once all hypotheses agree on
-it; a hypothesis lives no longer than the longest token, which bounds the lookahead.
+kept with their moves in a bounded table, as lazy automata do. A hypothesis begins no farther back than the longest token
+is long. After every EMIT_BYTES bytes the tokens on which all live hypotheses agree leave the machine and are forgotten, so
+a piece of any length is encoded with memory for that block and the lookahead; a shorter piece leaves at its end.
 
-Decoding joins token bytes and feeds an incremental UTF-8 machine, block by block.
+Decoding joins token bytes, block by block, and feeds an incremental UTF-8 state machine; the digest of what was decoded is
+that of the characters which come out of it.
 
-Null texts count as empty: no ids, and the digest of nothing. Repeated rows give repeated, equal results.
+Null texts count as empty: no ids, and the digest of nothing. Texts are encoded whole however long. Pairs of equal rank are
+joined from left to right. Pieces are split by the Unicode tables of the regex module, so letters that another library's
+tables don't know yet may be split otherwise there. Repeated rows give repeated, equal results; a null doc_id stays null. An empty table gives an
+empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,6 +35,7 @@ MAX_PAIRS = 300_000
 MAX_PIECES = 200_000
 LONGEST_KEPT = 48
 DECODE_BLOCK = 8192
+EMIT_BYTES = 1024
 NEVER = 1 << 60
 
 
@@ -47,6 +54,7 @@ class Transducer:
         self.sizes = {r: len(b) for b, r in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
         self.pairs: dict[int, bool] = {}
         self.spines: dict[int, dict[int, list[tuple[bytes, int]]]] = {0: {}, -1: {}}
         for token, rank in ranks.items():
@@ -59,6 +67,7 @@ class Transducer:
                     step = self.children[node][byte] = len(self.children)
                     self.children.append({})
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = step
             self.token_at[node] = rank
         self.reset()
@@ -148,38 +157,63 @@ class Transducer:
         return self.intern(tuple(grown)), last
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Token ids of one piece.
-
-        After each byte the machine names the token that ends there if the piece ends there. A token is final, and
-        leaves, once no live hypothesis begins before its end; the rest leaves at the end of the piece.
-        """
+        """Token ids of one piece."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if len(piece) > EMIT_BYTES:
+            return list(self.stream(piece[i : i + EMIT_BYTES] for i in range(0, len(piece), EMIT_BYTES)))
+        _, ends = self.advance(self.start, piece)
+        return self.path(ends, len(ends), 0)
+
+    def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
+        """Token ids of one piece (that isn't a token itself) given in blocks, each as soon as a block shows that it is final."""
+        state, ends = self.start, []
+        for block in blocks:
+            state, more = self.advance(state, block)
+            ends += more
+            done = self.agreed(state, ends)
+            yield from self.path(ends, done, 0)
+            del ends[:done]
+        yield from self.path(ends, len(ends), 0)
+
+    def advance(self, state: int, block: bytes) -> tuple[int, list[int]]:
+        """The state after some bytes, and for each of them the token that ends the encoding there if the piece ends there."""
         if len(self.states) > MAX_STATES:
+            keep = self.states[state >> 8]
             self.reset()
-        moves, state, ends = self.moves, self.start, []
-        push, rest = ends.append, iter(piece)
+            state = self.intern(keep)
+        moves, ends = self.moves, []
+        push, rest = ends.append, iter(block)
         while True:
             try:
                 for byte in rest:
                     state, last = moves[state | byte]
                     push(last)
-                break
+                return state, ends
             except KeyError:  # a move that wasn't made yet; the state is still the one before it
-                byte = piece[len(ends)]
+                byte = block[len(ends)]
                 step = moves[state | byte] = self.move(state, byte)
-                if len(self.states) > 2 * MAX_STATES:  # within one very long piece
-                    keep = self.states[step[0] >> 8]
-                    self.reset()
-                    moves, step = self.moves, (self.intern(keep), step[1])
                 state = step[0]
                 push(step[1])
-        out, at, sizes = [], len(ends), self.sizes
-        while at:
-            token = ends[at - 1]
+
+    def agreed(self, state: int, ends: list[int]) -> int:
+        """Up to which place of ends all live hypotheses take the same path: the least place from which each of them has come."""
+        depth, sizes, here = self.depth, self.sizes, len(ends)
+        begins = {here - depth[one & 0xFFFFFF] for one in self.states[state >> 8]}
+        while len(begins) > 1:  # the farthest goes back by its last token until all have met
+            far = max(begins)
+            begins.remove(far)
+            begins.add(max(0, far - sizes[ends[far - 1]]))
+        return begins.pop()
+
+    def path(self, ends: list[int], stop: int, start: int) -> list[int]:
+        """The tokens of the one path from start to stop."""
+        out, sizes = [], self.sizes
+        while stop > start:
+            token = ends[stop - 1]
             out.append(token)
-            at -= sizes[token]
+            stop -= sizes[token]
         out.reverse()
         return out
 
@@ -219,34 +253,74 @@ class Codec:
             yield b"".join(map(table, ids[i : i + DECODE_BLOCK]))
 
 
+# Fixed values of UTF-8: the ranges of first bytes, each with the states of the bytes that must follow; and for each state
+# the range of bytes that leads on. State 0 is between characters; A is any continuation byte.
+FIRST_BYTES = (
+    (0x00, 0x7F, ""),
+    (0xC2, 0xDF, "A"),
+    (0xE0, 0xE0, "BA"),
+    (0xE1, 0xEC, "AA"),
+    (0xED, 0xED, "CA"),
+    (0xEE, 0xEF, "AA"),
+    (0xF0, 0xF0, "DAA"),
+    (0xF1, 0xF3, "AAA"),
+    (0xF4, 0xF4, "EAA"),
+)
+_HIGH = re.compile(rb"[\x80-\xff]")
+NEXT_BYTES = {"A": (0x80, 0xBF), "B": (0xA0, 0xBF), "C": (0x80, 0x9F), "D": (0x90, 0xBF), "E": (0x80, 0x8F)}
+
+
+@lru_cache(1)
+def utf8_moves() -> list[list[int]]:
+    """The transition table: for each state and byte the next state, or -1 where the byte can't stand. State 0 accepts."""
+    states = sorted({row[2][k:] for row in FIRST_BYTES for k in range(len(row[2]) + 1)}, key=lambda s: (len(s), s))
+    table = [[-1] * 256 for _ in states]
+    for low, high, rest in FIRST_BYTES:
+        for byte in range(low, high + 1):
+            table[0][byte] = states.index(rest)
+    for i, state in enumerate(states[1:], 1):
+        low, high = NEXT_BYTES[state[0]]
+        for byte in range(low, high + 1):
+            table[i][byte] = states.index(state[1:])
+    return table
+
+
 class Utf8Stream:
     """Incremental UTF-8: takes bytes in any portions, gives the characters that are complete.
 
-    The state is the lead of an unfinished character: the bytes held and how many are missing.
+    The state goes from byte to byte by utf8_moves; runs of ASCII are passed over at once where no character is open. A
+    byte that can't stand ends the character that is open, which becomes U+FFFD, and so does such a byte itself unless it
+    can begin a character.
     """
 
     def __init__(self) -> None:
-        self.held = b""
-
-    @staticmethod
-    def _unfinished(data: bytes) -> int:
-        """How many bytes at the end begin a character that isn't complete."""
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte & 0xC0 == 0x80:
-                continue
-            need = 1 if byte < 0xC0 else 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-            return back if need > back else 0
-        return 0
+        self.state, self.open = 0, b""  # open: the bytes of a character that isn't complete
 
     def feed(self, data: bytes) -> str:
-        data = self.held + data
-        cut = len(data) - self._unfinished(data)
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        moves, buf = utf8_moves(), self.open + data
+        state, begin, at, done, out = self.state, 0, len(self.open), 0, []
+        while True:
+            if not state:
+                high = _HIGH.search(buf, at)
+                if high is None:
+                    begin = len(buf)
+                    break
+                begin, at = high.start(), high.end()
+                state = moves[0][buf[begin]]
+            while state > 0 and at < len(buf) and (step := moves[state][buf[at]]) >= 0:
+                state, at = step, at + 1
+            if state > 0 and at == len(buf):
+                break
+            if state:  # the byte at hand can't go on with the character, or can't begin one
+                out.append(buf[done:begin].decode() + "\ufffd")
+                state, done = 0, at
+        out.append(buf[done:begin].decode())
+        self.state, self.open = state, buf[begin:]
+        return "".join(out)
 
     def finish(self) -> str:
-        out, self.held = self.held.decode("utf-8", "replace"), b""
+        out = "\ufffd" if self.state else ""
+        self.state, self.open = 0, b""
         return out
 
 
@@ -265,7 +339,7 @@ _KINDS = [pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.int64()
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
-    doc_id, n_tokens, ids (null unless keep_ids), digests of the ids and of the decoded bytes, characters decoded.
+    doc_id, n_tokens, ids (null unless keep_ids), digests of the ids and of the decoded text's bytes, characters decoded.
     The ranks are a vocabulary file that every executor can open at ranks_path.
     """
 
@@ -279,9 +353,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
                     ids = tool.encode(value.as_py())
                     digest, stream, chars = hashlib.sha256(), Utf8Stream(), 0
                     for data in tool.decode_blocks(ids):
-                        digest.update(data)
-                        chars += len(stream.feed(data))
-                    chars += len(stream.finish())
+                        text = stream.feed(data)
+                        digest.update(text.encode())
+                        chars += len(text)
+                    rest = stream.finish()
+                    digest.update(rest.encode())
+                    chars += len(rest)
                     rows.append((len(ids), ids if keep_ids else None, hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), digest.hexdigest(), chars))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True))], names)
 

@@ -26,7 +26,7 @@ def balances(entries: DataFrame, key: str, delta: str, counts: Column | None = N
 def guarded(entries: DataFrame, key: str, delta: str, order: list[str]) -> DataFrame:
     """Adds granted and balance: a negative entry is granted only if the balance, of what was granted so far, covers it.
 
-    Entries of a key are streamed in their order; only the running balance is held.
+    Entries of a key are streamed in their order; only the running balance is held. Entries of a null key are one key.
     """
     names = entries.columns
     schema = StructType([*entries.schema.fields, StructField("granted", BooleanType()), StructField("balance", LongType())])
@@ -36,7 +36,8 @@ def guarded(entries: DataFrame, key: str, delta: str, order: list[str]) -> DataF
         current, balance = object(), 0
         for frame in frames:
             granted, after = [], []
-            for k, d in zip(frame[key], frame[delta], strict=True):
+            known = frame[key].astype(object).where(frame[key].notna(), None)  # a null is equal to a null
+            for k, d in zip(known, frame[delta], strict=True):
                 if k != current:
                     current, balance = k, 0
                 fits = balance + d >= 0 or d >= 0

@@ -54,3 +54,12 @@ def positional_merge(left: DataFrame, right: DataFrame, key: str, row: str) -> D
     equal = counted[0].join(counted[1], [key, "n"]).select(key)
     placed = [side.join(equal, key).select(key, F.col(row).alias(name), F.row_number().over(Window.partitionBy(key).orderBy(row)).alias("place")) for side, name in ((left, "left"), (right, "right"))]
     return placed[0].join(placed[1], [key, "place"]).select(key, F.col("place").cast("long").alias("place"), "left", "right")
+
+
+def by_position(wanted: DataFrame, rows: DataFrame, key: str, place: str, row: str) -> DataFrame:
+    """wanted (key, place) with the place-th row of each key's sequence; places beyond its end have none.
+
+    row is a struct whose order is the sequence.
+    """
+    placed = rows.select(key, F.col(row), F.row_number().over(Window.partitionBy(key).orderBy(row)).cast("long").alias(place))
+    return wanted.withColumn(place, F.col(place).cast("long")).join(placed, [key, place])

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARGIN = 0.002
 ACCURACY = 10_000  # the sketch's rank error is at most 1 / ACCURACY, well within MARGIN
 
 
-def exact_percentiles(rows: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
+def _floor_rank(n: Column, share: Column) -> Column:
+    return F.floor(n * share)
+
+
+def exact_percentiles(rows: DataFrame, key: str, value: str, shares: list[float], rank_of: Callable[[Column, Column], Column] = _floor_rank) -> DataFrame:
     """key, share, n and the value of rank floor(n * share), counted from 0 and at most n - 1, for each group and share.
 
+    rank_of may give another rank, not more than one away from n * share.
+
     A sketch bounds where each percentile lies; rows below the bound are counted, and only the few rows within the
     bounds are ranked. Both passes combine before their shuffle, so a group may hold most of all rows. Null values are
     left out; a group of nulls alone has no row.
@@ -32,6 +40,13 @@ def exact_percentiles(rows: DataFrame, key: str, value: str, shares: list[float]
     tallied = within.groupBy("key", F.col("b.share").alias("share"), "value").count()
     before = F.sum("count").over(Window.partitionBy("key", "share").orderBy("value")) - F.col("count")
     ranked = tallied.withColumn("before", before).join(counted, ["key", "share"]).join(bounds.select("key", "share", "n"), ["key", "share"])
-    rank = F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1) - F.col("below")
+    rank = F.greatest(F.least(rank_of(F.col("n"), F.col("share")), F.col("n") - 1), F.lit(0)) - F.col("below")
     hit = ranked.filter((rank >= F.col("before")) & (rank < F.col("before") + F.col("count")))
     return hit.select(F.col("key").alias(key), "share", "n", F.col("value").alias(value))
+
+
+def nearest_ranks(rows: DataFrame, key: str, value: str, percents: list[int]) -> DataFrame:
+    """key, p and value: for each percentage the row of place p * n / 100 + 0.5, rounded half to even and counted from 1."""
+    place = lambda n, share: F.bround(n * F.round(share * 100) / 100 + 0.5) - 1
+    found = exact_percentiles(rows, key, value, [p / 100 for p in percents], place)
+    return found.select(key, F.round(F.col("share") * 100).cast("int").alias("p"), value)

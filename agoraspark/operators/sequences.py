@@ -18,7 +18,7 @@ def accepted_rows(rows: DataFrame, keys: list[str], seconds: str, order: str, ga
     than cap rows counted within the last span seconds. Rows are taken in the order of seconds, then order.
 
     Rows are sorted within partitions and streamed, so a key isn't gathered in memory: only its last cap accepted times
-    are held. A key lies in one partition, since each step needs the one before.
+    are held. A key lies in one partition, since each step needs the one before. Rows of a null key are one key.
     """
     if (gap is None) == (cap is None):
         raise ValueError("either gap or cap with span")
@@ -30,7 +30,8 @@ def accepted_rows(rows: DataFrame, keys: list[str], seconds: str, order: str, ga
         current, times = None, deque(maxlen=cap or 1)
         for frame in frames:
             out = []
-            for key, at in zip(frame[keys].itertuples(index=False, name=None), frame[seconds], strict=True):
+            known = frame[keys].astype(object).where(frame[keys].notna(), None)  # a null is equal to a null
+            for key, at in zip(known.itertuples(index=False, name=None), frame[seconds], strict=True):
                 if key != current:
                     current = key
                     times.clear()

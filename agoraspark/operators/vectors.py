@@ -21,8 +21,9 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, id_: str, vector: str, k:
     """query, id, score, place: the k rows of greatest cosine for each query, itself excluded, not below floor.
 
     Queries are a stated set; they are counted, and broadcast in blocks of QUERY_ROWS, against which every row is held
-    once. Each task keeps its own k best per query before the shuffle, by a heap-free aggregate: per query the best k of
-    a partition are cut from a sorted list. Vectors of another length, null ones and zero ones match nothing.
+    once, by a nested-loop join with the broadcast block; what reaches the floor is ranked by a window per query, whose limit
+    Spark pushes below the shuffle, so each task sends k rows a query. Vectors of another length, null ones and zero ones
+    match nothing.
     """
     sized = lambda d: d.filter(F.col(vector).isNotNull() & (norm(F.col(vector)) > 0))
     asked = sized(queries).select(F.col(id_).alias("query"), F.col(vector).alias("q"))

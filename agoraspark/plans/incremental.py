@@ -26,11 +26,11 @@ def str_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @theme.add(f"""
 WITH q AS (SELECT * FROM {QUEUE} QUALIFY row_number() OVER (PARTITION BY item ORDER BY event_id DESC) = 1)
-SELECT p_partkey AS item, -1::BIGINT AS event_id, -1::BIGINT AS user_id FROM part WHERE p_partkey < 150 AND p_partkey NOT IN (SELECT item FROM q) UNION ALL SELECT item, event_id, user_id FROM q WHERE action = 'upsert'""")
+SELECT p_partkey AS item, -1::BIGINT AS event_id, -1::BIGINT AS user_id FROM part WHERE p_partkey NOT IN (SELECT item FROM q) UNION ALL SELECT item, event_id, user_id FROM q WHERE action = 'upsert'""")
 def str_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state after its queue."""
     none = F.lit(-1).cast("long")
-    state = table(spark, sf_dir, "part").filter("p_partkey < 150").select(F.col("p_partkey").cast("long").alias("item"), none.alias("event_id"), none.alias("user_id"))
+    state = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("item"), none.alias("event_id"), none.alias("user_id"))
     return applied(state, _queue(spark, sf_dir), ["item"], "event_id")
 
 
@@ -106,9 +106,15 @@ def snk_partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patched(old, new.select("custkey", "balance"), ["custkey"])
 
 
-@theme.add("SELECT count(*) AS n, count(DISTINCT conv_id) AS keys, 0::BIGINT AS straddling FROM conversations")
+@theme.add("""
+WITH b AS (SELECT quantile_disc(conv_id, [0.25, 0.5, 0.75]) AS q FROM conversations), p AS (SELECT conv_id, CAST(len(list_filter(q, lambda x: conv_id > x)) AS INTEGER) AS part FROM conversations, b),
+k AS (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)), t AS (SELECT count(*) AS total FROM conversations)
+SELECT part, count(*) AS n, count(DISTINCT conv_id) AS keys, min(conv_id) AS first_key, max(conv_id) AS last_key, abs(count(*) - any_value(total) / 4.0) <= any_value(most) + 1 AS even FROM p, k, t GROUP BY 1""")
 def src_balanced_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows cut into four ranges of keys; no key is in two of them."""
+    """Rows cut into four ranges of keys: how many each has, from which key to which, and whether it's a quarter but for one key's rows."""
     parts = balanced(table(spark, sf_dir, "conversations"), "conv_id", 4)
-    per_key = parts.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("parts"))
-    return per_key.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"), F.count_if(F.col("parts") > 1).alias("straddling"))
+    per_key = parts.groupBy("part", "conv_id").agg(F.count(F.lit(1)).alias("n"))
+    rolled = per_key.groupBy("part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"), F.min("conv_id").alias("first_key"), F.max("conv_id").alias("last_key"), F.max("n").alias("most"))
+    whole = rolled.agg(F.sum("n").alias("total"), F.max("most").alias("largest"))  # one row
+    even = F.abs(F.col("n") - F.col("total") / 4) <= F.col("largest") + 1
+    return rolled.crossJoin(F.broadcast(whole)).select("part", "n", "keys", "first_key", "last_key", even.alias("even"))

@@ -36,7 +36,7 @@ def join_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return child.join(parent, F.col("p.n_nationkey") == F.col("c.n_regionkey"), "left").select(F.col("c.n_name").alias("nation"), F.col("p.n_name").alias("anchor"))
 
 
-#: A session is a user's day; user 0 stands for nobody; only purchases and clicks count.
+#: A session is a user's day; user 0 stands for nobody; only purchases count.
 VISITS = f"(SELECT CASE WHEN user_id % 5 = 0 THEN 0 ELSE user_id END AS uid, (user_id % 10) || '-' || strftime(ts, '%Y-%m-%d') AS session, item, CAST(least(round(value * 100), 10000) AS BIGINT) AS w FROM {EVENTS} WHERE event_type = 'purchase')"
 
 
@@ -62,11 +62,11 @@ def join_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey"), F.col("l_quantity").alias("quantity"))
 
 
-@theme.add(f"SELECT p_partkey AS partkey, max(ts) AS last_seen, count(ts) = 0 AS unread FROM part LEFT JOIN {EVENTS} ON item = p_partkey AND user_id = 7 WHERE p_partkey < 200 GROUP BY 1")
+@theme.add(f"SELECT p_partkey AS partkey, max(ts) AS last_seen, count(ts) = 0 AS unread FROM part LEFT JOIN {EVENTS} ON item = p_partkey AND user_id = 7 GROUP BY 1")
 def join_left_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A left join whose filter is in the condition: marks of one viewer, kept where there are none."""
     mine = events(spark, sf_dir).filter("user_id = 7").groupBy("item").agg(F.max("ts").alias("last_seen"))
-    return table(spark, sf_dir, "part").filter("p_partkey < 200").join(mine, F.col("item") == F.col("p_partkey"), "left").select(F.col("p_partkey").alias("partkey"), "last_seen", F.col("last_seen").isNull().alias("unread"))
+    return table(spark, sf_dir, "part").join(mine, F.col("item") == F.col("p_partkey"), "left").select(F.col("p_partkey").alias("partkey"), "last_seen", F.col("last_seen").isNull().alias("unread"))
 
 
 @theme.add("SELECT c_custkey AS custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-THEMES = ("events", "aggregates", "joins", "windows", "ledgers", "vectors", "search", "incremental")
+THEMES = ("events", "aggregates", "joins", "windows", "ledgers", "vectors", "search", "incremental", "recommend", "relevance", "content", "access", "records")
 
 
 def _all(attribute: str) -> dict:

@@ -98,13 +98,13 @@ def vec_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH h AS (SELECT item, least(n / 10.0, 5) / 5 AS hot, greatest(0, 1 - date_sub('hour', last_ts, TIMESTAMP '{AS_OF}') / 720.0) AS fresh FROM {ITEMS}),
 a AS (SELECT user_id, item % 10 AS tag, max(value) / 100 AS affinity FROM {EVENTS} WHERE event_type = 'view' GROUP BY 1, 2),
 s AS (SELECT DISTINCT user_id, item FROM {EVENTS}),
-c AS (SELECT a.user_id, h.item, 0.55 * a.affinity + 0.35 * h.hot + 0.10 * h.fresh AS score FROM a JOIN h ON h.item % 10 = a.tag WHERE a.user_id < 50 AND NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = a.user_id AND s.item = h.item))
+c AS (SELECT a.user_id, h.item, 0.55 * a.affinity + 0.35 * h.hot + 0.10 * h.fresh AS score FROM a JOIN h ON h.item % 10 = a.tag WHERE a.user_id % 100 = 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = a.user_id AND s.item = h.item))
 SELECT user_id, item, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, item) <= 12""")
 def vec_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve items a user hasn't met, by affinity to their tag, activity and freshness, for a stated set of users."""
     hours = F.timestamp_diff("HOUR", F.col("last_ts"), F.lit(AS_OF).cast("timestamp_ntz"))
     items = _items(spark, sf_dir).select("item", (F.col("item") % 10).alias("tag"), (F.least(F.col("n") / 10.0, F.lit(5.0)) / 5).alias("hot"), F.greatest(F.lit(0.0), 1 - hours / 720.0).alias("fresh"))
-    rows = events(spark, sf_dir).filter("user_id < 50")
+    rows = events(spark, sf_dir).filter("user_id % 100 = 0")
     affinity = rows.filter("event_type = 'view'").groupBy("user_id", (F.col("item") % 10).alias("tag")).agg((F.max("value") / 100).alias("affinity"))
     fresh = affinity.join(items, "tag").join(rows.select("user_id", "item").distinct(), ["user_id", "item"], "left_anti")
     scored = fresh.select("user_id", "item", F.round(0.55 * F.col("affinity") + 0.35 * F.col("hot") + 0.10 * F.col("fresh"), 6).alias("score"))
@@ -134,11 +134,11 @@ def vec_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @theme.add(f"""
-WITH k AS (SELECT p_partkey AS id, p_retailprice / 2100.0 AS lexical FROM part WHERE p_retailprice > 1260 AND p_partkey < 5000), s AS (SELECT id, max(score) AS semantic FROM {MET} WHERE score >= 0.25 GROUP BY 1)
+WITH k AS (SELECT p_partkey AS id, p_retailprice / 2100.0 AS lexical FROM part WHERE p_retailprice > 1260), s AS (SELECT id, max(score) AS semantic FROM {MET} WHERE score >= 0.25 GROUP BY 1)
 SELECT id, round(greatest(coalesce(lexical, 0), coalesce(semantic, 0)) + 0.25 * least(coalesce(lexical, 0), coalesce(semantic, 0)), 6) AS rank, lexical IS NOT NULL AS by_words, semantic IS NOT NULL AS by_meaning FROM k FULL JOIN s USING (id)""")
 def vec_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two result lists merged by key: the better score plus a quarter of the other."""
-    lexical = table(spark, sf_dir, "part").filter("p_retailprice > 1260 and p_partkey < 5000").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_retailprice") / 2100.0).alias("lexical"))
+    lexical = table(spark, sf_dir, "part").filter("p_retailprice > 1260").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_retailprice") / 2100.0).alias("lexical"))
     rows = table(spark, sf_dir, "embeddings")
     semantic = cosine_top_k(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding", 1 << 30, 0.25).groupBy("id").agg(F.max("score").alias("semantic"))
     a, b = F.coalesce("lexical", F.lit(0.0)), F.coalesce("semantic", F.lit(0.0))

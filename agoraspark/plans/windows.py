@@ -115,13 +115,13 @@ def win_anchored_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @theme.add(f"""{CHAIN}f AS (SELECT user_id, event_id, i, [s] AS kept, true AS accepted FROM e WHERE i = 1 UNION ALL
-  SELECT e.user_id, e.event_id, e.i, CASE WHEN len(list_filter(f.kept, lambda k: e.s - k < 86400)) < 1 THEN list_append(f.kept, e.s) ELSE f.kept END, len(list_filter(f.kept, lambda k: e.s - k < 86400)) < 1
+  SELECT e.user_id, e.event_id, e.i, CASE WHEN len(list_filter(f.kept, lambda k: e.s - k < 432000)) < 3 THEN list_append(f.kept, e.s) ELSE f.kept END, len(list_filter(f.kept, lambda k: e.s - k < 432000)) < 3
   FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
 SELECT user_id, event_id, accepted FROM f""")
 def win_rolling_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per user in any 24 hours counts; what is turned away doesn't use the cap up."""
+    """Three rows per user in any five days count; what is turned away doesn't use the cap up."""
     rows = _seconds(table(spark, sf_dir, "events").filter("event_type = 'view'").select("user_id", "event_id", "ts")).drop("ts")
-    return accepted_rows(rows, ["user_id"], "seconds", "event_id", cap=1, span=86400).select("user_id", "event_id", "accepted")
+    return accepted_rows(rows, ["user_id"], "seconds", "event_id", cap=3, span=432000).select("user_id", "event_id", "accepted")
 
 
 @theme.add("""

@@ -59,6 +59,16 @@ def applied(state: DataFrame, queue: DataFrame, keys: list[str], sequence: str,
     return state.join(due.select(*keys), keys, "left_anti").unionByName(due.filter(F.col(action) == "upsert").select(*state.columns))
 
 
+def expanded(queue: DataFrame, members: DataFrame, item: str, sequence: str) -> DataFrame:
+    """item, sequence and action of a queue (kind, id, sequence, action) in which an entry of kind group stands for all its members.
+
+    members: id and item. Of the entries of a group the last one alone counts, so it is expanded once.
+    """
+    groups = queue.filter("kind = 'group'").groupBy("id").agg(F.max(F.struct(sequence, "action")).alias("x")).select("id", f"x.{sequence}", "x.action")
+    single = queue.filter("kind = 'item'").select(F.col("id").alias(item), sequence, "action")
+    return single.unionByName(groups.join(members, "id").select(item, sequence, "action"))
+
+
 def retry_at(queue: DataFrame) -> DataFrame:
     """Adds available_at: now plus two to the power of the attempts (8 at most) seconds, 300 at most."""
     wait = F.least(F.lit(300), F.pow(F.lit(2), F.least("attempts", F.lit(8)))).cast("int")
@@ -66,9 +76,14 @@ def retry_at(queue: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, target: str, keys: list[str], sequence: str, checkpoint: str):
-    """A query that writes each micro-batch of an outbox, collapsed, to a folder of its own; replays overwrite it."""
+    """A query that writes each micro-batch of an outbox, collapsed, to a folder of its own; replays overwrite it.
+
+    Once a batch is written its sequence numbers are marked as sent, in a folder of marks beside the target; what has no mark
+    wasn't forwarded. A batch that fails between the two is written again, so forwarding is at least once.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         collapsed(batch, keys, sequence).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch.select(sequence).withColumn("sent_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{target}-sent/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)

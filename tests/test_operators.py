@@ -113,3 +113,105 @@ def test_anchored_stream(spark, tmp_path):
     stream = anchored_views(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "viewer", "ts", "id")
     stream.writeStream.format("memory").queryName("views").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["row"] for r in spark.table("views").collect()) == [1, 3, 4]
+
+
+def test_tag_balance_against_a_stack(spark):
+    import re
+
+    from agoraspark.plans import registry
+
+    got = {r["page_id"]: (r["orphans"], r["unclosed"]) for r in registry.queries()["txt_balance"](spark, "/root/testdata/sf0.001").collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").filter("html is not null").collect()
+    for page in pages:
+        stack, orphans = [], 0
+        for slash, name in re.findall(r"(?i)<(/?)(p|div|ul|li|table|tr|td|h1|h2|a)[ >]", page["html"]):
+            name = name.lower()
+            if not slash:
+                stack.append(name)
+            elif name in stack:
+                while stack.pop() != name:
+                    pass
+            else:
+                orphans += 1
+        assert got[page["page_id"]] == (orphans, len(stack))
+    assert len(got) == len(pages) > 0
+
+
+def test_sqlite_in_ranges(spark, tmp_path):
+    import sqlite3
+
+    from agoraspark.sources.files import id_ranges, read_sqlite
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    path = tmp_path / "threads.db"
+    with sqlite3.connect(path) as con:
+        con.execute("create table threads (id integer primary key, title text)")
+        con.executemany("insert into threads values (?, ?)", [(i * 3, f"t{i}") for i in range(500)])
+        con.execute("create table none (id integer primary key, title text)")
+    schema = StructType([StructField("id", LongType()), StructField("title", StringType())])
+    got = read_sqlite(spark, str(path), "threads", "id", schema, 7)
+    assert rows(got) == [(i * 3, f"t{i}") for i in range(500)]
+    assert rows(read_sqlite(spark, str(path), "none", "id", schema)) == []
+    assert id_ranges(-1, 9, 4) == [(-1, 1), (1, 4), (4, 6), (6, 9)] and id_ranges(4, 5, 3) == [(4, 5)]
+
+
+def test_json_documents_and_requests(spark, tmp_path):
+    import json
+
+    from agoraspark.sources.files import read_events_json, read_json_document
+
+    (tmp_path / "list.json").write_text(json.dumps([{"id": 1, "verdict": "guide"}, {"id": 2, "verdict": None}], indent=2))
+    got = {r["id"]: r["verdict"] for r in read_json_document(spark, str(tmp_path / "list.json"), "id long, verdict string").collect()}
+    assert got == {1: "guide", 2: None}
+    lines = [json.dumps({"event_type": "view", "dwell_ms": 10**9, "read_pct": -5, "request": r, "place": i}) for r in "ab" for i in range(60 if r == "a" else 3)] + ["no json", json.dumps({"event_type": "other"})]
+    (tmp_path / "events.json").write_text("\n".join(lines))
+    kept = read_events_json(spark, str(tmp_path / "events.json"), "event_type string, dwell_ms long, read_pct long, request string, place long", ["view"], "request", "place")
+    assert kept.count() == 53 and {(r["dwell_ms"], r["read_pct"]) for r in kept.collect()} == {(3_600_000, 0)}
+
+
+def test_batches_run_over_arrow_batches(spark):
+    from agoraspark.sources.files import json_batches
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = json_batches(spark.range(100).repartition(1), "id", 10_000, 25).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["n"] for r in got] == [25, 25, 25, 25] and [r["last"] for r in got] == [False, False, False, True]
+    large = json_batches(spark.createDataFrame([("x" * 50,), ("y",)], "t string").repartition(1), "t", 20, 5).collect()
+    assert [r["n"] for r in large] == [1, 1]
+
+
+def test_windowed_counts_and_sent_marks(spark, tmp_path):
+    import datetime as dt
+
+    from agoraspark.streaming.state import drain, windowed_counts
+
+    source = str(tmp_path / "in")
+    at = [dt.datetime(2024, 1, 1, 0, m) for m in (1, 2, 7, 8, 21, 40)]
+    spark.createDataFrame([(t, "view" if i % 2 else "click", i) for i, t in enumerate(at)], "ts timestamp, kind string, id long").write.parquet(source)
+    stream = spark.readStream.schema("ts timestamp, kind string, id long").parquet(source)
+    counted = windowed_counts(stream, "ts", "kind", "10 minutes", "1 hour")
+    query = counted.writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(r["n"] for r in spark.table("counted").collect()) == [1, 1, 2, 2]
+    query = drain(stream.selectExpr("id", "kind", "id as seq"), str(tmp_path / "out"), ["kind"], "seq", str(tmp_path / "c2")).start()
+    query.awaitTermination(120)
+    assert {r["kind"]: r["seq"] for r in spark.read.parquet(str(tmp_path / "out" / "batch=0")).collect()} == {"click": 4, "view": 5}
+    assert sorted(r["seq"] for r in spark.read.parquet(str(tmp_path / "out-sent")).collect()) == list(range(6))
+
+
+def test_null_keys_are_one_key(spark):
+    df = spark.createDataFrame([(None, 0, 1), (None, 10, 2), (1, 0, 3), (None, 1000, 4)], "k long, s long, id long")
+    assert {r["id"]: r["accepted"] for r in accepted_rows(df, ["k"], "s", "id", gap=900).collect()} == {1: True, 2: False, 3: True, 4: True}
+    spent = spark.createDataFrame([(None, 5, 1), (None, -4, 2), (None, -4, 3), (2, -1, 4)], "k long, d long, id long")
+    from agoraspark.operators.ledger import guarded
+
+    assert {r["id"]: (r["granted"], r["balance"]) for r in guarded(spent, "k", "d", ["id"]).collect()} == {1: (True, 5), 2: (True, 1), 3: (False, 1), 4: (False, 0)}
+
+
+def test_text_helpers(spark):
+    from agoraspark.functions import text as T
+
+    one = spark.range(1).select(T.slug(F.lit("Größe & Été!")).alias("s"), T.excerpt(F.lit("one two three four"), 9).alias("e"), T.excerpt(F.lit("short"), 9).alias("k"), T.excerpt(F.lit("a bcdefghijkl"), 9).alias("h")).first()
+    assert tuple(one) == ("grosse-ete", "one two", "short", "a bcdefgh")

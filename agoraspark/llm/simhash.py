@@ -18,13 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agoraspark.llm.common import stored
+from agoraspark.llm.common import row_key, stored, unclashing
 from agoraspark.llm.components import connected_components
 
 SEED = 42
 BLOCK_LIMIT = 1 << 16  # rows of one block value beyond which it is dealt again
 PAIRS_AT_ONCE = 1 << 15  # node pairs that are split at a time; about four times as many wait at each of the trie's levels
 ROWS_AT_ONCE = 1 << 17
+PEEL_ROUNDS = 30
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -65,19 +66,32 @@ def lanes_of(hashes: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1) -> DataFrame:
-    """doc_id and fp (an array of signed 64-bit lanes) for every row of docs. Null texts count as empty: all lanes zero."""
+def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1, sets: bool = False) -> DataFrame:
+    """doc_id, row (hash of the text), fp (an array of signed 64-bit lanes) for every row of docs. Null texts count as empty: all lanes zero.
+
+    With sets also shingles, the distinct shingles of the text as the lower halves of their hashes.
+    """
+    names = ["doc_id", "row", "fp"] + ["shingles"] * sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value in batch.column(1):
-                rows.append(np.array(lanes_of(shingle_hashes(value.as_py(), size), lanes), np.uint64).view(np.int64))
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            fp = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, lanes), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+            for first in range(0, batch.num_rows, 1024):
+                part, prints, held = batch.slice(first, 1024), [], []
+                for value in part.column(2):
+                    hashes = shingle_hashes(value.as_py(), size)
+                    prints.append(np.array(lanes_of(hashes, lanes), np.uint64).view(np.int64))
+                    if sets:
+                        held.append(np.unique(hashes.astype(np.uint32)).view(np.int32))
+                columns = [_listed(prints), _listed(held)] if sets else [_listed(prints)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names)
+
+    schema = "doc_id long, row long, fp array<long>" + ", shingles array<int>" * sets
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs)[1].alias("row"), docs["text"].alias("text")).mapInArrow(run, schema)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, fp array<long>")
+
+def _listed(rows: list[np.ndarray]) -> pa.Array:
+    """One list for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
 
 
 class Forest:
@@ -210,15 +224,16 @@ def _extremes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[n
     return np.minimum.reduceat(padded, at)[::2], np.maximum.reduceat(padded, at)[::2]
 
 
-def _deal(rows: DataFrame, width: int, radius: int) -> DataFrame:
+def _deal(rows: DataFrame, width: int, radius: int) -> tuple[DataFrame, bool]:
     """Give each row (with a column key) a group for every block of its key, so that keys within radius meet in a group.
 
-    Groups of over BLOCK_LIMIT rows are dealt again by the bits that are left. Adds the column grp; keeps the others.
+    Groups of over BLOCK_LIMIT rows are dealt again by the bits that are left. Adds the column grp; keeps the others. Also
+    returns whether the bits were used up with such groups about.
     """
     names = rows.columns
     first = F.col("lane") if "lane" in names else F.lit(0)
     rows = rows.select(*names, first.cast("long").alias("grp"), F.col("key").alias("rest"))
-    done = None
+    done, exhausted = None, False
     while width >= 2 * (radius + 1):
         size = width // (radius + 1)
         mask = (1 << size) - 1
@@ -232,25 +247,51 @@ def _deal(rows: DataFrame, width: int, radius: int) -> DataFrame:
         width -= size
         if width < 2 * (radius + 1):
             break
+        exhausted = True
         hot = stored(rows.groupBy("grp").count().filter(F.col("count") > BLOCK_LIMIT).select("grp", F.lit(True).alias("hot")), "hot-groups")
         if hot.isEmpty():
+            exhausted = False
             break
         marked = rows.join(hot, "grp", "left")
         cool = marked.filter("hot is null").drop("hot")
         done = cool if done is None else done.unionByName(cool)
         rows = marked.filter("hot").drop("hot")
-    return rows.drop("rest") if done is None else done.unionByName(rows).drop("rest")
+    return (rows if done is None else done.unionByName(rows)).drop("rest"), exhausted
+
+
+def _peel(dealt: DataFrame, max_total: int) -> tuple[DataFrame, DataFrame | None]:
+    """Take from groups that can't be dealt any further the rows within max_total of the group's least id, as links to it.
+
+    That is repeated with what is left until no group holds more than BLOCK_LIMIT rows, so no task gets all rows that share
+    a key. Returns the rows that are left, and the links.
+    """
+    links = None
+    for _ in range(PEEL_ROUNDS):
+        hot = stored(dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "fp")).alias("head")).filter(F.col("n") > BLOCK_LIMIT).drop("n"), "hot-keys")
+        if hot.isEmpty():
+            break
+        marked = dealt.join(hot, "grp", "left")
+        apart = F.aggregate(F.zip_with("fp", "head.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        marked = stored(marked.withColumn("apart", F.when(F.col("head").isNotNull(), apart)), "peeled")
+        found = marked.filter(F.col("apart") <= max_total).select(F.col("id").alias("a"), F.col("head.id").alias("b")).filter("a <> b")
+        links = found if links is None else links.unionByName(found)
+        dealt = marked.filter(F.col("apart").isNull() | (F.col("apart") > max_total)).drop("head", "apart")
+    return dealt, links
 
 
 def near_links(rows: DataFrame, width: int, radius: int, max_total: int | None = None) -> DataFrame:
     """Links a, b (ids) that connect all rows whose keys differ in radius bits or less.
 
     rows: id (long), key (long, of width bits) and, if max_total is given, lane (int) and fp (array of longs): then only
-    keys of one lane meet, and the whole of both fp may differ in max_total bits at most.
+    keys of one lane meet, and the whole of both fp may differ in max_total bits at most. Keys may repeat then; of groups of
+    over BLOCK_LIMIT rows that are left when all bits are dealt, rows near to the first are linked to it alone.
     """
-    dealt = _deal(rows, width, radius)
+    dealt, exhausted = _deal(rows, width, radius)
+    peeled = None
     if max_total is not None:
         dealt = dealt.drop("lane")
+        if exhausted:
+            dealt, peeled = _peel(dealt, max_total)
     dealt = dealt.repartition("grp").sortWithinPartitions("grp", F.shiftrightunsigned("key", 1), F.col("key").bitwiseAND(F.lit(1).cast("long")))
 
     def solve(groups: np.ndarray, ids: np.ndarray, keys: np.ndarray, full: np.ndarray | None) -> pa.RecordBatch:
@@ -288,7 +329,8 @@ def near_links(rows: DataFrame, width: int, radius: int, max_total: int | None =
         if held:
             yield solve(*_joined(held))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    links = dealt.mapInArrow(run, "a long, b long")
+    return (links if peeled is None else links.unionByName(peeled)).distinct()
 
 
 def _joined(held: list[list[np.ndarray | None]]) -> list[np.ndarray | None]:
@@ -308,39 +350,86 @@ def components_by_fingerprint(prints: DataFrame, radius: int = 3) -> DataFrame:
 def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """Fingerprint and component of every document. Empty and null texts have fingerprint zero and are linked like others.
 
-    Repeated rows give repeated results; other columns are ignored.
+    Texts are read whole however long. Bits on which the shingles tie are not set. Repeated rows give repeated results; rows
+    without doc_id are linked, but name no component while another row is in it. An empty table gives an empty result. Other
+    columns are ignored, whatever their names.
     """
     prints = stored(fingerprints(docs, size).select("doc_id", F.col("fp")[0].alias("fp")), "fingerprints")
     return components_by_fingerprint(prints, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 NEAR_SHINGLE = 5
-NEAR_LANES = 4
+NEAR_SIMILARITY = 0.8  # shared shingles by all shingles of both texts
+NEAR_LANES = 5
 NEAR_RADIUS = 3  # of the 32 bits of half a lane
-NEAR_TOTAL = 44  # of all 256 bits: 39 differ on average at a shingle similarity of 0.8, with a deviation of 6
+NEAR_TOTAL = 70  # of all 320 bits: 48.5 differ on average at a similarity of 0.8, with a deviation of 6.4
+HOT_PARTNERS, HOT_LIMIT = 5_000, 200_000  # pairs from which a row is copied to several tasks, or more, so that at most HOT_LIMIT rows are
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which the sets (id, shingles) have a Jaccard similarity of NEAR_SIMILARITY or more.
+
+    A row b that is in many pairs is copied, so that its pairs are tested in several tasks.
+    """
+    many = max(HOT_PARTNERS, pairs.count() // HOT_LIMIT)
+    hot = F.broadcast(pairs.groupBy("b").count().filter(F.col("count") > many).select("b", F.ceil(F.col("count") / many).cast("int").alias("copies")))
+    left = pairs.join(hot, "b", "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("a"), F.col("copies")), F.lit(0))).select("a", "b", F.col("copy").cast("int").alias("copy"))
+    right = sets.join(hot, sets["id"] == hot["b"], "left").select("id", F.col("shingles").alias("theirs"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    rows = left.join(sets.select(F.col("id").alias("a"), "shingles"), "a").join(right.withColumnRenamed("id", "b"), ["b", "copy"])
+    shared = F.size(F.array_intersect("shingles", "theirs"))
+    return rows.filter(shared >= NEAR_SIMILARITY * (F.size("shingles") + F.size("theirs") - shared)).select("a", "b")
+
+
+def confirmed_components(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, root of the graph of those links (a, b) that similar() confirms.
+
+    One link a node is tested first; of the others, which are many in large groups, only those that still join different
+    components are. The components are those of all confirmed links.
+    """
+    links = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "candidates")
+    first = stored(links.groupBy("a").agg(F.min("b").alias("b")), "tested")
+    sure = stored(similar(first, sets), "confirmed")
+    roots = stored(connected_components(sure), "roots")
+    rest = links.join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    rest = stored(rest.filter("root_a <> root_b"), "untested")
+    if rest.isEmpty():
+        return roots
+    more = stored(similar(rest.select("a", "b"), sets), "confirmed")
+    return roots if more.isEmpty() else connected_components(sure.unionByName(more))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id and group_id (the least doc_id of its group) by similarity of five-word shingles of about 0.8 or more.
+    """doc_id, row (hash of the text) and group_id (the least doc_id of its group) by a similarity of five-word shingles of 0.8 or more.
 
-    A fingerprint of 256 bits estimates the similarity; pairs are candidates if one of its eight parts of 32 bits differs
-    in 3 bits at most (found by the trie self-join), and are linked if all of it differs in NEAR_TOTAL bits at most. At a
-    similarity of exactly 0.8 a pair is a candidate with probability 0.9, at 0.85 with 0.98; NEAR_TOTAL then drops more, and
-    no exact similarity confirms a link. Null texts count as empty.
+    A fingerprint of 320 bits estimates the similarity; pairs are candidates if one of its ten parts of 32 bits differs in
+    3 bits at most (found by the trie self-join), and all of it in NEAR_TOTAL bits at most. At a similarity of exactly 0.8
+    that is so of 0.95 of the pairs, at 0.85 of 0.99. The candidates that connect others are confirmed by their shingles, so
+    no link of a lower similarity is made. Rows of equal fingerprints are one to the join. Rows without doc_id have no group.
     """
-    prints = stored(fingerprints(docs, NEAR_SHINGLE, NEAR_LANES), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"), "prints")
+    prints = stored(fingerprints(docs, NEAR_SHINGLE, NEAR_LANES, sets=True).filter("doc_id is not null"), "fingerprints")
+    classes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = stored(classes.select(F.xxhash64("fp").alias("id"), "fp", "first"), "prints")
     parts = [F.struct(F.lit(2 * k + j).alias("lane"), F.shiftrightunsigned(F.col("fp")[k], 32 * j).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("key")) for k in range(NEAR_LANES) for j in (0, 1)]
     rows = classes.select("id", "fp", F.explode(F.array(*parts)).alias("p")).select("id", "fp", "p.lane", "p.key")
-    roots = connected_components(near_links(rows, 32, NEAR_RADIUS, NEAR_TOTAL))
-    labels = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("group_id"))
-    return prints.join(labels, "fp").select("doc_id", "group_id")
+    links = stored(near_links(rows, 32, NEAR_RADIUS, NEAR_TOTAL), "near-links")
+    linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    heads = classes.join(linked, "id", "left_semi").select("id", "first.doc_id", "first.row")
+    sets = stored(prints.select("doc_id", "row", "shingles").join(heads, ["doc_id", "row"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
+    roots = stored(confirmed_components(links, sets), "near-roots")
+    labels = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("root"), F.col("first.doc_id").alias("first_id"))
+    least = labels.groupBy("root").agg(F.min("first_id").alias("group_id"))
+    return prints.select("doc_id", "row", "fp").join(labels.select("fp", "root"), "fp").join(least, "root").select("doc_id", "row", "group_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs but for those whose near-duplicate group has a document of smaller doc_id; all columns.
+    """The rows of docs but for those whose near-duplicate group has a document of smaller doc_id; all columns as they are.
 
-    Rows without doc_id stay, and so do rows that repeat the doc_id of one that stays.
+    Rows without doc_id stay, and so do rows that repeat the doc_id of the one that stays, in its group or in none. Null and
+    empty texts are equal to each other and to texts without words. Repeated rows stay or go together.
     """
-    extra = near_groups(docs).filter("doc_id <> group_id").select(F.col("doc_id").alias("extra_id")).distinct()
-    return docs.join(extra, docs["doc_id"] == extra["extra_id"], "left_anti")
+    extra_id, extra_row = unclashing(docs, "extra_id", "extra_row")
+    extra = near_groups(docs).filter("doc_id <> group_id").select(F.col("doc_id").alias(extra_id), F.col("row").alias(extra_row)).distinct()
+    _, row = row_key(docs)
+    return docs.join(extra, (docs["doc_id"].cast("long") == extra[extra_id]) & (row == extra[extra_row]), "left_anti")

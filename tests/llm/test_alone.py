@@ -46,7 +46,7 @@ def test_results_do_not_change_with_partitions(spark):
     assert langid.identify(same).filter("doc_id >= 1000").select("lang_pred", "score").distinct().count() == 1
 
 
-@pytest.mark.parametrize(("share", "n"), [(0.2, 6000), (0.05, 40000)])
+@pytest.mark.parametrize(("share", "n"), [(0.2, 6000), (0.05, 60000)])
 def test_pairs_that_say_nothing_alone(share, n):
     """Both words are toxic, one alone never, neither so often that no word goes with the label: only factors can tell."""
     rng, base = np.random.default_rng(7), share / (1 - share)

@@ -1,13 +1,18 @@
 """Chat formatting, with DataFrame functions only.
 
-Records are JSON texts of any known layout. The nested field paths of a record are hashed to a fingerprint, and the
-fingerprint selects a declarative mapping from the record to canonical turns (role, text). A template sets marks around
-every turn. Control strings inside texts are escaped with backslashes, so that the turns can be read back from the
-formatted text alone. A loss mask of run lengths covers the texts of assistant turns.
-
-Null texts and roles count as empty. A record whose fingerprint no mapping has, or that is no JSON, keeps its row with
-null turns and mapping. A conversation without turns is formatted as the empty text. Other columns stay as they are;
-columns of the names that are added (fingerprint, mapping, turns, formatted, mask) are replaced.
+Records are JSON texts of any known layout. The nested field paths of a record that mappings know are hashed to a
+fingerprint, and the fingerprint selects a declarative mapping from the record to canonical turns (role, text); fields that
+no mapping reads, at any depth, are let through and don't matter. A template sets marks around every turn. Control strings
+inside texts are escaped with backslashes, so that the turns can be read back from the formatted text alone. A loss mask of
+run lengths covers the texts of assistant turns.
+
+Null texts and roles count as empty. A record whose fingerprint no mapping has keeps its row with null turns and mapping; so
+does one that is no JSON, whose fingerprint is null as well. Records beyond the size that Spark parses as a variant (about
+128 MB) have no fingerprint either; they get the first mapping all of whose fields they have, so long texts aren't lost. A
+list without turns gives no turns, and a conversation without turns is formatted as the empty text. Rows of one turn number
+are in the order of role and text, so ties have an order; repeated rows of a conversation are turns of their own, and repeated
+records give equal results. An empty table gives an empty result. Other columns stay as they are; columns of the names that
+are added (fingerprint, mapping, turns, formatted, mask) are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ MAPPINGS: dict[str, dict] = {
 }
 
 KINDS = r"STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|UUID|VARIANT|DECIMAL\(\d+,\d+\)"
+DEPTH = 4  # levels of unknown fields within unknown fields that are let through
 OPENING = r"\[INST\]|<s>|<<SYS>>|<<ROLE:[^<>\[\]\s]*>>"
 CLOSING = r"\[/INST\]|</s>|<</SYS>>|<</ROLE>>"
 #: What is escaped inside texts: all marks, and the beginning of the one that carries a name.
@@ -51,14 +57,40 @@ def layout_text(paths: tuple[str, ...]) -> str:
     return text(tree)
 
 
+def _names() -> str:
+    """All field names that mappings know, as alternatives of a pattern."""
+    return "|".join(sorted({n.removesuffix("[]") for m in MAPPINGS.values() for path in m["paths"] for n in path.split(".")}))
+
+
+def known_layout(layout: Column) -> Column:
+    """A layout without types and without the fields that no mapping knows; inner ones go first, DEPTH levels at most.
+
+    What holds no fields is written without angles: {} for an object, [] around an array's items.
+    """
+    out = F.regexp_replace(layout, rf"(?<=[<\s])(?:{KINDS})(?=[,>])", "")
+    other = rf"(?!(?:{_names()}): )(?:`(?:[^`]|``)*+`|[^<>,:`\s]+): [\[\]{{}}]*+"
+    for _ in range(DEPTH):
+        out = F.replace(out, F.lit("OBJECT<>"), F.lit("{}"))
+        for _ in range(2):
+            out = F.regexp_replace(out, r"ARRAY<([\[\]{}]*+)>", "[$1]")
+        # one after another first, then one that stands first, then one that stands alone
+        for place in (rf", {other}(?=[,>])", rf"(?<=<){other}, ", rf"(?<=<){other}(?=>)"):
+            out = F.regexp_replace(out, place, "")
+    return out
+
+
 def fingerprint(record: Column) -> Column:
-    """Hash of a JSON text's nested field paths, whatever its values; null for what is no JSON."""
+    """Hash of the nested field paths of a JSON text that mappings know, whatever its values; null for what is no JSON."""
     layout = F.schema_of_variant(F.try_parse_json(record))
-    return F.xxhash64(F.regexp_replace(layout, rf"(?<=[<\s])(?:{KINDS})(?=[,>])", ""))
+    return F.when(layout.isNotNull(), F.xxhash64(known_layout(layout)))
 
 
-def _known(paths: tuple[str, ...]) -> Column:
-    return F.xxhash64(F.lit(layout_text(paths)))
+def _known(mapping: dict) -> Column:
+    """The fingerprints of a mapping: of its layout, and of its list without items."""
+    whole = [F.xxhash64(F.lit(layout_text(mapping["paths"])))]
+    if "list" in mapping:
+        whole.append(F.xxhash64(F.lit(layout_text((mapping["list"][0] + "[]",)).replace("ARRAY<>", "[]"))))
+    return F.array(*whole)
 
 
 def _schema(mapping: dict) -> str:
@@ -103,14 +135,25 @@ def _turns(record: Column, mapping: dict) -> Column:
     return F.transform(field(at), lambda x: _turn(renamed(x.getField(role)), x.getField(text)))
 
 
+def _fits(record: Column, mapping: dict) -> Column:
+    """Whether a JSON text has all fields that a mapping reads."""
+    parsed, fits = F.from_json(record, _schema(mapping)), F.lit(True)
+    for path in [mapping["list"][0]] if "list" in mapping else [p for _, p in mapping["fields"]]:
+        out = parsed
+        for name in path.split("."):
+            out = out.getField(name)
+        fits = fits & out.isNotNull()
+    return fits
+
+
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """Adds fingerprint, mapping and turns (array of role and text) to rows whose column record is a JSON text."""
     rows = records.withColumn("fingerprint", fingerprint(F.col(record)))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for key, mapping in MAPPINGS.items():
-        hit = F.col("fingerprint") == _known(mapping["paths"])
+    for key, mapping in reversed(MAPPINGS.items()):
+        hit = F.when(F.col("fingerprint").isNull(), _fits(F.col(record), mapping)).otherwise(F.array_contains(_known(mapping), F.col("fingerprint")))
         name, turns = F.when(hit, F.lit(key)).otherwise(name), F.when(hit, _turns(F.col(record), mapping)).otherwise(turns)
-    return rows.withColumns({"mapping": name, "turns": turns})
+    return rows.withColumn("turns", turns).withColumn("mapping", F.when(F.col("turns").isNotNull(), name))
 
 
 def escaped(text: Column) -> Column:

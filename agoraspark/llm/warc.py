@@ -9,9 +9,14 @@ the manifest, which Spark commits, lists those that count; what a lost attempt l
 Of pages with equal payloads of MIN_REVISIT bytes or more, that of the largest page_id is a response and the others are
 revisits that name it. Rows that repeat that page_id are responses as well.
 
+Record ids are hashes of page id, payload digest and the number of the row among equal ones, so they are unique and the same
+in every run; the page id itself stands in a header of its own. A target address that isn't plain ASCII is percent-encoded as
+the format wants, and its original goes into another header, from which it is read back.
+
 Null html counts as empty. A null page_id sorts first and is written without an id; its record is a revisit if a page
-with an id has its payload. A null url leaves the target header out. An empty table gives no files. Other columns are
-ignored.
+with an id has its payload. A null url leaves the target header out. Payloads of any length pass; a task holds one record.
+Rows that tie in id and payload are in the order of their addresses. An empty table gives no files. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -100,20 +105,26 @@ def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _urn(page_id: int | None, payload_sha1: str, row: int) -> str:
+    """The id of a record: a name-based UUID of its page, payload (hex SHA-1) and number among equal rows."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"page:{'' if page_id is None else page_id}:{payload_sha1}:{row}").urn
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """The record of one page: a response, or a revisit of refers_to without the payload."""
+def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, row: int = 0) -> bytes:
+    """The record of one page: a response, or a revisit of refers_to without the payload. row: its number among equal rows."""
     http = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}".encode()]) + CRLF + CRLF
-    block = http if refers_to is not None else http + payload
-    headers = [("WARC-Record-ID", _urn(page_id)), ("WARC-Date", WRITTEN)]
+    block, digest = http if refers_to is not None else http + payload, hashlib.sha1(payload).hexdigest()
+    headers = [("WARC-Record-ID", f"<{_urn(page_id, digest, row)}>"), ("WARC-Date", WRITTEN)]
+    if page_id is not None:
+        headers.append(("Page-ID", str(page_id)))
     if url is not None:
-        headers.append(("WARC-Target-URI", quote(url, safe="%/:?#[]@!$&'()*+,;=~")))
+        target = quote(url, safe="%/:?#[]@!$&'()*+,;=~")
+        headers.append(("WARC-Target-URI", target))
+        if target != url:
+            headers.append(("Page-URL-Base64", base64.b64encode(url.encode("utf-8", "surrogatepass")).decode()))
     headers += [("Content-Type", "application/http;msgtype=response"), ("WARC-Block-Digest", _sha1(block)), ("WARC-Payload-Digest", _sha1(payload))]
     if refers_to is not None:
-        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(refers_to))]
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{_urn(refers_to, digest, 0)}>"), ("Refers-To-Page-ID", str(refers_to))]
     return _record("response" if refers_to is None else "revisit", headers, block)
 
 
@@ -189,7 +200,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll_bytes: int
     dealt = bodies.unionByName(noted).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, note = _Writer(folder, roll_bytes), (None, None, None)
+        writer, note, last, row = _Writer(folder, roll_bytes), (None, None, None), None, 0
 
         def manifest(files: list[tuple]) -> Iterator[pa.RecordBatch]:
             if files:
@@ -202,10 +213,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll_bytes: int
                     note = (page_id, digest, keep)
                     continue
                 refers_to = note[2] if note[:2] == (page_id, digest) else None
-                yield from manifest(list(writer.add(shard, page_record(page_id, url, body, refers_to), len(body))))
+                row = row + 1 if last == (page_id, digest) else 0
+                last = (page_id, digest)
+                yield from manifest(list(writer.add(shard, page_record(page_id, url, body, refers_to, row), len(body))))
         yield from manifest(list(writer.close()))
 
     dealt.mapInArrow(run, MANIFEST_SCHEMA).write.parquet(f"{folder}/manifest")
+    for left in store.get_file_info(fs.FileSelector(path)):  # temporary files of attempts that failed
+        if left.base_name.startswith(".pages-"):
+            store.delete_file(left.path)
     return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/manifest"), folder
 
 
@@ -234,11 +250,16 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
-def _page_of(urn: str | None) -> int | None:
-    value = (urn or "")[len("<urn:page:") : -1]
+def _page_of(value: str | None) -> int | None:
     return int(value) if value else None
 
 
+def _address(headers: dict[str, str]) -> str | None:
+    """The page's address as it was, from its own header if the target is an encoded one."""
+    original = headers.get("page-url-base64")
+    return base64.b64decode(original).decode("utf-8", "surrogatepass") if original else headers.get("warc-target-uri")
+
+
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """A row for each response or revisit record of the manifest's files, its digests checked; payload only if asked for."""
 
@@ -257,7 +278,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                         size = int(next(x for x in http.decode().split("\r\n") if x.lower().startswith("content-length: "))[16:])
                         claimed, full = headers["warc-payload-digest"], headers["warc-type"] == "response"
                         agree = headers["warc-block-digest"] == _sha1(block) and (not full or (claimed == _sha1(body) and size == len(body)))
-                        rows.append((_page_of(headers["warc-record-id"]), headers.get("warc-target-uri"), size, base64.b32decode(claimed[5:]).hex(), headers["warc-type"], _page_of(headers.get("warc-refers-to")), agree, body if payloads and full else None, name))
+                        rows.append((_page_of(headers.get("page-id")), _address(headers), size, base64.b32decode(claimed[5:]).hex(), headers["warc-type"], _page_of(headers.get("refers-to-page-id")), agree, body if payloads and full else None, name))
                         held += len(block) if payloads else 0
                         if len(rows) >= 4096 or held > 16 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

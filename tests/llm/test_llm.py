@@ -113,6 +113,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert kinds == [(-1, "revisit", 902), (900, "revisit", 902), (901, "revisit", 902), (902, "response", None), (902, "response", None)]
     again, other = warc.write_archives(pages.repartition(3), f"file://{tmp_path}/again", roll_bytes=3000)
     assert sorted(manifest.select("file", "sha256").collect()) == sorted(again.select("file", "sha256").collect())
+    ids, urls = [], {r["page_id"]: r["url"] for r in got}
+    for name in tmp_path.joinpath("w").glob("*.warc.gz"):
+        with open(name, "rb") as source:
+            ids += [warc.parse_record(x)[0]["warc-record-id"] for x in warc.read_members(source)]
+    assert len(ids) == len(set(ids)) == len(rows) + manifest.count() and urls[902] == "http://b\r\nX: y" and not list(tmp_path.joinpath("w").glob(".pages-*"))
+    large = "ab" * (6 << 20)
+    whole, folder = warc.write_archives(spark.createDataFrame([(1, "http://é/ü?q=%41", large), (2, None, large)], "page_id long, url string, html string"), f"file://{tmp_path}/large")
+    back = {r["page_id"]: r for r in warc.read_archives(whole, folder).collect()}
+    assert bytes(back[2]["payload"]).decode() == large and back[1]["refers_to"] == 2 and back[1]["url"] == "http://é/ü?q=%41" and back[2]["url"] is None
     none, folder = warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_archives(none, folder).count() == 0
 
@@ -169,6 +178,34 @@ def test_chat_layouts(spark):
     assert [got[i]["mapping"] for i in (6, 7, 8)] == [None] * 3 and [got[i]["turns"] for i in (6, 7, 8)] == [None] * 3
 
 
+def test_chat_fields_that_no_mapping_knows(spark, monkeypatch):
+    turn = {"role": "user", "content": "hi"}
+    records = [
+        {"id": 7, "messages": [{**turn, "name": "n", "meta": {"a": [1, {"b": None}], "c": {"d": {"e": 1}}}}], "tags": ["x"], "z": {}},
+        {"messages": []},
+        {"conversations": [], "source": "s"},
+        {"prompt": "p", "extra": [[1]], "response": "r"},
+        {"messages": [{"role": "user"}]},
+        {"dialog": {"turns": [{"speaker": "a", "text": "t", "at": 3}], "date": "d"}},
+        [],
+        "text",
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r), "m") for i, r in enumerate(records)] + [(8, "no json", "m"), (9, None, "m")], "id long, record string, mapping string")
+    got = {r["id"]: r for r in chat.canonical_turns(df).collect()}
+    assert [got[i]["mapping"] for i in range(10)] == ["messages", "messages", "from_value", "prompt", None, "dialog", None, None, None, None]
+    assert [tuple(t) for t in got[0]["turns"]] == [("user", "hi")] and got[1]["turns"] == got[2]["turns"] == [] and [tuple(t) for t in got[3]["turns"]] == [("user", "p"), ("assistant", "r")]
+    assert got[8]["fingerprint"] is None and got[9]["fingerprint"] is None
+    assert chat.formatted(chat.canonical_turns(df)).filter("id = 1").first()["formatted"] == ""
+    # what is too large for a variant has no fingerprint, and is mapped by its fields
+    monkeypatch.setattr(chat, "fingerprint", lambda record: F.lit(None).cast("long"))
+    late = {r["id"]: r["mapping"] for r in chat.canonical_turns(df).collect()}
+    assert [late[i] for i in (0, 1, 2, 3, 5, 8, 9)] == ["messages", "messages", "from_value", "prompt", "dialog", None, None]
+    long_text = "wörd " * 400_000
+    big = spark.createDataFrame([(1, json.dumps({"prompt": "p", "response": long_text}))], "id long, record string")
+    back = chat.read_back(chat.formatted(chat.canonical_turns(big))).first()
+    assert back["loss_text"] == long_text
+
+
 def test_chat_rows(spark):
     rows = spark.createDataFrame([(1, 1, "assistant", None), (1, 0, "user", "x"), (2, 0, None, "y"), (None, 0, "human", "z"), (4, 0, "human", "h"), (4, 1, "gpt", "g")], "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.canonical_turns(chat.as_records(rows)).collect()}

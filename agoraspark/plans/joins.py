@@ -117,13 +117,13 @@ def join_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @theme.add("""
-WITH a AS (SELECT conv_id % 50 AS thread, row_number() OVER (PARTITION BY conv_id % 50 ORDER BY conv_id, turn) AS i, conv_id, turn FROM conversations WHERE role = 'user'),
-     b AS (SELECT conv_id % 50 AS thread, row_number() OVER (PARTITION BY conv_id % 50 ORDER BY conv_id, turn) AS i, conv_id, turn FROM conversations WHERE role = 'assistant'),
+WITH a AS (SELECT conv_id // 50 AS thread, row_number() OVER (PARTITION BY conv_id // 50 ORDER BY conv_id, turn) AS i, conv_id, turn FROM conversations WHERE role = 'user'),
+     b AS (SELECT conv_id // 50 AS thread, row_number() OVER (PARTITION BY conv_id // 50 ORDER BY conv_id, turn) AS i, conv_id, turn FROM conversations WHERE role = 'assistant'),
      ok AS (SELECT thread FROM (SELECT thread, count(*) AS n FROM a GROUP BY 1) JOIN (SELECT thread, count(*) AS n FROM b GROUP BY 1) USING (thread, n))
 SELECT thread, i AS place, a.conv_id AS left_conv, a.turn AS left_turn, b.conv_id AS right_conv, b.turn AS right_turn FROM a JOIN b USING (thread, i) JOIN ok USING (thread)""")
 def join_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sequences of a thread merged place by place, only where they are equally long."""
-    rows = table(spark, sf_dir, "conversations").withColumn("thread", F.col("conv_id") % 50)
+    rows = table(spark, sf_dir, "conversations").withColumn("thread", F.floor(F.col("conv_id") / 50))
     sides = [rows.filter(F.col("role") == role).select("thread", F.struct("conv_id", "turn").alias("row")) for role in ("user", "assistant")]
     merged = positional_merge(*sides, key="thread", row="row")
     return merged.select("thread", "place", F.col("left.conv_id").alias("left_conv"), F.col("left.turn").alias("left_turn"), F.col("right.conv_id").alias("right_conv"), F.col("right.turn").alias("right_turn"))

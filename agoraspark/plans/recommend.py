@@ -221,3 +221,30 @@ def rec_embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
     whole = F.trim(F.array_join(F.array(title, F.array_join(F.slice(F.array("lang", "source"), 1, 6), ", "), excerpt(F.col("text"), 600)), "\n"))
     return rows.select("doc_id", F.char_length(whole).cast("long").alias("chars"), F.md5(whole.cast("binary")).alias("embed_md5"))
+
+
+@theme.add(f"""
+WITH n AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ')) AS w FROM part), k AS (SELECT q.id AS query, v.id, len(list_intersect(q.w, v.w)) / len(list_distinct(list_concat(q.w, v.w)))::DOUBLE AS lexical FROM n q JOIN n v ON q.id <> v.id WHERE q.id % 100 = 0),
+s AS (SELECT query, id, score AS semantic FROM {MET} WHERE score >= 0.25), b AS (SELECT query, id, lexical, semantic FROM (SELECT * FROM k WHERE lexical >= 0.6) FULL JOIN s USING (query, id)),
+r AS (SELECT query, id, round(greatest(coalesce(lexical, 0), coalesce(semantic, 0)) + 0.25 * least(coalesce(lexical, 0), coalesce(semantic, 0)), 6) AS rank FROM b)
+SELECT query, id, rank, CASE WHEN rank >= 1.0 THEN 'high' WHEN rank >= 0.85 THEN 'medium' ELSE 'low' END AS confidence FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank DESC, id) <= 5""")
+def rec_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five likeliest duplicates of each of a stated set, by shared words of the name or by vectors, with how sure that is."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.array_distinct(F.split("p_name", " ")).alias("w"))
+    # names are few and repeat, so sets of words are compared once each, where they share a word
+    sets = names.select("w").distinct().withColumn("key", F.xxhash64("w"))
+    asked = names.filter("id % 100 = 0").select("w").distinct().withColumn("q_key", F.xxhash64("w"))
+    met = asked.select("q_key", F.col("w").alias("q_w"), F.explode("w").alias("word")).join(sets.select("key", "w", F.explode("w").alias("word")), "word").select("q_key", "q_w", "key", "w").distinct()
+    close = met.select("q_key", "key", (F.size(F.array_intersect("q_w", "w")) / F.size(F.array_union("q_w", "w"))).alias("lexical")).filter("lexical >= 0.6")
+    keyed = names.select("id", F.xxhash64("w").alias("key"))
+    # only the first five of a set of equal names can be among a query's five, besides the query and what vectors bring
+    first = keyed.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter("i <= 6").drop("i")
+    vectors = table(spark, sf_dir, "embeddings")
+    semantic = cosine_top_k(vectors.filter("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 1 << 30, 0.25).select("query", "id", F.col("score").alias("semantic"))
+    queries = keyed.filter("id % 100 = 0").select(F.col("id").alias("query"), F.col("key").alias("q_key"))
+    by_name = queries.join(close, "q_key")
+    lexical = by_name.join(first, "key").select("query", "id", "lexical").unionByName(by_name.join(semantic.select("query", "id").join(keyed, "id"), ["query", "key"]).select("query", "id", "lexical")).filter("query <> id").distinct()
+    a, b = F.coalesce("lexical", F.lit(0.0)), F.coalesce("semantic", F.lit(0.0))
+    ranked = lexical.join(semantic, ["query", "id"], "full").select("query", "id", F.round(F.greatest(a, b) + 0.25 * F.least(a, b), 6).alias("rank"))
+    best = ranked.withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rank"), "id"))).filter("i <= 5")
+    return best.select("query", "id", "rank", F.when(F.col("rank") >= 1.0, "high").when(F.col("rank") >= 0.85, "medium").otherwise("low").alias("confidence"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from agoraspark.operators.ledger import idempotent
 from agoraspark.operators.sequences import accepted_rows, streaks
 from agoraspark.plans.base import AS_OF, EVENTS, Theme, events, table
-from agoraspark.sources.files import after, exported, id_ranges, json_batches, materialised, rebuilt, shards
+from agoraspark.sources.files import after, exported, id_ranges, json_batches, materialised, read_events_json, read_json_document, rebuilt, shards, shared_path
 from agoraspark.streaming.state import applied, expanded, retry_at
 
 theme = Theme()
@@ -259,3 +259,46 @@ def snk_json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = json_batches(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", 4000, 50)
     loose = F.count_if((F.col("n") < 50) & (F.col("bytes") < 3900) & ~F.col("last"))
     return batches.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), (F.max("n") <= 50).alias("fits"), (F.max("bytes") <= 4000).alias("small"), (loose == 0).alias("filled")).select("bytes", "n", (F.col("fits") & F.col("small")).alias("bounded"), "filled")
+
+
+@theme.add("""
+WITH RECURSIVE v AS (SELECT event_id, user_id, item, date_sub('second', TIMESTAMP '2024-01-01', ts) AS s FROM """ + EVENTS + """ WHERE event_type = 'view' AND event_id % 4 <> 3 AND event_id % 6 <> 5),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id, item % 20 ORDER BY s, event_id) AS i, item % 20 AS page FROM v),
+f AS (SELECT user_id, page, event_id, i, s AS last, true AS kept FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.page, e.event_id, e.i, CASE WHEN e.s - f.last >= 86400 THEN e.s ELSE f.last END, e.s - f.last >= 86400 FROM f JOIN e ON e.user_id = f.user_id AND e.page = f.page AND e.i = f.i + 1)
+SELECT event_id, user_id, page FROM f WHERE kept""")
+def src_view_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views that count: of pages that succeeded, by no robot, a day or more after the viewer's last one of the page that did."""
+    i = F.col("event_id")
+    path = F.concat(F.when(i % 4 == 3, "/admin/").otherwise("/d/"), (F.col("item") % 20).cast("string"))
+    agent = F.when(i % 6 == 5, "ExampleBot/1.0 (+crawler)").otherwise("Mozilla/5.0")
+    seconds = F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts"))
+    hits = events(spark, sf_dir).filter("event_type = 'view'").select("event_id", "user_id", path.alias("path"), agent.alias("agent"), seconds.alias("seconds"))
+    people = hits.filter(F.col("path").rlike(r"^/d/\d+$") & ~F.col("agent").rlike(r"(?i)bot|crawl|spider|slurp"))
+    rows = people.select("event_id", "user_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("page"), "seconds")
+    return accepted_rows(rows, ["user_id", "page"], "seconds", "event_id", gap=86400).filter("accepted").select("event_id", "user_id", "page")
+
+
+@theme.add("SELECT event_type, count(*) AS n, CAST(sum(least(greatest(CAST(floor(value * 20000) AS BIGINT), 0), 3600000)) AS BIGINT) AS dwell_ms, CAST(sum(least(greatest(CAST(floor(value) AS BIGINT) - 20, 0), 100)) AS BIGINT) AS read_pct FROM (SELECT *, row_number() OVER (PARTITION BY event_id // 70 ORDER BY event_id) AS i FROM events) WHERE i <= 50 AND event_type IN ('view', 'click', 'purchase') GROUP BY 1")
+def src_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they are sent, JSON lines in requests: known kinds, fifty of a request, clamped numbers."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.floor(F.col("value") * 20000).alias("dwell_ms"), (F.floor("value") - 20).alias("read_pct"), F.floor(F.col("event_id") / 70).alias("request"), "event_id")
+    sent = exported(rows, "requests", rows_per_file=100_000)
+    read = read_events_json(spark, sent, "event_type string, dwell_ms long, read_pct long, request long, event_id long", ["view", "click", "purchase"], "request", "event_id")
+    return read.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("dwell_ms").alias("dwell_ms"), F.sum("read_pct").alias("read_pct"))
+
+
+@theme.add("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, n_regionkey % 2 = 0 AS guide FROM nation")
+def src_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts in JSON documents of several lines, a file each."""
+    rows = table(spark, sf_dir, "nation").select(F.struct(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), (F.col("n_regionkey") % 2 == 0).alias("guide")).alias("x"))
+    folder = shared_path(spark, "verdicts")
+    rows.select(F.to_json("x", {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return read_json_document(spark, folder, "id long, name string, guide boolean")
+
+
+@theme.add("SELECT shard, imported, skipped, cursor FROM (SELECT CAST(event_id % 3 AS INTEGER) AS shard, count_if(event_type <> 'error') AS imported, count_if(event_type = 'error') AS skipped, max(event_id) AS cursor FROM events WHERE event_id > 300 GROUP BY 1)")
+def str_resumable_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import that goes on after its cursors: rows that are skipped move a shard's cursor as well."""
+    rows = shards(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 3, dict.fromkeys(range(3), 300))
+    good = F.col("event_type") != "error"
+    return rows.groupBy("shard").agg(F.count_if(good).alias("imported"), F.count_if(~good).alias("skipped"), F.max("event_id").alias("cursor"))

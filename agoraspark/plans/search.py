@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agoraspark.functions import text as T
-from agoraspark.operators.search import bm25, distinct_best, filters, phrase, within_edits
+from agoraspark.operators.search import bm25, distinct_best, filters, phrase, postings, within_edits
 from agoraspark.plans.base import EVENTS, Theme, events, table
 
 theme = Theme()
@@ -181,8 +181,9 @@ def txt_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @theme.add("SELECT word, count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(" + WORDS + ") AS word FROM documents) GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 20")
 def txt_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and total frequency of words that are in twenty documents or more."""
-    per_doc = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total")).filter("docs >= 20")
+    # a document's words are counted within its row, so words alone are shuffled
+    index = postings(table(spark, sf_dir, "documents"), "doc_id", ["text"])
+    return index.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("total")).filter("docs >= 20")
 
 
 @theme.add("SELECT quality AS risk, count(*) AS n, CAST(sum(CASE WHEN CASE quality WHEN 1 THEN 180 ELSE 365 END < doc_id % 400 THEN 1 ELSE 0 END) AS BIGINT) AS due FROM labels GROUP BY 1")

@@ -58,6 +58,7 @@ def diversified(rows: DataFrame, group: str, rank: list, per_tag: str, limit: in
     rank: sort columns, the last of which makes the order total. Adds place, from 1.
     """
     within = F.row_number().over(Window.partitionBy(group, per_tag).orderBy(*rank))
-    spill = rows.withColumn("spill", (within > most).cast("int"))
+    # a row with limit better ones of its tag isn't among the best, so few rows of a tag are left, and Spark cuts them before the shuffle
+    spill = rows.withColumn("within", within).filter(F.col("within") <= limit).withColumn("spill", (F.col("within") > most).cast("int")).drop("within")
     place = F.row_number().over(Window.partitionBy(group).orderBy("spill", *rank))
     return spill.withColumn("place", place).filter(F.col("place") <= limit).drop("spill")

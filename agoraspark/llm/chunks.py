@@ -141,7 +141,9 @@ def chunks(docs: DataFrame) -> DataFrame:
                     own.append(repeat)
                 if owners:
                     at = pa.array(np.concatenate(owners))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(digests)), *(pa.array(np.concatenate(v).astype(np.int32)) for v in (begins, stops, counts)), pa.array(np.concatenate(own))], ["doc_id", "row", "digest", "start", "stop", "n_words", "own"])
+                    numbers = [pa.array(np.concatenate(v).astype(np.int32)) for v in (begins, stops, counts)]
+                    columns = [part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(digests)), *numbers, pa.array(np.concatenate(own))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "digest", "start", "stop", "n_words", "own"])
 
     doc, row = row_key(docs)
     return docs.select(doc.alias("doc_id"), row.alias("row"), docs["text"].alias("text")).mapInArrow(run, CHUNK_SCHEMA)

@@ -81,7 +81,17 @@ def decode_header(word: bytes) -> Header | None:
     index, rate = word[2] >> 4, word[2] >> 2 & 3
     if version == 1 or layer == 4 or index in (0, 15) or rate == 3:
         return None
-    return Header(version, layer, not word[1] & 1, BITRATES[version == 3, layer][index], RATES[version][rate], word[2] >> 1 & 1, 1 if word[3] >> 6 == 3 else 2, 4 + 4 * (word[3] >> 4 & 3) if word[3] >> 6 == 1 else 32)
+    mode = word[3] >> 6
+    return Header(
+        version=version,
+        layer=layer,
+        protected=not word[1] & 1,
+        kbps=BITRATES[version == 3, layer][index],
+        rate=RATES[version][rate],
+        padding=word[2] >> 1 & 1,
+        channels=1 if mode == 3 else 2,
+        bound=4 + 4 * (word[3] >> 4 & 3) if mode == 1 else 32,
+    )
 
 
 @lru_cache(4096)
@@ -305,11 +315,15 @@ def feature(stream: Stream) -> str:
     """Frames, exact samples and milliseconds, table entries, checksum results and a digest of the seek offsets, as text."""
     seek = zlib.crc32(b"".join(struct.pack(">Q", x) for x in stream.frames))
     table = stream.vbr or {"frames": -1, "bytes": -1}
-    return f"frames={len(stream.frames)};samples={stream.samples};ms={round(stream.seconds * 1000)};vbr={table['frames']}/{table['bytes']};crc={stream.checked - stream.bad_checksums}/{stream.checked};skipped={stream.skipped};seek={seek:08x}"
+    played = f"frames={len(stream.frames)};samples={stream.samples};ms={round(stream.seconds * 1000)};vbr={table['frames']}/{table['bytes']}"
+    return f"{played};crc={stream.checked - stream.bad_checksums}/{stream.checked};skipped={stream.skipped};seek={seek:08x}"
 
 
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms double, bad_checksums long, seek_offsets array<long>"
+DIGEST_SCHEMA = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "feature string, n_frames long, duration_ms double, bad_checksums long, seek_offsets array<long>"
+)
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -320,7 +334,8 @@ def encode_media(docs: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 rows = [padded(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([write_stream(p) for _, p in rows], pa.binary())], ["doc_id", "n_bytes", "media"])
+                sizes, streams = pa.array([n for n, _ in rows], pa.int64()), pa.array([write_stream(p) for _, p in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, streams], ["doc_id", "n_bytes", "media"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, MEDIA_SCHEMA)
 
@@ -336,7 +351,8 @@ def media_features(media: DataFrame) -> DataFrame:
                     data = value.as_py()
                     stream = read_stream(data)
                     body = payload_of(data, stream)
-                    rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream), len(stream.frames), stream.seconds * 1000, stream.bad_checksums, stream.frames))
+                    stored_ = (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest())
+                    rows.append((*stored_, feature(stream), len(stream.frames), stream.seconds * 1000, stream.bad_checksums, stream.frames))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], DIGEST_NAMES)

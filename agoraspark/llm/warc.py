@@ -264,7 +264,9 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
     """A row for each response or revisit record of the manifest's files, its digests checked; payload only if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digests_agree", pa.bool_()), ("payload", pa.binary()), ("file", pa.string())])
+        kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string()}
+        kinds |= {"refers_to": pa.int64(), "digests_agree": pa.bool_(), "payload": pa.binary(), "file": pa.string()}
+        schema = pa.schema(list(kinds.items()))
         store, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
@@ -278,7 +280,9 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                         size = int(next(x for x in http.decode().split("\r\n") if x.lower().startswith("content-length: "))[16:])
                         claimed, full = headers["warc-payload-digest"], headers["warc-type"] == "response"
                         agree = headers["warc-block-digest"] == _sha1(block) and (not full or (claimed == _sha1(body) and size == len(body)))
-                        rows.append((_page_of(headers.get("page-id")), _address(headers), size, base64.b32decode(claimed[5:]).hex(), headers["warc-type"], _page_of(headers.get("refers-to-page-id")), agree, body if payloads and full else None, name))
+                        page, refers_to = _page_of(headers.get("page-id")), _page_of(headers.get("refers-to-page-id"))
+                        digest, kept = base64.b32decode(claimed[5:]).hex(), body if payloads and full else None
+                        rows.append((page, _address(headers), size, digest, headers["warc-type"], refers_to, agree, kept, name))
                         held += len(block) if payloads else 0
                         if len(rows) >= 4096 or held > 16 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -124,9 +124,8 @@ def features(block: textvec.Block, m: dict[str, np.ndarray]) -> Iterator[tuple[n
     codes = textvec.mapped(block.codes, shape_map())
     grams = [(order, textvec.gram_hashes(codes, order, BITS)) for order in (2, 4)]
     words = np.maximum(m["words"], 1)
-    steps = [
-        np.minimum(20, (20 * m[a] / np.maximum(m[b], 1)).astype(int)) for a, b in (("marks", "visible"), ("upper", "inner"), ("twice", "words"), ("alone", "words"), ("heavy", "words"), ("short", "words"))
-    ] + [np.minimum(20, (20 * m["distinct"] / words / np.minimum(1, 12 / np.sqrt(words))).astype(int))]
+    shares = (("marks", "visible"), ("upper", "inner"), ("twice", "words"), ("alone", "words"), ("heavy", "words"), ("short", "words"))
+    steps = [np.minimum(20, (20 * m[a] / np.maximum(m[b], 1)).astype(int)) for a, b in shares] + [np.minimum(20, (20 * m["distinct"] / words / np.minimum(1, 12 / np.sqrt(words))).astype(int))]
     counts = np.zeros(1 << BITS)
     for i in range(block.n):
         own = np.concatenate([g[slice(*block.window_range(i, order))] for order, g in grams])

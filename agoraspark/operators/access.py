@@ -27,7 +27,10 @@ def gated(hits: DataFrame, visible: DataFrame, key: str) -> DataFrame:
 
 def ranges(asked: dict, columns: dict[str, str | None]) -> tuple[Column, list[str]]:
     """A condition from ranges by field, and the fields that were left out because no column stands for them."""
-    ops = {">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, "=": lambda c, v: c == v, "..": lambda c, v: c.between(*v)}
+    ops = {
+        ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v,
+        "=": lambda c, v: c == v, "..": lambda c, v: c.between(*v)
+    }
     out, ignored = F.lit(True), []
     for field, bounds in asked.items():
         column = columns.get(field)

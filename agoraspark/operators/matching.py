@@ -52,7 +52,10 @@ def positional_merge(left: DataFrame, right: DataFrame, key: str, row: str) -> D
     """
     counted = [side.groupBy(key).agg(F.count(F.lit(1)).alias("n")) for side in (left, right)]
     equal = counted[0].join(counted[1], [key, "n"]).select(key)
-    placed = [side.join(equal, key).select(key, F.col(row).alias(name), F.row_number().over(Window.partitionBy(key).orderBy(row)).alias("place")) for side, name in ((left, "left"), (right, "right"))]
+    placed = [
+        side.join(equal, key).select(key, F.col(row).alias(name), F.row_number().over(Window.partitionBy(key).orderBy(row)).alias("place")) for side,
+        name in ((left, "left"), (right, "right"))
+    ]
     return placed[0].join(placed[1], [key, "place"]).select(key, F.col("place").cast("long").alias("place"), "left", "right")
 
 

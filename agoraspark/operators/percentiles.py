@@ -32,7 +32,9 @@ def exact_percentiles(rows: DataFrame, key: str, value: str, shares: list[float]
         F.percentile_approx("value", low, ACCURACY).alias("low"),
         F.percentile_approx("value", high, ACCURACY).alias("high"),
     )
-    bounds = sketch.select("key", "n", F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), "low", "high")).alias("b")).select("key", "n", "b.share", "b.low", "b.high")
+    bounds = sketch.select(
+        "key", "n", F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), "low", "high")).alias("b")
+    ).select("key", "n", "b.share", "b.low", "b.high")
     spread = rows.join(sketch.select("key", F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), "low", "high").alias("bounds")), "key")
     below = spread.select("key", "value", F.explode("bounds").alias("b")).groupBy("key", F.col("b.share").alias("share"))
     counted = below.agg(F.count_if(F.col("value") < F.col("b.low")).alias("below"))

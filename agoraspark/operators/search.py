@@ -49,7 +49,10 @@ def filters(spec: dict) -> Column:
 
     Values of one column are alternatives, columns are all required; None asks for null. An empty filter holds for all.
     """
-    ops = {">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, "..": lambda c, v: c.between(*v), "prefix": lambda c, v: c.startswith(v)}
+    ops = {
+        ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v,
+        "..": lambda c, v: c.between(*v), "prefix": lambda c, v: c.startswith(v)
+    }
     out = F.lit(True)
     for key, value in spec.items():
         if key == "not":
@@ -100,7 +103,9 @@ def postings_score(index: DataFrame, terms: list[str], weights: dict[str, float]
     known = by_term.groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # a row a term
     rows = by_term.join(F.broadcast(known), "word").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return rows.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("matched"), F.sum(idf * F.col("x") * (k1 + 1) / (F.col("x") + k1)).alias("score"))
+    return rows.groupBy(F.col("id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("matched"), F.sum(idf * F.col("x") * (k1 + 1) / (F.col("x") + k1)).alias("score")
+    )
 
 
 def variants(terms: list[str], quoted: str | None, kept: dict) -> list[tuple[str, str, list[str], str | None, dict]]:

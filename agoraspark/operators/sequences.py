@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 
-def accepted_rows(rows: DataFrame, keys: list[str], seconds: str, order: str, gap: float | None = None, cap: int | None = None, span: float | None = None) -> DataFrame:
+def accepted_rows(
+    rows: DataFrame, keys: list[str], seconds: str, order: str, gap: float | None = None, cap: int | None = None,
+    span: float | None = None
+) -> DataFrame:
     """Adds accepted: whether a row counts, given the rows of its key that counted before it.
 
     gap: a row counts if the last row that did is at least so many seconds older. cap and span: a row counts if fewer

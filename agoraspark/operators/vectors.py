@@ -35,7 +35,9 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, id_: str, vector: str, k:
         block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
         block = F.broadcast(block.withColumn("q_norm", norm(F.col("q"))))
         score = dot(F.col("q"), F.col("v")) / (F.col("q_norm") * F.col("v_norm"))
-        met = against.join(block, (F.size("q") == F.size("v")) & (F.col("query") != F.col("id"))).select("query", "id", score.alias("score")).filter(F.col("score") >= floor)
+        met = against.join(
+            block, (F.size("q") == F.size("v")) & (F.col("query") != F.col("id"))
+        ).select("query", "id", score.alias("score")).filter(F.col("score") >= floor)
         out = met if out is None else out.unionByName(met)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return out.withColumn("place", place).filter(F.col("place") <= k)

@@ -113,7 +113,11 @@ def prj_parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of roles, lengths and beginnings that run in parallel, as rows again."""
     rows = table(spark, sf_dir, "conversations").filter("text is not null and role is not null")
     listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
-    apart = listed.select("conv_id", F.transform("x", lambda x: x["role"]).alias("role"), F.transform("x", lambda x: F.char_length(x["text"]).cast("long")).alias("chars"), F.transform("x", lambda x: F.substring(x["text"], 1, 3)).alias("first"))
+    apart = listed.select(
+        "conv_id", F.transform("x", lambda x: x["role"]).alias("role"),
+        F.transform("x", lambda x: F.char_length(x["text"]).cast("long")).alias("chars"),
+        F.transform("x", lambda x: F.substring(x["text"], 1, 3)).alias("first")
+    )
     whole = apart.select("conv_id", F.posexplode(F.arrays_zip("role", "chars", "first")).alias("i", "z"))
     return whole.select("conv_id", (F.col("i") + 1).alias("place"), "z.role", "z.chars", "z.first")
 
@@ -130,7 +134,10 @@ SELECT c_custkey AS custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_
 FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)""")
 def join_either_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a partner of one kind or of another, by flags that one pass over the partners gives."""
-    flags = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.bool_or(F.col("o_totalprice") > 400000).alias("large")).filter("urgent or large")
+    flags = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+        F.bool_or(F.col("o_totalprice") > 400000).alias("large")
+    ).filter("urgent or large")
     return table(spark, sf_dir, "customer").join(flags, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_custkey").alias("custkey"), "urgent", "large")
 
 
@@ -150,7 +157,10 @@ WHERE until_ts IS NULL OR until_ts > TIMESTAMP '{AS_OF}' QUALIFY row_number() OV
 def join_open_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best rank among intervals that hold at a time, one without end before any other."""
     now = F.lit(AS_OF).cast("timestamp_ntz")
-    held = events(spark, sf_dir).filter("event_type = 'purchase'").select("user_id", (F.col("item") % 4).alias("rank"), F.when(F.col("event_id") % 9 != 2, F.col("ts") + F.expr("interval 10 days")).alias("until_ts"))
+    held = events(spark, sf_dir).filter("event_type = 'purchase'").select(
+        "user_id", (F.col("item") % 4).alias("rank"),
+        F.when(F.col("event_id") % 9 != 2, F.col("ts") + F.expr("interval 10 days")).alias("until_ts")
+    )
     live = held.filter(F.col("until_ts").isNull() | (F.col("until_ts") > now))
     best = live.groupBy("user_id").agg(F.max(F.struct("rank", F.col("until_ts").isNull().alias("open"), "until_ts")).alias("x"))
     return best.select("user_id", "x.rank", "x.until_ts")
@@ -177,7 +187,10 @@ def win_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.round((F.col("points") - low) / (F.col("next_at") - low) * 100)
     percent = F.when(F.col("next_at").isNull(), 100).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), share)))
     rows = ladder_lookup(spent, "points", RUNGS)
-    return rows.select("user_id", "points", F.greatest(F.lit(0.0), F.col("next_at") - F.col("points")).cast("long").alias("to_go"), percent.cast("long").alias("percent"))
+    return rows.select(
+        "user_id", "points", F.greatest(F.lit(0.0), F.col("next_at") - F.col("points")).cast("long").alias("to_go"),
+        percent.cast("long").alias("percent")
+    )
 
 
 PAIR_CAP = """
@@ -192,7 +205,9 @@ SELECT author, actor, event_id, accepted FROM f""")
 def win_pair_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rows of an actor for an author count in any ten days; what is turned away doesn't use the cap up."""
     seconds = F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts"))
-    rows = events(spark, sf_dir).filter("event_type in ('click', 'view')").select((F.col("item") % 20).alias("author"), (F.col("user_id") % 50).alias("actor"), "event_id", seconds.alias("seconds"))
+    rows = events(spark, sf_dir).filter("event_type in ('click', 'view')").select(
+        (F.col("item") % 20).alias("author"), (F.col("user_id") % 50).alias("actor"), "event_id", seconds.alias("seconds")
+    )
     return accepted_rows(rows, ["author", "actor"], "seconds", "event_id", cap=3, span=864000).select("author", "actor", "event_id", "accepted")
 
 

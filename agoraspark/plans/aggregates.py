@@ -38,8 +38,13 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 def agg_joined_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count of facts and sum of a joined attribute along a chain of inner joins."""
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.sum(F.col("r_regionkey") * F.col("o_totalprice")), 2).alias("weighted"))
+    rows = rows.join(
+        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    ).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy("n_name").agg(
+        F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"),
+        F.round(F.sum(F.col("r_regionkey") * F.col("o_totalprice")), 2).alias("weighted")
+    )
 
 
 @theme.add(f"SELECT item, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM {EVENTS} GROUP BY item, event_type")
@@ -57,7 +62,9 @@ def agg_distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @theme.add("SELECT l_suppkey AS suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1")
 def agg_two_distincts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct counts over one fan-out."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("suppkey")).agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_orderkey").alias("orders"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("suppkey")).agg(
+        F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_orderkey").alias("orders")
+    )
 
 
 @theme.add("""
@@ -67,7 +74,10 @@ def agg_left_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts per row of the left side, zero where there is none; the facts are summed before the join."""
     facts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("spent"))
     rows = table(spark, sf_dir, "customer").join(facts, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return rows.select(F.col("c_custkey").alias("custkey"), F.coalesce("orders", F.lit(0)).cast("long").alias("orders"), F.col("c_acctbal").alias("balance"), F.round(F.coalesce("spent", F.lit(0.0)), 2).alias("spent"))
+    return rows.select(
+        F.col("c_custkey").alias("custkey"), F.coalesce("orders", F.lit(0)).cast("long").alias("orders"),
+        F.col("c_acctbal").alias("balance"), F.round(F.coalesce("spent", F.lit(0.0)), 2).alias("spent")
+    )
 
 
 @theme.add("""
@@ -75,7 +85,10 @@ SELECT user_id, count_if(event_type = 'purchase') AS purchases, count(*) AS n FR
 GROUP BY user_id HAVING count_if(event_type = 'purchase') >= 2 AND sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) <= 8""")
 def agg_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filter on aggregates."""
-    rolled = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count_if(F.col("event_type") == "signup").alias("signups"), F.count(F.lit(1)).alias("n"))
+    rolled = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count_if(F.col("event_type") == "purchase").alias("purchases"),
+        F.count_if(F.col("event_type") == "signup").alias("signups"), F.count(F.lit(1)).alias("n")
+    )
     return rolled.filter("purchases >= 2 and signups <= 8").select("user_id", "purchases", "n")
 
 
@@ -85,7 +98,10 @@ GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 2 AND count_if(l_returnflag NOT
 def agg_exact_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relational division: orders whose flags are exactly A and R."""
     wanted = ["A", "R"]
-    rolled = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.count_distinct("l_returnflag").alias("flags"), F.count_if(~F.col("l_returnflag").isin(wanted)).alias("others"), F.count(F.lit(1)).alias("lines"))
+    rolled = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("orderkey")).agg(
+        F.count_distinct("l_returnflag").alias("flags"), F.count_if(~F.col("l_returnflag").isin(wanted)).alias("others"),
+        F.count(F.lit(1)).alias("lines")
+    )
     return rolled.filter((F.col("flags") == len(wanted)) & (F.col("others") == 0)).select("orderkey", "flags", "lines")
 
 
@@ -94,7 +110,9 @@ SELECT c_custkey AS custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_cu
        (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS open_orders FROM customer""")
 def agg_counter_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of every customer from the base rows, in one pass over them."""
-    facts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "O").alias("open_orders"))
+    facts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "O").alias("open_orders")
+    )
     rows = table(spark, sf_dir, "customer").select("c_custkey").join(facts, F.col("c_custkey") == F.col("o_custkey"), "left")
     return rows.select(F.col("c_custkey").alias("custkey"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("orders", "open_orders")))
 
@@ -161,7 +179,10 @@ def agg_histogram_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = Window.partitionBy(F.lit(0))
     tally = histogram.select("v", "count", F.sum("count").over(whole.orderBy("v")).alias("upto"), F.sum("count").over(whole).alias("total"))
     at = lambda share: F.min(F.when(F.col("upto") >= share * F.col("total"), F.col("v")))
-    return tally.agg(at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.round(F.sum(F.col("v") * F.col("count")) / F.sum("count"), 4).alias("mean"), F.max("v").alias("most"))
+    return tally.agg(
+        at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"),
+        F.round(F.sum(F.col("v") * F.col("count")) / F.sum("count"), 4).alias("mean"), F.max("v").alias("most")
+    )
 
 
 @theme.add("SELECT threshold, round(avg(CASE WHEN n_chars > threshold THEN 1.0 ELSE 0.0 END), 6) AS share FROM documents, (VALUES (100::BIGINT), (1000), (5000), (20000)) AS t(threshold) GROUP BY threshold")
@@ -182,8 +203,14 @@ def agg_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each marker: occurrences, documents and sources that hold it; counted once per document, then summed."""
     markers = {"digits": "[0-9]+", "mail": "[a-z0-9.]+@[a-z0-9.]+", "license": "licensed under"}
     rows = table(spark, sf_dir, "documents")
-    found = rows.select("source", F.explode(F.map_from_arrays(F.array(*map(F.lit, markers)), F.array(*(F.regexp_count("text", F.lit(p)) for p in markers.values())))).alias("marker", "n"))
-    return found.groupBy("marker").agg(F.sum("n").alias("occurrences"), F.count_if(F.col("n") > 0).alias("documents"), F.count_distinct(F.when(F.col("n") > 0, F.col("source"))).alias("sources"))
+    found = rows.select(
+        "source",
+        F.explode(F.map_from_arrays(F.array(*map(F.lit, markers)), F.array(*(F.regexp_count("text", F.lit(p)) for p in markers.values())))).alias("marker", "n")
+    )
+    return found.groupBy("marker").agg(
+        F.sum("n").alias("occurrences"), F.count_if(F.col("n") > 0).alias("documents"),
+        F.count_distinct(F.when(F.col("n") > 0, F.col("source"))).alias("sources")
+    )
 
 
 @theme.add(f"SELECT user_id, CAST(sum(least(n, 2)) AS BIGINT) AS capped, CAST(sum(n) AS BIGINT) AS n FROM (SELECT user_id, item, count(*) AS n FROM {EVENTS} GROUP BY 1, 2) GROUP BY 1")
@@ -245,14 +272,18 @@ def agg_active_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets of calendar months over 24 months; months without rows stay out."""
     rows = table(spark, sf_dir, "orders").filter("o_orderdate >= timestamp_ntz'1999-01-01' and o_orderdate < timestamp_ntz'2001-01-01'")
-    return rows.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+    return rows.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue")
+    )
 
 
 @theme.add("SELECT p_brand AS brand, CAST(sum(n) AS BIGINT) AS lines, count(*) AS parts FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey GROUP BY 1")
 def agg_presummed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals per tag from counters that are summed before the join."""
     counters = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return counters.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("brand")).agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("parts"))
+    return counters.join(
+        table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
+    ).groupBy(F.col("p_brand").alias("brand")).agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("parts"))
 
 
 @theme.add("SELECT role, count(*) AS posts, count_if(turn = 0) AS starts, greatest(0, count(*) - count_if(turn = 0)) AS replies FROM conversations GROUP BY role")
@@ -275,4 +306,6 @@ def agg_order_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completion rate per option."""
     n = F.count(F.lit(1))
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(n.alias("n"), F.round(100.0 * F.count_if(F.col("o_orderstatus") == "F") / n, 2).alias("done_rate"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(
+        n.alias("n"), F.round(100.0 * F.count_if(F.col("o_orderstatus") == "F") / n, 2).alias("done_rate")
+    )

@@ -26,7 +26,10 @@ def _matches(term: str, column: str) -> str:
 
 
 def _score_sql(section: str) -> str:
-    parts = [f"CASE WHEN {_matches(t, 'title')} THEN {2 * w} WHEN {_matches(t, 'body')} THEN {w} ELSE 0 END" for w, terms in SECTIONS[section].items() for t in terms]
+    parts = [
+        f"CASE WHEN {_matches(t, 'title')} THEN {2 * w} WHEN {_matches(t, 'body')} THEN {w} ELSE 0 END" for w,
+        terms in SECTIONS[section].items() for t in terms
+    ]
     return " + ".join(parts + [f"CASE WHEN source = '{tag}' THEN {n} ELSE 0 END" for tag, (s, n) in TAG_POINTS.items() if s == section])
 
 
@@ -42,7 +45,9 @@ def txt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The best section counts if it reaches a threshold, else one that the tags fall back on; guides are told apart from it.
     """
-    rows = table(spark, sf_dir, "documents").filter("text is not null and source is not null").select("doc_id", "source", F.lower(F.substring("text", 1, 60)).alias("title"), F.lower("text").alias("body"))
+    rows = table(spark, sf_dir, "documents").filter("text is not null and source is not null").select(
+        "doc_id", "source", F.lower(F.substring("text", 1, 60)).alias("title"), F.lower("text").alias("body")
+    )
     hit = lambda t, c: F.col(c).rlike(T.whole_word(t))
     scores = []
     for place, (section, tiers) in enumerate(SECTIONS.items()):
@@ -58,7 +63,9 @@ def txt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     guide = sum((F.when(hit(t, "title"), 3).otherwise(0) for t in GUIDE_TERMS), guide)
     rated = rows.select("doc_id", "source", F.greatest(*scores).alias("best"), guide.alias("guide"))
     enough = F.col("best.score") >= THRESHOLD
-    topical = F.when(enough, F.struct(F.col("best.section").alias("section"), F.col("best.score").cast("long").alias("score"))).when(F.col("source").isin(FALLBACK_TAGS), F.struct(F.lit(FALLBACK).alias("section"), F.lit(2).cast("long").alias("score")))
+    topical = F.when(enough, F.struct(F.col("best.section").alias("section"), F.col("best.score").cast("long").alias("score"))).when(
+        F.col("source").isin(FALLBACK_TAGS), F.struct(F.lit(FALLBACK).alias("section"), F.lit(2).cast("long").alias("score"))
+    )
     additive = F.when(F.col("guide") >= THRESHOLD, F.struct(F.lit("guide").alias("section"), F.col("guide").cast("long").alias("score")))
     return rated.select("doc_id", F.explode(F.array_compact(F.array(topical, additive))).alias("x")).select("doc_id", "x.section", "x.score")
 
@@ -67,7 +74,10 @@ def txt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole tokens of two parts, which a blank or a hyphen may join."""
     rows = table(spark, sf_dir, "documents").filter("text is not null and source is not null")
-    return rows.select("doc_id", F.lower("text").rlike(T.whole_word("of the")).alias("spaced"), F.replace("source", F.lit("src"), F.lit("src-")).rlike(T.whole_word("src 1")).alias("tagged"))
+    return rows.select(
+        "doc_id", F.lower("text").rlike(T.whole_word("of the")).alias("spaced"),
+        F.replace("source", F.lit("src"), F.lit("src-")).rlike(T.whole_word("src 1")).alias("tagged")
+    )
 
 
 @theme.add(r"""
@@ -79,7 +89,12 @@ def txt_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a page offers as a guide: claims and how many name a source, its table of contents, specification rows, words, minutes."""
     rows = table(spark, sf_dir, "pages").filter("html is not null")
     every = lambda p, g: F.regexp_extract_all("html", F.lit(p), g)
-    rows = rows.select("page_id", every(r'(?i)<a [^>]*href="([^"]*)"', 1).alias("links"), every(r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>", 2).alias("heads"), F.size(every(r"(?is)<tr[^>]*>(.*?)</tr>", 1)).cast("long").alias("spec_rows"), F.size(F.filter(F.split(T.stripped_html(F.col("html")), " "), lambda x: x != "")).alias("n"))
+    rows = rows.select(
+        "page_id", every(r'(?i)<a [^>]*href="([^"]*)"', 1).alias("links"),
+        every(r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>", 2).alias("heads"),
+        F.size(every(r"(?is)<tr[^>]*>(.*?)</tr>", 1)).cast("long").alias("spec_rows"),
+        F.size(F.filter(F.split(T.stripped_html(F.col("html")), " "), lambda x: x != "")).alias("n")
+    )
     return rows.select(
         "page_id",
         F.size("links").cast("long").alias("claims"),
@@ -126,11 +141,17 @@ def txt_structure_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").filter("html is not null")
     counts = {"paragraphs": "<p[ >]", "anchors": "<a[ >]", "headings": "<h[1-6][ >]"}
     # what is compared is taken from each page once, before the join
-    slim = pages.select("page_id", *(F.regexp_count("html", F.lit(p)).cast("long").alias(n) for n, p in counts.items()), F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("links"))
+    slim = pages.select(
+        "page_id", *(F.regexp_count("html", F.lit(p)).cast("long").alias(n) for n, p in counts.items()),
+        F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("links")
+    )
     a, b = slim.alias("a"), slim.withColumn("page_id", F.col("page_id") - 1).alias("b")
     both = a.join(b, "page_id")
     gone, fresh = F.array_except("a.links", "b.links"), F.array_except("b.links", "a.links")
-    return both.select("page_id", *((F.col(f"b.{n}") - F.col(f"a.{n}")).alias(n) for n in counts), F.size(gone).cast("long").alias("missing"), F.size(fresh).cast("long").alias("added"))
+    return both.select(
+        "page_id", *((F.col(f"b.{n}") - F.col(f"a.{n}")).alias(n) for n in counts), F.size(gone).cast("long").alias("missing"),
+        F.size(fresh).cast("long").alias("added")
+    )
 
 
 @theme.add()
@@ -169,7 +190,10 @@ def txt_fold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded texts with the Cyrillic yo as ye, and digests."""
     low = F.lower("text").cast("binary")
     rows = table(spark, sf_dir, "documents").filter("text is not null")
-    return rows.select("doc_id", F.md5(T.folded(F.concat("text", F.lit(" Ёлка Straße")), cyrillic=True).cast("binary")).alias("folded_md5"), F.sha1(low).alias("sha1"), F.sha2(low, 256).alias("sha256"))
+    return rows.select(
+        "doc_id", F.md5(T.folded(F.concat("text", F.lit(" Ёлка Straße")), cyrillic=True).cast("binary")).alias("folded_md5"),
+        F.sha1(low).alias("sha1"), F.sha2(low, 256).alias("sha256")
+    )
 
 
 #: Fixed lists: what votes for a language, in the order in which ties are broken, and the scripts by their ranges.
@@ -200,7 +224,11 @@ def txt_language_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", guess.alias("guess"))
 
 
-SCRIPTS = [("ko", r"\uAC00-\uD7AF", 0.15), ("ja", r"\u3040-\u30FF", 0.10), ("zh", r"\u4E00-\u9FFF\u3400-\u4DBF", 0.15), ("th", r"\u0E00-\u0E7F", 0.15), ("hi", r"\u0900-\u097F", 0.15), ("hy", r"\u0530-\u058F", 0.15), ("ka", r"\u10A0-\u10FF", 0.15), ("he", r"\u0590-\u05FF", 0.15), ("el", r"\u0370-\u03FF", 0.15), ("ar", r"\u0600-\u06FF", 0.15), ("ru", r"\u0400-\u04FF", 0.15)]
+SCRIPTS = [
+    ("ko", r"\uAC00-\uD7AF", 0.15), ("ja", r"\u3040-\u30FF", 0.10), ("zh", r"\u4E00-\u9FFF\u3400-\u4DBF", 0.15),
+    ("th", r"\u0E00-\u0E7F", 0.15), ("hi", r"\u0900-\u097F", 0.15), ("hy", r"\u0530-\u058F", 0.15), ("ka", r"\u10A0-\u10FF", 0.15),
+    ("he", r"\u0590-\u05FF", 0.15), ("el", r"\u0370-\u03FF", 0.15), ("ar", r"\u0600-\u06FF", 0.15), ("ru", r"\u0400-\u04FF", 0.15)
+]
 LATIN = r"A-Za-z\u00C0-\u024F"
 
 
@@ -226,7 +254,10 @@ def txt_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     script = F.when(F.col("letters") == 0, "none")
     for lang, _, least in SCRIPTS:
         script = script.when(F.col(lang) / F.col("letters") > least, lang)
-    return rows.select("doc_id", "letters", F.round(F.col("latin") / F.greatest("letters", F.lit(1)), 4).alias("latin_share"), script.otherwise("latin").alias("script"))
+    return rows.select(
+        "doc_id", "letters", F.round(F.col("latin") / F.greatest("letters", F.lit(1)), 4).alias("latin_share"),
+        script.otherwise("latin").alias("script")
+    )
 
 
 @theme.add("SELECT event_id, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) AS INTEGER) AS weekday, CAST(week(ts) AS INTEGER) AS iso_week, CAST(isoyear(ts + INTERVAL 364 DAY) AS INTEGER) AS next_iso_year, strftime(ts, '%Y-%m') AS month, CAST(date_diff('day', ts, TIMESTAMP '" + AS_OF + "') AS INTEGER) AS days FROM events")
@@ -234,7 +265,11 @@ def fn_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hour, ISO day, week and year of the week, month and days since."""
     ts = F.col("ts")
     later = ts + F.expr("interval 364 days")
-    return table(spark, sf_dir, "events").select("event_id", F.hour(ts).alias("hour"), (F.weekday(ts) + 1).alias("weekday"), F.weekofyear(ts).alias("iso_week"), F.extract(F.lit("YEAROFWEEK"), later).alias("next_iso_year"), F.date_format(ts, "yyyy-MM").alias("month"), F.date_diff(F.lit(AS_OF).cast("timestamp_ntz"), ts).alias("days"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.hour(ts).alias("hour"), (F.weekday(ts) + 1).alias("weekday"), F.weekofyear(ts).alias("iso_week"),
+        F.extract(F.lit("YEAROFWEEK"), later).alias("next_iso_year"), F.date_format(ts, "yyyy-MM").alias("month"),
+        F.date_diff(F.lit(AS_OF).cast("timestamp_ntz"), ts).alias("days")
+    )
 
 
 @theme.add(f"SELECT item, 'grosse-' || item || '-ete' AS slug, count(*) AS n FROM {EVENTS} GROUP BY 1")

@@ -37,7 +37,9 @@ def str_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @theme.add("SELECT event_id, attempts, ts + to_seconds(least(300, CAST(pow(2, least(attempts, 8)) AS INTEGER))) AS available_at FROM (SELECT event_id, ts, CAST(event_id % 12 AS INTEGER) AS attempts FROM events WHERE event_type = 'error')")
 def str_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When a failed entry is due again."""
-    rows = table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", F.col("ts").alias("failed_at"), (F.col("event_id") % 12).cast("int").alias("attempts"))
+    rows = table(spark, sf_dir, "events").filter("event_type = 'error'").select(
+        "event_id", F.col("ts").alias("failed_at"), (F.col("event_id") % 12).cast("int").alias("attempts")
+    )
     return retry_at(rows).select("event_id", "attempts", "available_at")
 
 
@@ -114,7 +116,10 @@ def src_balanced_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows cut into four ranges of keys: how many each has, from which key to which, and whether it's a quarter but for one key's rows."""
     parts = balanced(table(spark, sf_dir, "conversations"), "conv_id", 4)
     per_key = parts.groupBy("part", "conv_id").agg(F.count(F.lit(1)).alias("n"))
-    rolled = per_key.groupBy("part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"), F.min("conv_id").alias("first_key"), F.max("conv_id").alias("last_key"), F.max("n").alias("most"))
+    rolled = per_key.groupBy("part").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"), F.min("conv_id").alias("first_key"),
+        F.max("conv_id").alias("last_key"), F.max("n").alias("most")
+    )
     whole = rolled.agg(F.sum("n").alias("total"), F.max("most").alias("largest"))  # one row
     even = F.abs(F.col("n") - F.col("total") / 4) <= F.col("largest") + 1
     return rolled.crossJoin(F.broadcast(whole)).select("part", "n", "keys", "first_key", "last_key", even.alias("even"))

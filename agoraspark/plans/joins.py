@@ -18,8 +18,12 @@ JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1, 2""
 def join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts along a chain of inner joins; lines are summed per supplier before the small tables are joined."""
     done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
-    rolled = table(spark, sf_dir, "lineitem").join(done, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"))
-    named = rolled.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rolled = table(spark, sf_dir, "lineitem").join(done, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity")
+    )
+    named = rolled.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(
+        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
     return named.groupBy("s_name", "n_name").agg(F.sum("lines").alias("lines"), F.round(F.sum("quantity"), 2).alias("quantity"))
 
 
@@ -33,7 +37,9 @@ def join_left_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table joined with itself for the name of a parent key."""
     child, parent = (table(spark, sf_dir, "nation").alias(a) for a in ("c", "p"))
-    return child.join(parent, F.col("p.n_nationkey") == F.col("c.n_regionkey"), "left").select(F.col("c.n_name").alias("nation"), F.col("p.n_name").alias("anchor"))
+    return child.join(parent, F.col("p.n_nationkey") == F.col("c.n_regionkey"), "left").select(
+        F.col("c.n_name").alias("nation"), F.col("p.n_name").alias("anchor")
+    )
 
 
 #: A session is a user's day; user 0 stands for nobody; only purchases count.
@@ -59,14 +65,18 @@ def join_coread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A compound condition with a constant: the first line of each order."""
     first = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
-    return table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey"), F.col("l_quantity").alias("quantity"))
+    return table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.col("o_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey"), F.col("l_quantity").alias("quantity")
+    )
 
 
 @theme.add(f"SELECT p_partkey AS partkey, max(ts) AS last_seen, count(ts) = 0 AS unread FROM part LEFT JOIN {EVENTS} ON item = p_partkey AND user_id = 7 GROUP BY 1")
 def join_left_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A left join whose filter is in the condition: marks of one viewer, kept where there are none."""
     mine = events(spark, sf_dir).filter("user_id = 7").groupBy("item").agg(F.max("ts").alias("last_seen"))
-    return table(spark, sf_dir, "part").join(mine, F.col("item") == F.col("p_partkey"), "left").select(F.col("p_partkey").alias("partkey"), "last_seen", F.col("last_seen").isNull().alias("unread"))
+    return table(spark, sf_dir, "part").join(mine, F.col("item") == F.col("p_partkey"), "left").select(
+        F.col("p_partkey").alias("partkey"), "last_seen", F.col("last_seen").isNull().alias("unread")
+    )
 
 
 @theme.add("SELECT c_custkey AS custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
@@ -89,14 +99,18 @@ def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership nested twice."""
     nations = table(spark, sf_dir, "nation").filter("n_regionkey = 1")
     customers = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
-    return table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
+    )
 
 
 @theme.add("SELECT s_suppkey AS suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50 AND l_returnflag = 'R')")
 def join_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a partner of a kind."""
     lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_returnflag = 'R'")
-    return table(spark, sf_dir, "supplier").join(lines, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select(F.col("s_suppkey").alias("suppkey"), "s_name")
+    return table(spark, sf_dir, "supplier").join(
+        lines, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi"
+    ).select(F.col("s_suppkey").alias("suppkey"), "s_name")
 
 
 @theme.add("SELECT o.o_custkey AS custkey, o.o_orderkey AS orderkey, o.o_totalprice AS price FROM orders o JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) f ON f.o_custkey = o.o_custkey AND f.k = o.o_orderkey")
@@ -126,7 +140,10 @@ def join_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("thread", F.floor(F.col("conv_id") / 50))
     sides = [rows.filter(F.col("role") == role).select("thread", F.struct("conv_id", "turn").alias("row")) for role in ("user", "assistant")]
     merged = positional_merge(*sides, key="thread", row="row")
-    return merged.select("thread", "place", F.col("left.conv_id").alias("left_conv"), F.col("left.turn").alias("left_turn"), F.col("right.conv_id").alias("right_conv"), F.col("right.turn").alias("right_turn"))
+    return merged.select(
+        "thread", "place", F.col("left.conv_id").alias("left_conv"), F.col("left.turn").alias("left_turn"),
+        F.col("right.conv_id").alias("right_conv"), F.col("right.turn").alias("right_turn")
+    )
 
 
 @theme.add("""
@@ -145,7 +162,9 @@ FROM (SELECT user_id, rank, until_ts, max(rank) OVER (PARTITION BY user_id) AS t
   (SELECT user_id, CAST(item % 4 AS BIGINT) AS rank, ts + INTERVAL 10 DAY AS until_ts FROM {EVENTS} WHERE event_type = 'purchase') WHERE until_ts > TIMESTAMP '2024-01-31') GROUP BY user_id""")
 def join_active_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best rank among intervals that hold at a time, with its latest end."""
-    held = events(spark, sf_dir).filter("event_type = 'purchase'").select("user_id", (F.col("item") % 4).alias("rank"), (F.col("ts") + F.expr("interval 10 days")).alias("until_ts"))
+    held = events(spark, sf_dir).filter("event_type = 'purchase'").select(
+        "user_id", (F.col("item") % 4).alias("rank"), (F.col("ts") + F.expr("interval 10 days")).alias("until_ts")
+    )
     best = held.filter("until_ts > timestamp_ntz'2024-01-31'").groupBy("user_id").agg(F.max(F.struct("rank", "until_ts")).alias("x"))
     return best.select("user_id", "x.rank", "x.until_ts")
 
@@ -155,7 +174,10 @@ def join_update_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table's new state after an update from an aggregate of another."""
     rolled = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("r"))
     rows = table(spark, sf_dir, "part").join(rolled, F.col("p_partkey") == F.col("l_partkey"), "left")
-    return rows.select(F.col("p_partkey").alias("partkey"), F.col("p_retailprice").alias("price"), F.coalesce("n", F.lit(0).cast("long")).alias("sold"), F.round(F.coalesce("r", F.lit(0.0)), 2).alias("revenue"))
+    return rows.select(
+        F.col("p_partkey").alias("partkey"), F.col("p_retailprice").alias("price"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("sold"), F.round(F.coalesce("r", F.lit(0.0)), 2).alias("revenue")
+    )
 
 
 @theme.add("""
@@ -165,7 +187,9 @@ SELECT custkey, kind, score FROM (
 QUALIFY row_number() OVER (PARTITION BY custkey ORDER BY score DESC, kind) = 1""")
 def join_federated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two weighted result lists merged; the better entry of each key stays."""
-    accounts = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("custkey"), F.lit("account").alias("kind"), F.round(F.col("c_acctbal") * 1.4, 4).alias("score"))
+    accounts = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(
+        F.col("c_custkey").alias("custkey"), F.lit("account").alias("kind"), F.round(F.col("c_acctbal") * 1.4, 4).alias("score")
+    )
     best = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.max("o_totalprice").alias("most")).filter("most > 400000")
     merged = accounts.unionByName(best.select("custkey", F.lit("order").alias("kind"), F.round(F.col("most") / 100.0, 4).alias("score")))
     kept = merged.groupBy("custkey").agg(F.min(F.struct((-F.col("score")).alias("less"), "kind", "score")).alias("x"))

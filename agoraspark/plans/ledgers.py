@@ -36,7 +36,9 @@ SELECT user_id, event_id, granted, balance FROM f""")
 def led_guarded_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spending is granted only as far as the balance of what was granted before covers it."""
     cents = F.expr(CENTS)
-    rows = events(spark, sf_dir).filter("event_type in ('click', 'purchase')").select("user_id", "event_id", F.when(F.col("event_type") == "click", cents).otherwise(-cents).alias("delta"))
+    rows = events(spark, sf_dir).filter("event_type in ('click', 'purchase')").select(
+        "user_id", "event_id", F.when(F.col("event_type") == "click", cents).otherwise(-cents).alias("delta")
+    )
     return guarded(rows, "user_id", "delta", ["event_id"]).select("user_id", "event_id", "granted", "balance")
 
 
@@ -52,7 +54,10 @@ FROM (SELECT *, {DELTA} AS d FROM {EVENTS}) GROUP BY user_id""")
 def led_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of some references are taken back; the lifetime sum isn't pushed below zero."""
     revoked = F.col("item") % 10 == 3
-    rolled = _entries(spark, sf_dir).groupBy("user_id").agg(F.sum(F.when(~revoked, F.col("delta"))).alias("balance"), F.sum(F.greatest("delta", F.lit(0))).alias("earned"), F.sum(F.when(revoked, F.abs("delta")).otherwise(0)).alias("taken"))
+    rolled = _entries(spark, sf_dir).groupBy("user_id").agg(
+        F.sum(F.when(~revoked, F.col("delta"))).alias("balance"), F.sum(F.greatest("delta", F.lit(0))).alias("earned"),
+        F.sum(F.when(revoked, F.abs("delta")).otherwise(0)).alias("taken")
+    )
     return rolled.select("user_id", "balance", F.greatest(F.col("earned") - F.col("taken"), F.lit(0)).alias("lifetime"))
 
 
@@ -60,9 +65,13 @@ def led_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
 def led_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances of all customers from the ledger, 0 without entries."""
     sign = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", -1).otherwise(0)
-    entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), (sign * F.round(F.col("o_totalprice") * 100).cast("long")).alias("delta"))
+    entries = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("custkey"), (sign * F.round(F.col("o_totalprice") * 100).cast("long")).alias("delta")
+    )
     known = balances(entries, "custkey", "delta").select("custkey", "balance")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")).join(known, "custkey", "left").select("custkey", F.coalesce("balance", F.lit(0).cast("long")).alias("balance"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")).join(known, "custkey", "left").select(
+        "custkey", F.coalesce("balance", F.lit(0).cast("long")).alias("balance")
+    )
 
 
 @theme.add(f"""
@@ -104,7 +113,10 @@ def led_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Badges by thresholds over several measures, without those held already."""
     rows = events(spark, sf_dir)
     kind = lambda k: F.count_if(F.col("event_type") == k)
-    m = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("posts"), F.count_distinct("item").alias("items"), kind("purchase").alias("buys"), (kind("purchase") / F.greatest(kind("view"), F.lit(1))).alias("ratio"))
+    m = rows.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("posts"), F.count_distinct("item").alias("items"), kind("purchase").alias("buys"),
+        (kind("purchase") / F.greatest(kind("view"), F.lit(1))).alias("ratio")
+    )
     rules = {"busy": F.col("posts") >= 60, "broad": F.col("items") >= 40, "buyer": F.col("buys") >= 12, "keen": (F.col("ratio") >= 1) & (F.col("buys") >= 5)}
     earned = m.select("user_id", F.explode(F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules.items())))).alias("badge"))
     held = rows.filter("user_id % 4 = 0").select("user_id", F.lit("busy").alias("badge")).distinct()
@@ -115,7 +127,9 @@ def led_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def led_deep_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose views reach a depth, with how many and of how many items."""
     deep = F.col("value") >= 85
-    rolled = events(spark, sf_dir).filter("event_type = 'view'").groupBy("user_id").agg(F.count_if(deep).alias("deep"), F.count_distinct(F.when(deep, F.col("item"))).alias("deep_items"))
+    rolled = events(spark, sf_dir).filter("event_type = 'view'").groupBy("user_id").agg(
+        F.count_if(deep).alias("deep"), F.count_distinct(F.when(deep, F.col("item"))).alias("deep_items")
+    )
     return rolled.filter("deep > 0")
 
 
@@ -139,7 +153,9 @@ def led_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     stuck = (F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
-    problem = F.when((F.col("o_orderstatus") == "F") & (F.col("n") == 0), "paid, nothing granted").when((F.col("o_orderstatus") == "O") & (F.col("n") > 5), "granted, not paid").when(stuck, "stuck")
+    problem = F.when(
+        (F.col("o_orderstatus") == "F") & (F.col("n") == 0), "paid, nothing granted"
+    ).when((F.col("o_orderstatus") == "O") & (F.col("n") > 5), "granted, not paid").when(stuck, "stuck")
     return rows.select(F.col("o_orderkey").alias("orderkey"), problem.alias("problem")).filter("problem is not null")
 
 
@@ -220,4 +236,6 @@ FROM (SELECT o_orderkey, CAST(('0x' || substr(md5('draw-' || o_orderkey), 1, 7))
 def led_weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A draw by weights 60, 30 and 10 that a seed and the key decide, so that it can be repeated."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit("draw-"), F.col("o_orderkey").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long") % 100
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), F.when(h < 60, "common").when(h < 90, "rare").otherwise("epic").alias("drawn"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("orderkey"), F.when(h < 60, "common").when(h < 90, "rare").otherwise("epic").alias("drawn")
+    )

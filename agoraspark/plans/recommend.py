@@ -24,7 +24,10 @@ FROM (SELECT item, count(DISTINCT CASE WHEN event_type = 'view' THEN coalesce('u
 def heat(rows: DataFrame) -> DataFrame:
     """item, hotness and age in days of events (item, user_id, event_id, event_type, value, ts)."""
     kind = lambda k: F.col("event_type") == k
-    viewer = F.coalesce(F.concat(F.lit("u"), F.nullif("user_id", F.lit(7).cast("long")).cast("string")), F.concat(F.lit("s"), (F.col("event_id") % 100).cast("string")))
+    viewer = F.coalesce(
+        F.concat(F.lit("u"), F.nullif("user_id", F.lit(7).cast("long")).cast("string")),
+        F.concat(F.lit("s"), (F.col("event_id") % 100).cast("string"))
+    )
     rolled = rows.groupBy("item").agg(
         F.count_distinct(F.when(kind("view"), viewer)).alias("uniques"),
         F.count_if(kind("purchase")).alias("replies"),
@@ -66,8 +69,13 @@ def rec_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best of what is similar but no copy: similarity, quality and shared tags in fixed shares."""
     rows = table(spark, sf_dir, "embeddings")
     top = cosine_top_k(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding", 32).filter("score < 0.3")
-    tags = rows.select("vec_id", F.array(F.concat(F.lit("l"), F.col("label").cast("string")), F.concat(F.lit("m"), (F.col("vec_id") % 3).cast("string"))).alias("tags"))
-    tagged = top.join(tags.select(F.col("vec_id").alias("query"), F.col("tags").alias("ours")), "query").join(tags.select(F.col("vec_id").alias("id"), F.col("tags").alias("theirs")), "id")
+    tags = rows.select(
+        "vec_id",
+        F.array(F.concat(F.lit("l"), F.col("label").cast("string")), F.concat(F.lit("m"), (F.col("vec_id") % 3).cast("string"))).alias("tags")
+    )
+    tagged = top.join(
+        tags.select(F.col("vec_id").alias("query"), F.col("tags").alias("ours")), "query"
+    ).join(tags.select(F.col("vec_id").alias("id"), F.col("tags").alias("theirs")), "id")
     quality = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") / (F.col("p_size") + 6.0)).alias("quality"))
     overlap = F.size(F.array_intersect("ours", "theirs"))
     rank = 0.72 * F.col("score") + 0.20 * F.coalesce("quality", F.lit(0.0)) + 0.08 * F.least(F.lit(1.0), overlap / 2.0)
@@ -89,10 +97,14 @@ def rec_coread_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = seen.filter("item % 10 = 0").select("user_id", F.col("item").alias("a"))
     pairs = asked.join(seen.select("user_id", F.col("item").alias("b")), "user_id").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")).filter("w >= 2")
     mine = Window.partitionBy("a")
-    near = pairs.withColumn("i", F.row_number().over(mine.orderBy(F.desc("w"), "b"))).filter("i <= 100").select("a", "b", (0.55 * F.col("w") / F.max("w").over(mine)).alias("co"))
+    near = pairs.withColumn("i", F.row_number().over(mine.orderBy(F.desc("w"), "b"))).filter("i <= 100").select(
+        "a", "b", (0.55 * F.col("w") / F.max("w").over(mine)).alias("co")
+    )
     vectors = table(spark, sf_dir, "embeddings")
     alike = cosine_top_k(vectors.filter("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 1 << 30, 0.2)
-    alike = alike.select((F.col("query") % 100).alias("a"), (F.col("id") % 100).alias("b"), "score").filter("a <> b and a % 10 = 0").groupBy("a", "b").agg(F.max("score").alias("sim"))
+    alike = alike.select(
+        (F.col("query") % 100).alias("a"), (F.col("id") % 100).alias("b"), "score"
+    ).filter("a <> b and a % 10 = 0").groupBy("a", "b").agg(F.max("score").alias("sim"))
     merged = near.join(alike, ["a", "b"], "full").join(heat(rows).withColumnRenamed("item", "b"), "b")
     score = F.coalesce("co", F.lit(0.0)) + 0.30 * F.coalesce("sim", F.lit(0.0)) + 0.10 * F.least(F.lit(1.0), F.col("hotness") / 5) + 0.05 * F.greatest(F.lit(0.0), 1 - F.col("age") / 30.0)
     ranked = merged.select(F.col("a").alias("item"), F.col("b").alias("other"), F.round(score, 6).alias("score"))
@@ -110,12 +122,16 @@ def seeds(rows: DataFrame, most: int = 25) -> DataFrame:
     """user_id, item: the items of a user's latest 150 purchases, the latest first, topped up from the latest 100 clicks."""
 
     def latest(kind: str, n: int, offset: int) -> DataFrame:
-        last = rows.filter(F.col("event_type") == kind).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))).filter(F.col("i") <= n)
+        last = rows.filter(F.col("event_type") == kind).withColumn(
+            "i", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
+        ).filter(F.col("i") <= n)
         once = last.groupBy("user_id", "item").agg(F.max("event_id").alias("at"))
         return once.select("user_id", "item", (offset + F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at")))).alias("place"))
 
     both = latest("purchase", 150, 0).unionByName(latest("click", 100, 1000)).groupBy("user_id", "item").agg(F.min("place").alias("place"))
-    return both.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("place"))).filter(F.col("i") <= most).select("user_id", "item", "place")
+    return both.withColumn(
+        "i", F.row_number().over(Window.partitionBy("user_id").orderBy("place"))
+    ).filter(F.col("i") <= most).select("user_id", "item", "place")
 
 
 @theme.add(f"SELECT user_id, item, CAST(place AS BIGINT) AS place FROM {SEEDS}")
@@ -148,20 +164,34 @@ def rec_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, vectors = events(spark, sf_dir), table(spark, sf_dir, "embeddings")
     asked = rows.filter("user_id % 10 = 0")
     sized = F.coalesce("p_size", F.lit(0))
-    items = vectors.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("vec_id"), "left").select(F.col("vec_id").alias("id"), "label", (sized / (sized + 6.0)).alias("quality"))
+    items = vectors.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("vec_id"), "left").select(
+        F.col("vec_id").alias("id"), "label", (sized / (sized + 6.0)).alias("quality")
+    )
     wanted = seeds(asked).join(vectors.select(F.col("vec_id").alias("item"), "embedding"), "item")
     mean = wanted.select("user_id", F.posexplode("embedding").alias("at", "x")).groupBy("user_id", "at").agg(F.avg("x").alias("x"))
-    centre = mean.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs")).select(F.col("user_id").alias("vec_id"), F.transform("xs", lambda x: x["x"]).alias("embedding"))
+    centre = mean.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs")).select(
+        F.col("user_id").alias("vec_id"), F.transform("xs", lambda x: x["x"]).alias("embedding")
+    )
     # ids of users and items are apart, so no item is left out as the query itself
     apart = centre.select((-1 - F.col("vec_id")).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     near = cosine_top_k(apart, vectors, "vec_id", "embedding", 1 << 30).select((-1 - F.col("query")).alias("user_id"), "id", "score")
     fresh = near.join(asked.select("user_id", F.col("item").alias("id")).distinct(), ["user_id", "id"], "left_anti")
-    own = fresh.join(items, "id").select("user_id", "id", "label", F.round(0.7 * F.col("score") + 0.3 * F.col("quality"), 6).alias("rank"), F.lit("your-activity").alias("reason"))
+    own = fresh.join(items, "id").select(
+        "user_id", "id", "label", F.round(0.7 * F.col("score") + 0.3 * F.col("quality"), 6).alias("rank"),
+        F.lit("your-activity").alias("reason")
+    )
     recent = F.count_if(F.col("ts") >= F.lit(AS_OF).cast("timestamp_ntz") - F.expr("interval 72 hours"))
-    trend = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"), recent.alias("recent")).filter("recent > 0").select(F.col("item").alias("id"), (1.0 + F.col("recent") / F.log(F.lit(2.718281828459045) + F.col("n"))).alias("trend"))
-    strangers = asked.select("user_id").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("user_id"))).join(centre.select(F.col("vec_id").alias("user_id")), "user_id", "left_anti")
+    trend = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"), recent.alias("recent")).filter("recent > 0").select(
+        F.col("item").alias("id"), (1.0 + F.col("recent") / F.log(F.lit(2.718281828459045) + F.col("n"))).alias("trend")
+    )
+    strangers = asked.select("user_id").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("user_id"))).join(
+        centre.select(F.col("vec_id").alias("user_id")), "user_id", "left_anti"
+    )
     # everyone without seeds gets the same list, so it is ranked once
-    best = diversified(items.join(trend, "id", "left").select(F.lit(0).alias("all"), "id", "label", F.round(F.coalesce("trend", "quality"), 6).alias("rank"), F.when(F.col("trend").isNotNull(), "trending").otherwise("top-rated").alias("reason")).orderBy(F.desc("rank"), "id"), "all", [F.desc("rank"), F.col("id")], "label", 12, 3)
+    best = diversified(
+        items.join(trend, "id", "left").select(F.lit(0).alias("all"), "id", "label", F.round(F.coalesce("trend", "quality"), 6).alias("rank"), F.when(F.col("trend").isNotNull(), "trending").otherwise("top-rated").alias("reason")).orderBy(F.desc("rank"), "id"),
+        "all", [F.desc("rank"), F.col("id")], "label", 12, 3
+    )
     cold = strangers.join(F.broadcast(best.select("id", "rank", "reason", "place")))
     warm = diversified(own, "user_id", [F.desc("rank"), F.col("id")], "label", 12, 3)
     columns = ["user_id", "id", "rank", "reason", F.col("place").cast("long").alias("place")]
@@ -183,7 +213,10 @@ def rec_also_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a user's acts are counted per item before the join
     each = acts.groupBy("user_id", "item").agg(F.count(F.lit(1)).alias("n"))
     together = people.join(each, "user_id").filter("a <> item").groupBy("a", "item").agg(F.sum("n").alias("co")).join(sizes, "item")
-    return together.select(F.col("a").alias("item"), F.col("item").alias("other"), "co", F.round(F.col("co") / F.log(F.lit(2.718281828459045) + F.col("size")), 6).alias("score"))
+    return together.select(
+        F.col("a").alias("item"), F.col("item").alias("other"), "co",
+        F.round(F.col("co") / F.log(F.lit(2.718281828459045) + F.col("size")), 6).alias("score")
+    )
 
 
 @theme.add(f"""
@@ -207,7 +240,9 @@ def rec_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     warm = best.join(met, ["user_id", "item"], "left_anti").join(items, "item").select("user_id", "item", F.round(score, 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item"))
     warm = warm.withColumn("place", place).filter("place <= 12").drop("place")
-    strangers = asked.select("user_id").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("user_id"))).join(affinity.select("user_id").distinct(), "user_id", "left_anti")
+    strangers = asked.select("user_id").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("user_id"))).join(
+        affinity.select("user_id").distinct(), "user_id", "left_anti"
+    )
     hottest = items.select("item", F.round("hotness", 6).alias("score")).orderBy(F.desc("score"), "item").limit(12)
     return warm.unionByName(strangers.join(F.broadcast(hottest)).select("user_id", "item", "score"))
 
@@ -234,13 +269,17 @@ def rec_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # names are few and repeat, so sets of words are compared once each, where they share a word
     sets = names.select("w").distinct().withColumn("key", F.xxhash64("w"))
     asked = names.filter("id % 100 = 0").select("w").distinct().withColumn("q_key", F.xxhash64("w"))
-    met = asked.select("q_key", F.col("w").alias("q_w"), F.explode("w").alias("word")).join(sets.select("key", "w", F.explode("w").alias("word")), "word").select("q_key", "q_w", "key", "w").distinct()
+    met = asked.select(
+        "q_key", F.col("w").alias("q_w"), F.explode("w").alias("word")
+    ).join(sets.select("key", "w", F.explode("w").alias("word")), "word").select("q_key", "q_w", "key", "w").distinct()
     close = met.select("q_key", "key", (F.size(F.array_intersect("q_w", "w")) / F.size(F.array_union("q_w", "w"))).alias("lexical")).filter("lexical >= 0.6")
     keyed = names.select("id", F.xxhash64("w").alias("key"))
     # only the first five of a set of equal names can be among a query's five, besides the query and what vectors bring
     first = keyed.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter("i <= 6").drop("i")
     vectors = table(spark, sf_dir, "embeddings")
-    semantic = cosine_top_k(vectors.filter("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 1 << 30, 0.25).select("query", "id", F.col("score").alias("semantic"))
+    semantic = cosine_top_k(
+        vectors.filter("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 1 << 30, 0.25
+    ).select("query", "id", F.col("score").alias("semantic"))
     queries = keyed.filter("id % 100 = 0").select(F.col("id").alias("query"), F.col("key").alias("q_key"))
     by_name = queries.join(close, "q_key")
     lexical = by_name.join(first, "key").select("query", "id", "lexical").unionByName(by_name.join(semantic.select("query", "id").join(keyed, "id"), ["query", "key"]).select("query", "id", "lexical")).filter("query <> id").distinct()

@@ -30,9 +30,14 @@ def led_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = F.element_at(F.create_map(*(F.lit(x) for pair in POINTS.items() for x in pair)), F.col("event_type"))
     times = F.when(F.col("item") % 4 == 0, 0.04).when(F.col("item") % 4 == 1, 2.0).otherwise(1.0) * F.when(F.col("user_id") % 3 == 0, 1.5).otherwise(1.0)
     seconds = F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts"))
-    rows = events(spark, sf_dir).filter(F.col("event_type").isin(list(POINTS))).select("event_id", "user_id", F.col("event_type").alias("reason"), F.col("item").alias("ref"), seconds.alias("seconds"), F.bround(points * times).cast("long").alias("delta"))
+    rows = events(spark, sf_dir).filter(F.col("event_type").isin(list(POINTS))).select(
+        "event_id", "user_id", F.col("event_type").alias("reason"), F.col("item").alias("ref"), seconds.alias("seconds"),
+        F.bround(points * times).cast("long").alias("delta")
+    )
     once = idempotent(rows.filter("delta <> 0"), ["user_id", "reason", "ref"], ["event_id"])
-    return accepted_rows(once, ["user_id", "reason"], "seconds", "event_id", cap=2, span=172800).filter("accepted").select("event_id", "user_id", "reason", "ref", "delta")
+    return accepted_rows(
+        once, ["user_id", "reason"], "seconds", "event_id", cap=2, span=172800
+    ).filter("accepted").select("event_id", "user_id", "reason", "ref", "delta")
 
 
 @theme.add(f"""
@@ -40,7 +45,10 @@ WITH w AS (SELECT user_id, isoyear(ts) AS y, week(ts) AS w, count(*) AS done FRO
 SELECT w.user_id, 'week:' || y || '-' || lpad(w::VARCHAR, 2, '0') AS ref, done, done >= 4 AS complete, c.ref IS NOT NULL AS claimed, done >= 4 AND c.ref IS NULL AS due FROM w LEFT JOIN c ON c.user_id = w.user_id AND c.ref = 'week:' || y || '-' || lpad(w::VARCHAR, 2, '0')""")
 def led_quest_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly counts against a target, with what was claimed already by the week's reference."""
-    ref = F.concat(F.lit("week:"), F.extract(F.lit("YEAROFWEEK"), F.col("ts")).cast("string"), F.lit("-"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0")).alias("ref")
+    ref = F.concat(
+        F.lit("week:"), F.extract(F.lit("YEAROFWEEK"), F.col("ts")).cast("string"), F.lit("-"),
+        F.lpad(F.weekofyear("ts").cast("string"), 2, "0")
+    ).alias("ref")
     rows = table(spark, sf_dir, "events")
     done = rows.filter("event_type = 'view'").groupBy("user_id", ref).agg(F.count(F.lit(1)).alias("done"))
     claims = rows.filter("event_type = 'signup' and event_id % 3 = 0").select("user_id", ref, F.lit(True).alias("claim")).distinct()
@@ -52,7 +60,10 @@ MEASURES_SQL = f"""SELECT user_id, count_if(event_type IN ('click', 'view')) AS
   count_if(event_type = 'click') AS reactions, CASE WHEN count_if(event_type IN ('click', 'view')) >= 20 THEN CAST(floor(10 * count_if(event_type = 'click') / greatest(count_if(event_type IN ('click', 'view')), 1)) AS BIGINT) ELSE 0 END AS ratio,
   count(DISTINCT CASE WHEN event_type = 'view' AND value >= 85 THEN item * 100 + event_id % 100 END) AS readthrough, CAST(floor(sum(CASE WHEN event_type = 'view' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) / 100) AS BIGINT) AS dwell, date_diff('day', min(ts), TIMESTAMP '{AS_OF}') AS tenure,
   count_if(hour(ts) BETWEEN 2 AND 4) AS nightowl, count(DISTINCT CASE WHEN ts > TIMESTAMP '2024-01-20' AND item < 10 THEN item END) AS necro, count_if(ts < TIMESTAMP '2024-01-03') AS imported, CAST(max(CASE WHEN event_type = 'error' THEN item ELSE 0 END) AS BIGINT) AS legacy, max(CASE WHEN item = 42 THEN 1 ELSE 0 END)::BIGINT AS banner FROM {EVENTS} GROUP BY 1"""
-BADGES = {"posts": 15, "threads": 12, "guides": 5, "sourced": 8, "reactions": 15, "ratio": 6, "readthrough": 3, "dwell": 700, "tenure": 30, "nightowl": 12, "necro": 3, "imported": 4, "legacy": 95, "banner": 1}
+BADGES = {
+    "posts": 15, "threads": 12, "guides": 5, "sourced": 8, "reactions": 15, "ratio": 6, "readthrough": 3, "dwell": 700,
+    "tenure": 30, "nightowl": 12, "necro": 3, "imported": 4, "legacy": 95, "banner": 1
+}
 
 
 @theme.add(f"SELECT user_id, measure, CAST(n AS BIGINT) AS n FROM (UNPIVOT ({MEASURES_SQL}) ON COLUMNS(* EXCLUDE (user_id)) INTO NAME measure VALUE n) JOIN (VALUES {', '.join(f"('{k}', {v})" for k, v in BADGES.items())}) AS b(measure, least) USING (measure) WHERE n >= least")
@@ -113,7 +124,10 @@ def led_order_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
             for kind, then in moves.items():
                 to = F.when((s["state"] == state) & (e["kind"] == kind), then).otherwise(to)
         moved = to.isNotNull()
-        return F.struct(F.coalesce(to, s["state"]).alias("state"), (s["refused"] + F.when(moved, 0).otherwise(1)).alias("refused"), F.when(moved, e["ts"]).otherwise(s["at"]).alias("at"))
+        return F.struct(
+            F.coalesce(to, s["state"]).alias("state"), (s["refused"] + F.when(moved, 0).otherwise(1)).alias("refused"),
+            F.when(moved, e["ts"]).otherwise(s["at"]).alias("at")
+        )
 
     end = rows.select("user_id", "item", F.aggregate("steps", start, step).alias("s"))
     old = F.col("s.at") < F.lit(AS_OF).cast("timestamp_ntz") - F.expr("interval 14 days")
@@ -128,10 +142,16 @@ UNION ALL SELECT user_id, item, 'stuck' FROM c ANTI JOIN p USING (user_id, item)
 def led_reconcile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four problems between payments, grants, opened orders and refunds, from one aggregate per order."""
     at = lambda kind, pick: pick(F.when(F.col("event_type") == kind, F.col("ts")))
-    rows = events(spark, sf_dir).groupBy("user_id", "item").agg(at("purchase", F.min).alias("paid"), at("signup", F.min).alias("granted"), at("click", F.max).alias("opened"), at("error", F.max).alias("refunded"))
+    rows = events(spark, sf_dir).groupBy("user_id", "item").agg(
+        at("purchase", F.min).alias("paid"), at("signup", F.min).alias("granted"), at("click", F.max).alias("opened"),
+        at("error", F.max).alias("refunded")
+    )
     paid, granted = F.col("paid").isNotNull(), F.col("granted").isNotNull()
     old = F.col("opened") < F.lit(AS_OF).cast("timestamp_ntz") - F.expr("interval 1 hour")
-    found = [F.when(paid & ~granted, "paid, not granted"), F.when(granted & ~paid, "granted, not paid"), F.when(old & ~paid, "stuck"), F.when(F.col("granted") < F.col("refunded"), "live under refund")]
+    found = [
+        F.when(paid & ~granted, "paid, not granted"), F.when(granted & ~paid, "granted, not paid"), F.when(old & ~paid, "stuck"),
+        F.when(F.col("granted") < F.col("refunded"), "live under refund")
+    ]
     return rows.select("user_id", "item", F.explode(F.array_compact(F.array(*found))).alias("problem"))
 
 
@@ -155,7 +175,11 @@ def str_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state after its queue, in which an entry for a group stands for all its items."""
     kind = F.col("event_type")
     rows = events(spark, sf_dir).filter("event_type in ('error', 'click', 'signup')")
-    queue = rows.select(F.when(kind == "signup", "group").otherwise("item").alias("kind"), F.when(kind == "signup", F.col("item") % 7).otherwise(F.col("item")).alias("id"), "event_id", F.when(kind == "error", "delete").otherwise("upsert").alias("action"))
+    queue = rows.select(
+        F.when(kind == "signup", "group").otherwise("item").alias("kind"),
+        F.when(kind == "signup", F.col("item") % 7).otherwise(F.col("item")).alias("id"), "event_id",
+        F.when(kind == "error", "delete").otherwise("upsert").alias("action")
+    )
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("item"))
     members = part.select((F.col("item") % 7).alias("id"), "item")
     state = part.select("item", F.lit(-1).cast("long").alias("event_id"))
@@ -165,7 +189,9 @@ def str_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @theme.add("SELECT CASE WHEN attempts >= 10 THEN 'dead' WHEN available_at <= TIMESTAMP '2024-01-15' THEN 'due' ELSE 'waiting' END AS place, count(*) AS n, CAST(max(attempts) AS INTEGER) AS most FROM (SELECT CAST(event_id % 12 AS INTEGER) AS attempts, ts + to_seconds(least(300, CAST(pow(2, least(event_id % 12, 8)) AS INTEGER))) AS available_at FROM events WHERE event_type = 'error') GROUP BY 1")
 def str_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed entries that are due, those that wait, and those that were tried ten times and go to a table of their own."""
-    rows = table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("ts").alias("failed_at"), (F.col("event_id") % 12).cast("int").alias("attempts"))
+    rows = table(spark, sf_dir, "events").filter("event_type = 'error'").select(
+        F.col("ts").alias("failed_at"), (F.col("event_id") % 12).cast("int").alias("attempts")
+    )
     place = F.when(F.col("attempts") >= 10, "dead").when(F.col("available_at") <= F.lit("2024-01-15").cast("timestamp_ntz"), "due").otherwise("waiting")
     return retry_at(rows).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"), F.max("attempts").alias("most"))
 
@@ -258,7 +284,10 @@ def snk_json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines in batches of 4,000 bytes and 50 rows at most, each as full as its bounds allow but for the last of a partition."""
     batches = json_batches(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", 4000, 50)
     loose = F.count_if((F.col("n") < 50) & (F.col("bytes") < 3900) & ~F.col("last"))
-    return batches.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), (F.max("n") <= 50).alias("fits"), (F.max("bytes") <= 4000).alias("small"), (loose == 0).alias("filled")).select("bytes", "n", (F.col("fits") & F.col("small")).alias("bounded"), "filled")
+    return batches.agg(
+        F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), (F.max("n") <= 50).alias("fits"),
+        (F.max("bytes") <= 4000).alias("small"), (loose == 0).alias("filled")
+    ).select("bytes", "n", (F.col("fits") & F.col("small")).alias("bounded"), "filled")
 
 
 @theme.add("""
@@ -281,9 +310,15 @@ def src_view_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @theme.add("SELECT event_type, count(*) AS n, CAST(sum(least(greatest(CAST(floor(value * 20000) AS BIGINT), 0), 3600000)) AS BIGINT) AS dwell_ms, CAST(sum(least(greatest(CAST(floor(value) AS BIGINT) - 20, 0), 100)) AS BIGINT) AS read_pct FROM (SELECT *, row_number() OVER (PARTITION BY event_id // 70 ORDER BY event_id) AS i FROM events) WHERE i <= 50 AND event_type IN ('view', 'click', 'purchase') GROUP BY 1")
 def src_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as they are sent, JSON lines in requests: known kinds, fifty of a request, clamped numbers."""
-    rows = table(spark, sf_dir, "events").select("event_type", F.floor(F.col("value") * 20000).alias("dwell_ms"), (F.floor("value") - 20).alias("read_pct"), F.floor(F.col("event_id") / 70).alias("request"), "event_id")
+    rows = table(spark, sf_dir, "events").select(
+        "event_type", F.floor(F.col("value") * 20000).alias("dwell_ms"), (F.floor("value") - 20).alias("read_pct"),
+        F.floor(F.col("event_id") / 70).alias("request"), "event_id"
+    )
     sent = exported(rows, "requests", rows_per_file=100_000)
-    read = read_events_json(spark, sent, "event_type string, dwell_ms long, read_pct long, request long, event_id long", ["view", "click", "purchase"], "request", "event_id")
+    read = read_events_json(
+        spark, sent, "event_type string, dwell_ms long, read_pct long, request long, event_id long", ["view", "click", "purchase"],
+        "request", "event_id"
+    )
     return read.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("dwell_ms").alias("dwell_ms"), F.sum("read_pct").alias("read_pct"))
 
 

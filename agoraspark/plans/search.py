@@ -18,7 +18,10 @@ WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lam
 SELECT o_orderkey AS orderkey, o_totalprice AS price FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority = '1-URGENT' AND o_totalprice BETWEEN 1000 AND 200000 AND o_orderdate >= TIMESTAMP '1996-01-01' AND NOT (o_custkey IN (1, 2, 3))""")
 def flt_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A declarative filter: alternatives within a field, all fields required, ranges, a negated part."""
-    spec = {"o_orderstatus": ["F", "P"], "o_orderpriority": "1-URGENT", ("o_totalprice", ".."): (1000, 200000), ("o_orderdate", ">="): F.lit("1996-01-01").cast("timestamp_ntz"), "not": {"o_custkey": [1, 2, 3]}}
+    spec = {
+        "o_orderstatus": ["F", "P"], "o_orderpriority": "1-URGENT", ("o_totalprice", ".."): (1000, 200000),
+        ("o_orderdate", ">="): F.lit("1996-01-01").cast("timestamp_ntz"), "not": {"o_custkey": [1, 2, 3]}
+    }
     return table(spark, sf_dir, "orders").filter(filters(spec)).select(F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").alias("price"))
 
 
@@ -33,7 +36,9 @@ def flt_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flt_prefix_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reference by prefix, and the number behind it."""
     rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("order:"), F.get_json_object("props", "$.k")).alias("tag"), "value")
-    return rows.filter(F.col("tag").startswith("order:") & (F.col("value") >= 85)).select("event_id", F.expr("try_cast(substring(tag, 7) as bigint)").alias("item"))
+    return rows.filter(F.col("tag").startswith("order:") & (F.col("value") >= 85)).select(
+        "event_id", F.expr("try_cast(substring(tag, 7) as bigint)").alias("item")
+    )
 
 
 @theme.add("SELECT o_orderkey AS orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1997-04-01' UNION SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '2001-08-01' - INTERVAL 21 DAY")
@@ -64,7 +69,10 @@ def prj_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = F.create_map(*(F.lit(x) for pair in {"purchase": 5.0, "click": 2.0, "view": 1.0}.items() for x in pair))
     user = F.concat(F.lit("u"), F.nullif("user_id", F.lit(7).cast("long")).cast("string"))
     session = F.concat(F.lit("s"), (F.col("event_id") % 100).cast("string"))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(user, session).alias("viewer"), F.coalesce(weights[F.col("event_type")], F.lit(0.0)).alias("weight"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.coalesce(user, session).alias("viewer"),
+        F.coalesce(weights[F.col("event_type")], F.lit(0.0)).alias("weight")
+    )
 
 
 @theme.add(f"""
@@ -132,7 +140,11 @@ def ql_click_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ql_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent queries of which none had some outcome."""
     n = F.count(F.lit(1))
-    rolled = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("query")).agg(n.alias("asked"), F.count_if(F.col("p_retailprice") > 1500).alias("dear"), F.round(100.0 * F.count_if(F.col("p_size") < 5) / n, 2).alias("small_rate"), F.count_if(F.col("p_size") > 48).alias("large"))
+    rolled = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("query")).agg(
+        n.alias("asked"), F.count_if(F.col("p_retailprice") > 1500).alias("dear"),
+        F.round(100.0 * F.count_if(F.col("p_size") < 5) / n, 2).alias("small_rate"),
+        F.count_if(F.col("p_size") > 48).alias("large")
+    )
     return rolled.filter("asked >= 5 and large = 0").drop("large")
 
 
@@ -154,7 +166,10 @@ def txt_strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_read_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, minutes to read and sentence ends."""
     n = F.size(T.words(F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("words"), F.ceil(n / 220.0).alias("minutes"), F.regexp_count("text", F.lit("[.!?]")).cast("long").alias("stops"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", n.cast("long").alias("words"), F.ceil(n / 220.0).alias("minutes"),
+        F.regexp_count("text", F.lit("[.!?]")).cast("long").alias("stops")
+    )
 
 
 LEXICON = {"idiot": 3, "moron": 3, "clown": 2, "stupid": 2, "trash": 1}
@@ -190,7 +205,9 @@ def txt_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_review_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents are due for review by the interval of their level."""
     interval = F.when(F.col("quality") == 1, 180).otherwise(365)
-    return table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("risk")).agg(F.count(F.lit(1)).alias("n"), F.count_if(interval < F.col("doc_id") % 400).alias("due"))
+    return table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("risk")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(interval < F.col("doc_id") % 400).alias("due")
+    )
 
 
 @theme.add("SELECT 'documents' AS kind, doc_id AS id FROM documents WHERE n_chars > 5000 UNION SELECT 'pages', page_id FROM pages WHERE length(html) > 5000 UNION SELECT 'documents', doc_id FROM labels WHERE toxic = 1")

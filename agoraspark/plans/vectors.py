@@ -38,7 +38,9 @@ WITH m AS (SELECT label, i AS dim, avg(embedding[i + 1]::DOUBLE) AS v FROM embed
 SELECT label, CAST(dim AS INTEGER) AS dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS value FROM m""")
 def vec_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vector of each label at unit length."""
-    return centroids(table(spark, sf_dir, "embeddings"), "label", "embedding", DIM).select("label", F.col("at").alias("dim"), F.round("value", 6).alias("value"))
+    return centroids(table(spark, sf_dir, "embeddings"), "label", "embedding", DIM).select(
+        "label", F.col("at").alias("dim"), F.round("value", 6).alias("value")
+    )
 
 
 @theme.add(f"""
@@ -47,12 +49,16 @@ SELECT count(*) AS queries, round(avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0.0 END),
 def vec_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 1, 5 and 10 and mean reciprocal rank of the first hit of the same label among fifty."""
     labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    top = _top(spark, sf_dir, 50).join(labels.select(F.col("vec_id").alias("query"), F.col("label").alias("q_label")), "query").join(labels.select(F.col("vec_id").alias("id"), F.col("label").alias("v_label")), "id")
+    top = _top(spark, sf_dir, 50).join(
+        labels.select(F.col("vec_id").alias("query"), F.col("label").alias("q_label")), "query"
+    ).join(labels.select(F.col("vec_id").alias("id"), F.col("label").alias("v_label")), "id")
     first = top.groupBy("query").agg(F.min(F.when(F.col("q_label") == F.col("v_label"), F.col("place"))).alias("hit"))
     at = lambda k: F.round(F.avg(F.when(F.col("hit") <= k, 1.0).otherwise(0.0)), 6).alias(f"r{k}")
     return first.agg(F.count(F.lit(1)).alias("queries"), at(1), at(5), at(10), F.round(F.avg(F.coalesce(1.0 / F.col("hit"), F.lit(0.0))), 6).alias("mrr"))
 
 
+# Fixed weights, here and in the queries below: halves of quality at a score of 6; activity 1.5, 1 and 0.5; rank 2.2, 1.4, 0.6, 3 and 0.5;
+# feed 0.55, 0.35 and 0.10; hybrid the better score and a quarter of the other.
 QUALITY = "CASE WHEN s > 0 THEN s / (s + 6.0) ELSE least(1.0, 0.1 * (1.5 * ln(1 + buys) + ln(1 + clicks) + 0.5 * ln(1 + views))) END"
 ITEMS = f"(SELECT item, count_if(event_type = 'purchase') AS buys, count_if(event_type = 'click') AS clicks, count_if(event_type = 'view') AS views, CAST(count_if(event_type = 'signup') AS BIGINT) - count_if(event_type = 'error') AS s, count(*) AS n, max(ts) AS last_ts FROM {EVENTS} GROUP BY 1)"
 
@@ -62,7 +68,10 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         events(spark, sf_dir)
         .groupBy("item")
-        .agg(kind("purchase").alias("buys"), kind("click").alias("clicks"), kind("view").alias("views"), (kind("signup") - kind("error")).alias("s"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
+        .agg(
+            kind("purchase").alias("buys"), kind("click").alias("clicks"), kind("view").alias("views"),
+            (kind("signup") - kind("error")).alias("s"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts")
+        )
     )
 
 
@@ -103,7 +112,10 @@ SELECT user_id, item, round(score, 6) AS score FROM c QUALIFY row_number() OVER
 def vec_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve items a user hasn't met, by affinity to their tag, activity and freshness, for a stated set of users."""
     hours = F.timestamp_diff("HOUR", F.col("last_ts"), F.lit(AS_OF).cast("timestamp_ntz"))
-    items = _items(spark, sf_dir).select("item", (F.col("item") % 10).alias("tag"), (F.least(F.col("n") / 10.0, F.lit(5.0)) / 5).alias("hot"), F.greatest(F.lit(0.0), 1 - hours / 720.0).alias("fresh"))
+    items = _items(spark, sf_dir).select(
+        "item", (F.col("item") % 10).alias("tag"), (F.least(F.col("n") / 10.0, F.lit(5.0)) / 5).alias("hot"),
+        F.greatest(F.lit(0.0), 1 - hours / 720.0).alias("fresh")
+    )
     rows = events(spark, sf_dir).filter("user_id % 100 = 0")
     affinity = rows.filter("event_type = 'view'").groupBy("user_id", (F.col("item") % 10).alias("tag")).agg((F.max("value") / 100).alias("affinity"))
     fresh = affinity.join(items, "tag").join(rows.select("user_id", "item").distinct(), ["user_id", "item"], "left_anti")
@@ -138,9 +150,14 @@ WITH k AS (SELECT p_partkey AS id, p_retailprice / 2100.0 AS lexical FROM part W
 SELECT id, round(greatest(coalesce(lexical, 0), coalesce(semantic, 0)) + 0.25 * least(coalesce(lexical, 0), coalesce(semantic, 0)), 6) AS rank, lexical IS NOT NULL AS by_words, semantic IS NOT NULL AS by_meaning FROM k FULL JOIN s USING (id)""")
 def vec_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two result lists merged by key: the better score plus a quarter of the other."""
-    lexical = table(spark, sf_dir, "part").filter("p_retailprice > 1260").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_retailprice") / 2100.0).alias("lexical"))
+    lexical = table(spark, sf_dir, "part").filter("p_retailprice > 1260").select(
+        F.col("p_partkey").cast("long").alias("id"), (F.col("p_retailprice") / 2100.0).alias("lexical")
+    )
     rows = table(spark, sf_dir, "embeddings")
     semantic = cosine_top_k(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding", 1 << 30, 0.25).groupBy("id").agg(F.max("score").alias("semantic"))
     a, b = F.coalesce("lexical", F.lit(0.0)), F.coalesce("semantic", F.lit(0.0))
     both = lexical.join(semantic, "id", "full")
-    return both.select("id", F.round(F.greatest(a, b) + 0.25 * F.least(a, b), 6).alias("rank"), F.col("lexical").isNotNull().alias("by_words"), F.col("semantic").isNotNull().alias("by_meaning"))
+    return both.select(
+        "id", F.round(F.greatest(a, b) + 0.25 * F.least(a, b), 6).alias("rank"), F.col("lexical").isNotNull().alias("by_words"),
+        F.col("semantic").isNotNull().alias("by_meaning")
+    )

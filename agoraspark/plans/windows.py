@@ -17,7 +17,10 @@ WHERE gap_days >= 180""")
 def win_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that follow the customer's previous one after 180 days or more."""
     before = F.lag("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"), F.date_diff("o_orderdate", before).cast("long").alias("gap_days"))
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"),
+        F.date_diff("o_orderdate", before).cast("long").alias("gap_days")
+    )
     return rows.filter("gap_days >= 180")
 
 
@@ -54,9 +57,15 @@ def win_streak_freezes(spark: SparkSession, sf_dir: str) -> DataFrame:
         gap = F.date_diff(day, s["last"])
         frozen = (gap == 2) & (s["freezes"] > 0)
         run = F.when((gap == 1) | frozen, s["run"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(day.alias("last"), run.alias("run"), F.when(frozen, s["freezes"] - 1).otherwise(s["freezes"]).alias("freezes"), F.greatest(s["best"], run).alias("best"))
-
-    start = F.struct(F.get("days", F.lit(0)).alias("last"), F.lit(1).cast("long").alias("run"), F.lit(2).cast("long").alias("freezes"), F.lit(1).cast("long").alias("best"))
+        return F.struct(
+            day.alias("last"), run.alias("run"), F.when(frozen, s["freezes"] - 1).otherwise(s["freezes"]).alias("freezes"),
+            F.greatest(s["best"], run).alias("best")
+        )
+
+    start = F.struct(
+        F.get("days", F.lit(0)).alias("last"), F.lit(1).cast("long").alias("run"), F.lit(2).cast("long").alias("freezes"),
+        F.lit(1).cast("long").alias("best")
+    )
     end = F.aggregate(F.slice("days", 2, F.greatest(F.size("days") - 1, F.lit(0))), start, step)
     return listed.withColumn("end", end).select("user_id", "end.best", F.col("end.freezes").alias("freezes_left"))
 
@@ -148,7 +157,10 @@ def win_best_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
     priority = F.when(flag == "R", 0).when(flag == "A", 1).otherwise(2)
     best = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.min(F.struct(priority.alias("p"), "l_linenumber")).alias("x"))
-    return best.select("orderkey", F.col("x.l_linenumber").alias("linenumber"), F.when(F.col("x.p") == 0, "returned").when(F.col("x.p") == 1, "accepted").otherwise("new").alias("l_shipmode"))
+    return best.select(
+        "orderkey", F.col("x.l_linenumber").alias("linenumber"),
+        F.when(F.col("x.p") == 0, "returned").when(F.col("x.p") == 1, "accepted").otherwise("new").alias("l_shipmode")
+    )
 
 
 @theme.add("SELECT o_custkey AS custkey, CASE max(CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 2 ELSE 1 END) WHEN 4 THEN 'urgent' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS worst FROM orders GROUP BY 1")
@@ -163,7 +175,9 @@ def win_worst_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win_numbered_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs made unique by a number from the second on."""
     slug = F.lower(F.regexp_replace(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")), "#", ""))
-    placed = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), slug.alias("slug")).withColumn("i", F.row_number().over(Window.partitionBy("slug").orderBy("partkey")))
+    placed = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), slug.alias("slug")).withColumn(
+        "i", F.row_number().over(Window.partitionBy("slug").orderBy("partkey"))
+    )
     return placed.select("partkey", F.concat("slug", F.when(F.col("i") > 1, F.concat(F.lit("-"), F.col("i").cast("string"))).otherwise("")).alias("slug"))
 
 

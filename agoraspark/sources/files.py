@@ -18,7 +18,10 @@ from pyspark.sql.types import StructType
 MOST_PER_REQUEST = 50
 
 
-def read_events_json(spark: SparkSession, path: str, schema: StructType | str, kinds: list[str], request: str | None = None, order: str | None = None) -> DataFrame:
+def read_events_json(
+    spark: SparkSession, path: str, schema: StructType | str, kinds: list[str], request: str | None = None,
+    order: str | None = None
+) -> DataFrame:
     """JSON lines of events: those of known kinds, with the time spent clamped to an hour and the share read to 0..100.
 
     Lines that are no JSON have no kind and are left out. With the columns of a request and of an order within it, a request

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraspark.llm import bpe, chat, chunks, decontaminate, langid, mpeg_audio, simhash, toxicity, warc, weak_quality
+from agoraspark.llm import bpe, chat, chunks, decontaminate, langid, lexical, mpeg_audio, simhash, toxicity, warc, weak_quality
 from agoraspark.llm.common import table
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -76,6 +76,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for every benchmark item."""
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_byte_bpe": op2_byte_bpe,
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_weak_labels": op8_weak_labels,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_simhash": op10_simhash,
+    "op11_lexical_search": op11_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
@@ -103,4 +109,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
 GROUP BY conv_id""",
+    "op11_lexical_search": r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+     asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+     corpus AS (SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_terms FROM words),
+     lengths AS (SELECT doc_id, 100 - 25 + (25 * count(*)::HUGEINT * any_value(n_docs)) // any_value(n_terms) AS m FROM words, corpus GROUP BY doc_id),
+     weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(DISTINCT doc_id) + 1)::DOUBLE))::HUGEINT AS w
+                 FROM words, corpus GROUP BY term),
+     postings AS (SELECT term, doc_id, count(*)::HUGEINT AS tf FROM words GROUP BY term, doc_id),
+     scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+                FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
 }

@@ -322,5 +322,5 @@ def test_pipeline(spark):
 
 
 def test_registered():
-    assert {int(k[2 : k.index("_")]) for k in queries.QUERIES} == set(range(1, 11))
+    assert {int(k[2 : k.index("_")]) for k in queries.QUERIES} == set(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

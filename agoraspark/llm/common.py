@@ -56,17 +56,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", folder) else f"file://{os.path.abspath(folder)}"
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """The path of a new folder in the shared one, which goes when the driver's process ends (or discard_stored is called)."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _STORED:
+        atexit.register(discard_stored)
+    _STORED.append((spark.sparkContext, path))
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as parquet to the shared folder and read it back: cuts lineage and survives lost executors.
 
     What is returned is read lazily, so the files stay until the driver's process ends (or discard_stored is called).
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = own_folder(spark, label)
     df.write.parquet(path)
-    if not _STORED:
-        atexit.register(discard_stored)
-    _STORED.append((spark.sparkContext, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -195,7 +195,7 @@ def _block_hits(index: Index, rows: list, block: int, k: int) -> DataFrame:
     spark = index.shards.sparkSession
     counted = [Counter(t.decode("utf-8", "replace") for found in term_lists(text) for t in found) for _, text in rows]
     asked = sorted(set().union(*counted))
-    terms = spark.createDataFrame([(t,) for t in asked], "term string")
+    terms = F.broadcast(spark.createDataFrame([(t,) for t in asked], "term string"))  # those of a block, which is bounded
     known = {r["term"]: weight(r["df"], index.n_docs) for r in index.vocabulary.join(terms, "term", "left_semi").collect()}
     names = sorted(known)
     number = {t: i for i, t in enumerate(names)}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraspark.llm import bpe, chat, chunks, decontaminate, langid, lexical, mpeg_audio, simhash, toxicity, warc, weak_quality
+from agoraspark.llm import bpe, chat, chunks, decontaminate, filter_audit, langid, lexical, mpeg_audio, simhash, toxicity, warc, weak_quality
 from agoraspark.llm.common import table
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -81,6 +81,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at every step of all their orders, by language."""
+    return filter_audit.audit(filter_audit.failing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_byte_bpe": op2_byte_bpe,
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_simhash": op10_simhash,
     "op11_lexical_search": op11_lexical_search,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
@@ -123,4 +129,29 @@ WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFG
                 FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id),
      ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
+    "op13_filter_audit": r"""
+WITH split AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                      list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+     flagged AS (SELECT part, CAST(len(words) < 100 AS INT) + 2 * CAST(100 * list_unique(words) < 80 * len(words) AS INT)
+                        + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS INT)
+                        + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+                        + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INT) AS mask,
+                        coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+                        coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS bad FROM split),
+     profiles AS (SELECT part, mask, good, bad, count(*) AS n FROM flagged GROUP BY ALL),
+     letter AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(c, bit)),
+     orders AS (SELECT a.c || b.c || d.c || e.c || f.c AS filter_order FROM letter a, letter b, letter d, letter e, letter f
+                WHERE a.bit + b.bit + d.bit + e.bit + f.bit = 31 AND a.bit | b.bit | d.bit | e.bit | f.bit = 31),
+     steps AS (SELECT filter_order, step::INTEGER AS step, c, bit, coalesce((SELECT sum(p.bit)::INTEGER FROM letter p WHERE instr(filter_order, p.c) < step), 0) AS before
+               FROM orders, range(1, 6) AS r(step), letter WHERE c = substr(filter_order, step, 1)),
+     counted AS (SELECT part, filter_order, step, c,
+                        coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0)::BIGINT AS kept,
+                        coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+                        coalesce(sum(n) FILTER (WHERE mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+                        coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+                        coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit > 0 AND good), 0)::BIGINT AS good_lost,
+                        coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit > 0 AND bad), 0)::BIGINT AS toxic_lost
+                 FROM profiles, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM counted""",
 }

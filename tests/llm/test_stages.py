@@ -53,6 +53,8 @@ def test_queries_on_odd_and_empty_tables(spark, tables, name):
             assert n == source.select("conv_id").distinct().count() + 1  # and conversation -7
         elif name == "op11_lexical_search":
             assert n <= 20 * spark.read.parquet(f"{tables}/{kind}/benchmark.parquet").distinct().count()
+        elif name == "op13_filter_audit":
+            assert n == 600 * source.select(F.coalesce("lang", F.lit(""))).distinct().count()
         elif name in ("op3_templates", "op9_chunk_dedup"):
             assert n <= source.count()
         else:

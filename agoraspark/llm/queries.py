@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraspark.llm import bpe, chat, chunks, decontaminate, filter_audit, langid, lexical, mpeg_audio, simhash, toxicity, warc, weak_quality
+from agoraspark.llm import bpe, chat, chunks, decontaminate, filter_audit, langid, lexical, mpeg_audio, simhash, token_store, toxicity, warc, weak_quality
 from agoraspark.llm.common import table
 
+WORDS_FILE, END_ID = "word_bpe_49k.json", 2
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -81,6 +82,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the token ids of all documents to binary shards with an index of their keys, and read all of them by key."""
+    docs = table(spark, sf_dir, "documents")
+    store = token_store.write_store(docs, public_tokenizers.path(WORDS_FILE), END_ID)
+    return token_store.read_store(store, docs, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove at every step of all their orders, by language."""
     return filter_audit.audit(filter_audit.failing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
@@ -98,6 +106,7 @@ QUERIES = {
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_simhash": op10_simhash,
     "op11_lexical_search": op11_lexical_search,
+    "op12_token_store": op12_token_store,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -3,7 +3,7 @@
 A text is the set of its lower-case words, hashed to BITS bits. The score is the logistic function of a bias, one
 weight per term and, for every pair of terms in the text, the product of their factor vectors; so that two terms can
 say together what neither says alone. All terms of MIN_ROWS rows or more take part, on a bounded sample (SAMPLE_PER_CLASS
-rows of either label in expectation) of labelled rows.
+rows of either label in expectation, at most twice as many where ids repeat) of labelled rows.
 
 Nothing is left out by what it says alone; penalties keep noise at zero instead. Weights are trained by
 follow-the-regularised-leader with an L1 penalty, factors likewise with a penalty on the length of a term's vector. For a
@@ -27,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from agoraspark.llm import textvec
-from agoraspark.llm.common import class_sample, crc_fold
+from agoraspark.llm.common import class_sample, crc_fold, unit_hash
 
 BITS = 18
 FACTORS = 4
@@ -249,19 +249,35 @@ def fit_machine(rows: list[np.ndarray], label: np.ndarray, size: int, factors: b
     return whole.bias, whole.w, v
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, factors: bool = True) -> dict:
-    """The model learned from docs (doc_id, text) and labels (doc_id, toxic); without factors a linear one.
+def _marked(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic (0 or 1) of labels, one row an id."""
+    marked = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    return marked.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+
 
-    The sample is drawn among the labels, so that the ids that are broadcast are bounded and no text is shuffled.
+def sampled_rows(docs: DataFrame, marked: DataFrame, per_class: int) -> list[Row]:
+    """doc_id, toxic and terms of a sample of the labelled rows, 2 * per_class of either label in expectation at most, in order.
+
+    Ids are drawn among the labels first, so that what is broadcast is bounded and no text is shuffled. If these ids have more
+    rows than that bound, as ids that repeat do, rows are drawn among them by id and text. Rows that repeat count once.
     """
-    marked = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = F.broadcast(class_sample(marked, "toxic", "doc_id", per_class))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    apart = texts.join(chosen, "doc_id").select("toxic", "doc_id", F.xxhash64("text").alias("h")).distinct()
+    share = F.lit(0.0)
+    for value, n in apart.groupBy("toxic").count().collect():
+        share = F.when(F.col("toxic") == value, min(1.0, 2 * per_class / n)).otherwise(share)
+    drawn = texts.join(chosen, "doc_id").filter(unit_hash(F.lit("rows"), "doc_id", "text") < share)
+    return sorted(_sampled(drawn).distinct().collect(), key=lambda r: (r["doc_id"], r["terms"]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, factors: bool = True) -> dict:
+    """The model learned from docs (doc_id, text) and labels (doc_id, toxic); without factors a linear one."""
+    marked = _marked(labels)
     totals = {0: 0, 1: 0}
-    for value, n in marked.groupBy((F.col("toxic") > 0).cast("int")).count().collect():
+    for value, n in marked.groupBy("toxic").count().collect():
         totals[value] = n
-    marked = marked.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
-    chosen = class_sample(marked, "toxic", "doc_id", per_class)
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    found = sorted(_sampled(texts.join(F.broadcast(chosen), "doc_id")).collect(), key=lambda r: (r["doc_id"], r["terms"]))
+    found = sampled_rows(docs, marked, per_class)
     label = np.array([r["toxic"] for r in found], int)
     rows = [np.frombuffer(r["terms"], np.uint32).astype(np.int64) for r in found]
     kinds = np.bincount(label, minlength=2)

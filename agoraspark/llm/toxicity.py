@@ -37,7 +37,7 @@ BITS = 18
 FACTORS = 4
 SAMPLE_PER_CLASS = 4000
 EPOCHS, FACTOR_EPOCHS, BATCH = 40, 10, 32
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 1.0, 0.05
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 1.0, 0.05
 DEVIATIONS = 4.0
 MIN_ROWS = 3
 PAIR_DEVIATIONS, PAIR_ROWS, PAIR_BITS, PAIR_BLOCK = 6.0, 40, 21, 1 << 20

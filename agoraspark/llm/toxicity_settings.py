@@ -18,7 +18,7 @@ from agoraspark.llm import toxicity
 from agoraspark.llm.common import table, unit_hash
 
 #: A change of one setting at a time, from those of the module.
-CANDIDATES = [{}, {"ALPHA": 0.25}, {"ALPHA": 0.5}, {"ALPHA": 2.0}, {"EPOCHS": 20}, {"DEVIATIONS": 3.0}, {"DEVIATIONS": 5.0}, {"L2": 0.5}]
+CANDIDATES = [{}, {"ALPHA": 0.25}, {"ALPHA": 0.5}, {"ALPHA": 1.0}, {"EPOCHS": 20}, {"DEVIATIONS": 3.0}, {"DEVIATIONS": 5.0}, {"L2": 0.5}]
 
 
 def learnable(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

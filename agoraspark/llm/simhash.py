@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoraspark.llm.common import row_key, stored, unclashing
@@ -25,7 +25,6 @@ SEED = 42
 BLOCK_LIMIT = 1 << 16  # rows of one block value beyond which it is dealt again
 PAIRS_AT_ONCE = 1 << 15  # node pairs that are split at a time; about four times as many wait at each of the trie's levels
 ROWS_AT_ONCE = 1 << 17
-PEEL_ROUNDS = 30
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -259,39 +258,63 @@ def _deal(rows: DataFrame, width: int, radius: int) -> tuple[DataFrame, bool]:
     return (rows if done is None else done.unionByName(rows)).drop("rest"), exhausted
 
 
-def _peel(dealt: DataFrame, max_total: int) -> tuple[DataFrame, DataFrame | None]:
-    """Take from groups that can't be dealt any further the rows within max_total of the group's least id, as links to it.
+def _tiled(dealt: DataFrame) -> DataFrame:
+    """Split groups of over BLOCK_LIMIT rows whose bits are used up, so that every two rows of one still meet in a group.
 
-    That is repeated with what is left until no group holds more than BLOCK_LIMIT rows, so no task gets all rows that share
-    a key. Returns the rows that are left, and the links.
+    A group's rows are dealt to chunks of half the limit in expectation by their ids, and every two chunks are a new group: each row
+    is in as many of them as there are chunks. So no pair is left out, and no task holds more than two chunks at a time.
     """
-    links = None
-    for _ in range(PEEL_ROUNDS):
-        hot = stored(dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "fp")).alias("head")).filter(F.col("n") > BLOCK_LIMIT).drop("n"), "hot-keys")
-        if hot.isEmpty():
-            break
-        marked = dealt.join(hot, "grp", "left")
-        apart = F.aggregate(F.zip_with("fp", "head.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        marked = stored(marked.withColumn("apart", F.when(F.col("head").isNotNull(), apart)), "peeled")
-        found = marked.filter(F.col("apart") <= max_total).select(F.col("id").alias("a"), F.col("head.id").alias("b")).filter("a <> b")
-        links = found if links is None else links.unionByName(found)
-        dealt = marked.filter(F.col("apart").isNull() | (F.col("apart") > max_total)).drop("head", "apart")
-    return dealt, links
+    counts = dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_LIMIT)
+    hot = stored(counts.select("grp", F.ceil(2 * F.col("n") / BLOCK_LIMIT).cast("long").alias("chunks")), "hot-keys")
+    if hot.isEmpty():
+        return dealt
+    marked = dealt.join(hot, "grp", "left").withColumn("chunk", F.pmod("id", "chunks"))
+    other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).alias("other")
+    tile = F.xxhash64("grp", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    return marked.select("*", other).withColumn("grp", F.when(F.col("other") < 0, F.col("grp")).otherwise(tile)).select(*dealt.columns)
+
+
+def _blocks(width: int, radius: int) -> list[Column]:
+    """The values of the radius + 1 blocks of key, of which those of two keys within radius share one."""
+    size = width // (radius + 1)
+    last = width - radius * size  # takes the bits that are left over
+    value = lambda k: F.shiftrightunsigned("key", k * size).bitwiseAND(F.lit((1 << (last if k == radius else size)) - 1).cast("long"))
+    return [F.struct(F.lit(k).alias("block"), value(k).alias("value")) for k in range(radius + 1)]
+
+
+def _around_heavy_keys(rows: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame | None]:
+    """Take out the rows whose very key over BLOCK_LIMIT rows have, which no bits can split.
+
+    Returns the rows that are left, and the groups in which each such key's rows meet all rows within radius of it.
+    """
+    counts = rows.groupBy("lane", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_LIMIT)
+    heavy = stored(counts.select("lane", "key"), "heavy-keys")
+    if heavy.isEmpty():
+        return rows, None
+    blocks = F.explode(F.array(*_blocks(width, radius))).alias("p")
+    theirs = heavy.select("lane", F.col("key").alias("heavy"), blocks).select("lane", "heavy", "p.block", "p.value")
+    near = rows.select("*", blocks).select(*rows.columns, "p.block", "p.value").join(theirs, ["lane", "block", "value"])
+    near = near.filter(F.bit_count(F.col("key").bitwiseXOR(F.col("heavy"))) <= radius).withColumn("grp", F.xxhash64("lane", "heavy"))
+    return rows.join(heavy, ["lane", "key"], "left_anti"), _tiled(near.drop("block", "value", "heavy", "lane").dropDuplicates(["id", "grp"]))
 
 
 def near_links(rows: DataFrame, width: int, radius: int, max_total: int | None = None) -> DataFrame:
     """Links a, b (ids) that connect all rows whose keys differ in radius bits or less.
 
     rows: id (long), key (long, of width bits) and, if max_total is given, lane (int) and fp (array of longs): then only
-    keys of one lane meet, and the whole of both fp may differ in max_total bits at most. Keys may repeat then; of groups of
-    over BLOCK_LIMIT rows that are left when all bits are dealt, rows near to the first are linked to it alone.
+    keys of one lane meet, and the whole of both fp may differ in max_total bits at most. Keys may repeat then; groups of
+    over BLOCK_LIMIT rows that are left when all bits are dealt, and those around a key of so many rows, are met chunk by chunk. The limit never decides what is linked.
     """
+    apart = None
+    if max_total is not None:
+        rows, apart = _around_heavy_keys(rows, width, radius)
     dealt, exhausted = _deal(rows, width, radius)
-    peeled = None
     if max_total is not None:
         dealt = dealt.drop("lane")
         if exhausted:
-            dealt, peeled = _peel(dealt, max_total)
+            dealt = _tiled(dealt)
+        if apart is not None:
+            dealt = dealt.unionByName(apart)
     dealt = dealt.repartition("grp").sortWithinPartitions("grp", F.shiftrightunsigned("key", 1), F.col("key").bitwiseAND(F.lit(1).cast("long")))
 
     def solve(groups: np.ndarray, ids: np.ndarray, keys: np.ndarray, full: np.ndarray | None) -> pa.RecordBatch:
@@ -329,8 +352,7 @@ def near_links(rows: DataFrame, width: int, radius: int, max_total: int | None =
         if held:
             yield solve(*_joined(held))
 
-    links = dealt.mapInArrow(run, "a long, b long")
-    return (links if peeled is None else links.unionByName(peeled)).distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _joined(held: list[list[np.ndarray | None]]) -> list[np.ndarray | None]:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agoraspark.functions import markup
+
 #: Accented Latin letters and what they fold to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
@@ -28,9 +30,8 @@ def slug(text: Column) -> Column:
 
 
 def stripped_html(html: Column) -> Column:
-    """Text of a page: without scripts, styles and tags, blanks run together."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    """Text of a page: without comments, scripts, styles and tags, entities decoded, blanks run together."""
+    return markup.stripped(html, ["script", "style"])
 
 
 def excerpt(text: Column, most: int, least_share: float = 0.6) -> Column:
@@ -41,36 +42,8 @@ def excerpt(text: Column, most: int, least_share: float = 0.6) -> Column:
     return F.when(F.char_length(text) <= most, text).otherwise(short)
 
 
-def escaped_html(text: Column) -> Column:
-    """Text for HTML: the five characters that mean something there as entities."""
-    out = text
-    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
-        out = F.replace(out, F.lit(plain), F.lit(entity))
-    return out
-
-
-def cropped(text: Column, terms: list[str], most: int, lead: int = 5) -> Column:
-    """marked and words: a crop of `most` words that begins `lead` words before the first match, escaped, with the terms marked."""
-    either = "|".join(terms)
-    w = F.split(F.trim(escaped_html(text)), r"\s+")
-    hit = F.array_position(F.transform(w, lambda x: F.lower(x).rlike(rf"(^|[^\p{{L}}])({either})([^\p{{L}}]|$)")), True)
-    begin = F.greatest(F.when(hit > 0, hit).otherwise(1) - lead, F.lit(1)).cast("int")
-    whole = F.concat(F.when(begin > 1, "… ").otherwise(""), F.array_join(F.slice(w, begin, F.lit(most)), " "), F.when(F.size(w) > begin + most - 1, " …").otherwise(""))
-    marked = F.regexp_replace(whole, rf"(?i)(^|[^\p{{L}}])({either})($|[^\p{{L}}])", "$1<mark>$2</mark>$3")
-    return F.struct(marked.alias("marked"), F.least(F.size(w) - begin + 1, F.lit(most)).alias("words"))
-
-
 def whole_word(term: str) -> str:
     """A pattern of a term as a whole token; a blank in it stands for a hyphen too, and digits belong to tokens."""
     return r"(?<![a-z0-9])" + r"[\s-]".join(map(re.escape, term.split(" "))) + r"(?![a-z0-9])"
 
 
-def plain_blocks(html: Column) -> Column:
-    """Text of a page for matching: without quotes, code and spoilers, blocks on lines of their own, entities decoded, addresses left out."""
-    out = F.regexp_replace(html, r"(?is)<(blockquote|code|spoiler|script|style)[^>]*>.*?</(blockquote|code|spoiler|script|style)>", " ")
-    out = F.regexp_replace(out, r"(?i)</?(p|div|li|h[1-6]|tr|br)[^>]*>", "\n")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", "")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    out = F.regexp_replace(F.regexp_replace(out, r"https?://\S+", " "), r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(out, r"\s*\n\s*", "\n"))

@@ -155,7 +155,10 @@ def txt_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("f") == F.col("low")).alias("plain"), F.md5(F.col("f").cast("binary")).alias("folded_md5"))
 
 
-@theme.add(r"SELECT page_id, length(t) AS chars, md5(t) AS text_md5 FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages)")
+@theme.add(r"""
+SELECT page_id, length(t) AS chars, md5(t) AS text_md5 FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+  '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)""")
 def txt_strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of pages without markup."""
     rows = table(spark, sf_dir, "pages").select("page_id", T.stripped_html(F.col("html")).alias("t"))

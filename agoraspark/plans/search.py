@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agoraspark.functions import text as T
-from agoraspark.operators.search import bm25, distinct_best, filters, phrase, postings, within_edits
+from agoraspark.operators import index as ix
+from agoraspark.operators.search import distinct_best, filters
 from agoraspark.plans.base import EVENTS, Theme, events, table
 
 theme = Theme()
@@ -75,28 +76,60 @@ def prj_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def distance_sql(a: str, b: str) -> str:
+    """Edits between two lower-case words as the other dialect counts them if every letter is one byte."""
+    one = lambda x: f"translate({x}, 'àâäáãåçèéêëìíîïñòóôöõùúûüýÿßœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%')"
+    return f"levenshtein({one(a)}, {one(b)})"
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """The index of documents by their first twelve words (title) and all words (body), built once an application."""
+    rows = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", T.words(F.col("text")).alias("body"))
+    return ix.kept(rows.select("doc_id", F.slice("body", 1, 12).alias("title"), "body"), "doc_id", ["title", "body"], "title and body")
+
+
+@theme.add(f"SELECT word, count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({WORDS}) AS word FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def ql_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of the index of documents, which is built here if no search has done it before."""
+    rows = document_index(spark, sf_dir).table("maxima").filter("field = 'body'")
+    return rows.groupBy("word").agg(F.sum("n").alias("docs"), F.sum("total").alias("total"))
+
+
 @theme.add(f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, len(w) AS length, [{', '.join(f"len(list_filter(w, lambda x: x = '{t}'))" for t in TERMS)}] AS tf FROM d),
 t AS (SELECT count(*) AS n, avg(length) AS mean, [{', '.join(f'count_if(tf[{i + 1}] > 0)' for i in range(3))}] AS df FROM c)
 SELECT doc_id, CAST(len(list_filter(tf, lambda x: x > 0)) AS INTEGER) AS matched, round({' + '.join(f'ln(1 + (n - df[{i + 1}] + 0.5) / (df[{i + 1}] + 0.5)) * tf[{i + 1}] * 2.2 / (tf[{i + 1}] + 1.2 * (0.25 + 0.75 * length / mean))' for i in range(3))}, 6) AS score
 FROM c, t WHERE len(list_filter(tf, lambda x: x > 0)) > 0""")
 def ql_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of three terms over all documents."""
-    rows = table(spark, sf_dir, "documents").filter("text is not null")
-    return bm25(rows, "doc_id", "text", TERMS).select("doc_id", "matched", F.round("score", 6).alias("score"))
+    """Score of three terms over all documents, from the postings of these terms."""
+    found = ix.scores(document_index(spark, sf_dir), TERMS, {"body": 1.0})
+    return found.select(F.col("id").alias("doc_id"), F.col("matched").cast("int").alias("matched"), F.round("score", 6).alias("score"))
 
 
 @theme.add(f"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({WORDS}, ' ') || ' ' AS t FROM documents) WHERE contains(t, ' of the ') AND NOT contains(t, ' idiot ')")
 def ql_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a phrase and without a word."""
-    return table(spark, sf_dir, "documents").filter(phrase(F.col("text"), "of the") & ~phrase(F.col("text"), "idiot")).select("doc_id")
+    """Documents with a phrase and without a word, by positions."""
+    index = document_index(spark, sf_dir)
+    without = index.postings(["idiot"]).filter("field = 'body'").select("id")
+    return ix.phrase(index, ["of", "the"], "body").join(without, "id", "left_anti").select(F.col("id").alias("doc_id"))
 
 
-@theme.add(f"SELECT word, count(*) AS n, CAST(levenshtein(word, 'herean') AS INTEGER) AS edits FROM (SELECT unnest({WORDS}) AS word FROM documents) WHERE levenshtein(word, 'herean') <= 1 GROUP BY 1")
+@theme.add(f"SELECT word, count(*) AS n, CAST({distance_sql('word', "'herean'")} AS INTEGER) AS edits FROM (SELECT unnest({WORDS}) AS word FROM documents) WHERE {distance_sql('word', "'herean'")} <= 1 GROUP BY 1")
 def ql_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words within one edit of a term; each distinct word is compared once."""
-    vocabulary = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return within_edits(vocabulary, "word", "herean").select("word", "n", F.col("edits").cast("int").alias("edits"))
+    """Words within one edit of a term, by what is left of words when letters are deleted."""
+    counted = ql_index(spark, sf_dir)
+    near = ix.near_words(counted, spark.range(1).select(F.lit("herean").alias("asked")))
+    return counted.join(F.broadcast(near), "word").select("word", F.col("total").alias("n"), F.col("edits").cast("int").alias("edits"))
+
+
+@theme.add(f"""
+WITH v AS (SELECT DISTINCT unnest({WORDS}) AS word FROM documents), a AS (SELECT DISTINCT unnest({WORDS}) AS asked FROM benchmark WHERE item_id % 10 = 0),
+     m AS (SELECT asked, CASE WHEN length(asked) < 4 OR regexp_full_match(asked, '\\p{{N}}+') THEN 0 WHEN length(asked) < 8 THEN 1 ELSE 2 END AS most FROM a)
+SELECT asked, word, CAST({distance_sql('asked', 'word')} AS INTEGER) AS edits FROM m JOIN v ON abs(length(asked) - length(word)) <= most AND {distance_sql('asked', 'word')} <= most""")
+def ql_typos_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that each word of a stated set of items (ids divisible by 10) may be misspelt for."""
+    words = table(spark, sf_dir, "benchmark").filter("item_id % 10 = 0").select(F.explode(T.words(F.col("text"))).alias("asked"))
+    return ix.near_words(ql_index(spark, sf_dir), words).select("asked", "word", F.col("edits").cast("int").alias("edits"))
 
 
 @theme.add("""
@@ -198,10 +231,8 @@ def txt_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @theme.add("SELECT word, count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(" + WORDS + ") AS word FROM documents) GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 20")
 def txt_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document and total frequency of words that are in twenty documents or more."""
-    # a document's words are counted within its row, so words alone are shuffled
-    index = postings(table(spark, sf_dir, "documents"), "doc_id", ["text"])
-    return index.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("total")).filter("docs >= 20")
+    """Document and total frequency of words that are in twenty documents or more, from the index."""
+    return ql_index(spark, sf_dir).filter("docs >= 20")
 
 
 @theme.add("SELECT quality AS risk, count(*) AS n, CAST(sum(CASE WHEN CASE quality WHEN 1 THEN 180 ELSE 365 END < doc_id % 400 THEN 1 ELSE 0 END) AS BIGINT) AS due FROM labels GROUP BY 1")

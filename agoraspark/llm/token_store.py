@@ -43,13 +43,14 @@ from tokenizers import Tokenizer
 from agoraspark.llm.common import NO_ID, own_folder, stored
 from agoraspark.llm.ranges import Deal, id_ranges
 
-SHARD_BYTES = 64 << 20  # of text, with ROW_BYTES for each document
+LEAST_SHARD, MOST_SHARD = 1 << 20, 256 << 20  # of text, with ROW_BYTES for each document
 ROW_BYTES = 64
 BUCKET_KEYS = 1 << 16
 GAMMA = 2  # bits a key in each array of the cascade
-CACHED_WORDS = 1 << 19
-SLICE_WORDS = 1 << 20
-SEPARATOR = "0"
+CACHED_UNITS = 1 << 18
+SLICE_WORDS = 1 << 19
+SEPARATOR, JOINED = "0", 2000
+STOPPED = r"^(?P<word>[a-z\x{E0}-\x{F6}\x{F8}-\x{17F}]+)(?P<stops>[.,]+)$"
 READ_AHEAD = 1 << 20
 PLACE_SCHEMA = "shard int, doc_id long, start long, n long, sha256 string"
 BUCKET_SCHEMA = "bucket int, keys long, bytes long, sha256 string"
@@ -74,11 +75,18 @@ class Store:
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The pieces of flat that begin at starts, one after the other."""
     ends = np.cumsum(lengths)
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((starts - (ends - lengths)).astype(kind), lengths) + np.arange(total, dtype=kind)]
 
 
 class Encoder:
-    """Encodes texts by the words between ASCII blanks, which no token spans; a word's ids are kept for the next time."""
+    """Encodes texts by the words between ASCII blanks, which no token spans; the ids of frequent ones are kept for the next time.
+
+    Capitals of ASCII are made small first, as the tokenizer does it anyway. A word of letters with stops after it is two units,
+    since the tokenizer's pattern cuts there; only letters that every version of Unicode knows count for that. Each distinct
+    unit is encoded once.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,55 +97,77 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
+        self.known: dict[str, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word. Words without the separator go many in a text, and are told apart by its id."""
-        alone = [i for i, w in enumerate(words) if self.separator is None or SEPARATOR in w]
-        single = set(alone)
-        joined = [i for i in range(len(words)) if i not in single]
-        groups = [joined[i : i + 2000] for i in range(0, len(joined), 2000)]
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-        for group in groups:
-            ids = np.array(self.tokenizer.encode(f" {SEPARATOR} ".join([words[i] for i in group]), add_special_tokens=False).ids, np.uint32)
-            pieces = np.split(ids, np.flatnonzero(ids == self.separator))
-            for k, (i, piece) in enumerate(zip(group, pieces, strict=True)):
-                out[i] = piece[k > 0 :]
-        return out
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of distinct words; those that are new are encoded."""
-        if len(self.words) + len(words) > CACHED_WORDS:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, and how many each has. Units without the separator go many in a text, and are told apart by its id."""
+        joined = np.array([self.separator is not None and SEPARATOR not in u for u in units], bool)
+        many, lengths = [u for u, j in zip(units, joined, strict=True) if j], np.zeros(len(units), np.int64)
+        groups = self._ids([f" {SEPARATOR} ".join(many[i : i + JOINED]) + f" {SEPARATOR}" for i in range(0, len(many), JOINED)])
+        alone = self._ids([u for u, j in zip(units, joined, strict=True) if not j])
+        ids = np.concatenate([np.zeros(0, np.uint32), *groups])
+        cut = ids == self.separator if many else np.zeros(0, bool)
+        lengths[joined] = np.diff(np.flatnonzero(cut), prepend=-1) - 1
+        lengths[~joined] = [len(x) for x in alone]
+        order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
+        starts = np.empty(len(units), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return gather(np.concatenate([ids[~cut], *alone]), starts, lengths), lengths
+
+    def _units(self, units: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """flat, starts and lengths of the ids of distinct units; those that come often are kept."""
+        if len(self.known) > CACHED_UNITS:
             self.forget()
-        fresh = [w for w in words if w not in self.words]
-        if fresh:
-            new = self._encode_words(fresh)
-            lengths = np.array([len(x) for x in new], np.int64)
-            self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, *new])
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        number = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
+        fresh, old = np.flatnonzero(number < 0), np.flatnonzero(number >= 0)
+        flat, new = self._encode_units([units[i] for i in fresh.tolist()])
+        starts, lengths, base = np.empty(len(units), np.int64), np.empty(len(units), np.int64), len(self.flat)
+        starts[old], lengths[old] = self.starts[number[old]], self.lengths[number[old]]
+        starts[fresh], lengths[fresh] = base + np.cumsum(new) - new, new
+        whole, keep = np.concatenate([self.flat, flat]), fresh[often[fresh]]
+        self.known.update(zip((units[i] for i in keep.tolist()), range(len(self.starts), len(self.starts) + len(keep)), strict=True))
+        self.flat = np.concatenate([self.flat, gather(whole, starts[keep], lengths[keep])])
+        self.starts = np.concatenate([self.starts, base + np.cumsum(lengths[keep]) - lengths[keep]])
+        self.lengths = np.concatenate([self.lengths, lengths[keep]])
+        return whole, starts, lengths
+
+    def _words(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """flat, starts and lengths of the ids of distinct words. counts: how often each comes."""
+        parts = pc.extract_regex(words, STOPPED)
+        two = parts.is_valid()
+        stopped = two.to_numpy(zero_copy_only=False)
+        units = pa.concat_arrays([pc.if_else(two, parts.field(0), words), parts.field(1).filter(two)]).dictionary_encode()
+        unit = units.indices.to_numpy()
+        n = np.bincount(unit, np.concatenate([counts, counts[stopped]]), len(units.dictionary))
+        flat, starts, lengths = self._units(units.dictionary.to_pylist(), n > 1)
+        size = 1 + stopped
+        place = np.cumsum(size) - size
+        pieces = np.empty(int(size.sum()), np.int64)
+        pieces[place] = unit[: len(words)]
+        pieces[place[stopped] + 1] = unit[len(words) :]
+        total = np.add.reduceat(lengths[pieces], place) if len(place) else place
+        return gather(flat, starts[pieces], lengths[pieces]), np.cumsum(total) - total, total
 
     def encode(self, texts: pa.Array, end_id: int, kind: str) -> pa.Array:
         """The ids of each text and end_id after them, as bytes of kind."""
-        listed = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        listed = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         split = pc.dictionary_encode(listed.flatten())
-        number = self._numbers(split.dictionary.to_pylist())[split.indices.to_numpy()]
+        number = split.indices.to_numpy()
+        flat, starts, lengths = self._words(split.dictionary, np.bincount(number, minlength=len(split.dictionary)))
+        flat = flat.astype(kind)
         bounds = listed.offsets.to_numpy().astype(np.int64) - listed.offsets[0].as_py()
         counts = np.zeros(len(texts) + 1, np.int64)
-        lengths = np.concatenate([[0], np.cumsum(self.lengths[number])])
-        counts[1:] = lengths[bounds[1:]] - lengths[bounds[:-1]] + 1
+        sums = np.concatenate([[0], np.cumsum(lengths[number])])
+        counts[1:] = sums[bounds[1:]] - sums[bounds[:-1]] + 1
         ends = np.cumsum(counts)
-        out = np.empty(ends[-1], kind)
-        out[ends[1:] - 1] = end_id
-        inside = np.ones(ends[-1], bool)
-        inside[ends[1:] - 1] = False
-        flat = [gather(self.flat, self.starts[n], self.lengths[n]) for n in (number[i : i + SLICE_WORDS] for i in range(0, len(number), SLICE_WORDS))]
-        out[inside] = np.concatenate(flat) if flat else []
+        out, inside = np.empty(ends[-1], kind), np.ones(ends[-1], bool)
+        out[ends[1:] - 1], inside[ends[1:] - 1] = end_id, False
+        slices = (number[i : i + SLICE_WORDS] for i in range(0, len(number), SLICE_WORDS))
+        out[inside] = np.concatenate([np.zeros(0, kind), *(gather(flat, starts[n], lengths[n]) for n in slices)])
         offsets = ends * out.itemsize
         if offsets[-1] >= 1 << 31:
             raise ValueError("the ids of a batch are beyond 2 GB; set spark.sql.execution.arrow.maxBytesPerBatch lower")
@@ -299,10 +329,16 @@ def _batch(schema: str, *columns: np.ndarray | list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
+def shard_bytes(total: int) -> int:
+    """Text of a shard: grows with the root of the total up to MOST_SHARD, so that small tables are written by several tasks as well."""
+    return min(MOST_SHARD, max(LEAST_SHARD, int((total * (256 << 10)) ** 0.5)))
+
+
 def _deal(rows: DataFrame) -> Deal:
     sizes = rows.select(F.col("doc_id").alias("id"), (F.octet_length("text") + F.lit(ROW_BYTES)).cast("long").alias("n"))
-    missing = sizes.filter("id is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Deal(id_ranges(sizes.filter("id is not null"), SHARD_BYTES), SHARD_BYTES, missing)
+    total, missing = (n or 0 for n in sizes.agg(F.sum("n"), F.sum(F.when(F.col("id").isNull(), F.col("n")))).first())
+    target = shard_bytes(total)
+    return Deal(id_ranges(sizes.filter("id is not null"), target), target, missing)
 
 
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> Store:

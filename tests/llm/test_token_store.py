@@ -23,7 +23,7 @@ def library():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-ODD = ["", " ", "a", "0", "0 0", "10 times 0.5", "a\x0bb\x0cc\x1cd\x85e f g", "ΟΔΟΣ Σ ΑΣ.", "é ́x", "<|endoftext|> x<|startoftext|>y", "don't we'll I'M", "日本語 🙂🙂 ünï", "x" * 30000, " 0", "٠० ⅷ 00", "#", "\n\n#\t#"]
+ODD = ["", " ", "a", "0", "0 0", "10 times 0.5", "a\x0bb\x0cc\x1cd\x85e f g", "ΟΔΟΣ Σ ΑΣ.", "é ́x", "<|endoftext|> x<|startoftext|>y", "don't we'll I'M", "日本語 🙂🙂 ünï", "x" * 30000, " 0", "٠० ⅷ 00", "#", "\n\n#\t#", "Word. word.. ÉTÉ, éte. don.t word., .word word.0 ŉ. ſ. ß."]
 
 
 def test_words_against_the_library(spark, library):
@@ -38,10 +38,10 @@ def test_words_against_the_library(spark, library):
 
 
 def test_words_that_are_forgotten(monkeypatch, library):
-    monkeypatch.setattr(token_store, "CACHED_WORDS", 5)
+    monkeypatch.setattr(token_store, "CACHED_UNITS", 2)
     monkeypatch.setattr(token_store, "SLICE_WORDS", 3)
     encoder = token_store.Encoder(PATH)
-    for text in ("one two three", "three four five one", "six seven eight nine ten one two three four", "one"):
+    for text in ("One two three. two", "three four five, one ONE", "six seven eight nine ten one two three four", "one"):
         assert np.frombuffer(encoder.encode(pa.array([text]), 2, "<u2")[0].as_py(), "<u2").tolist() == [*library(text), 2]
 
 
@@ -86,7 +86,7 @@ def check(store, keys, rows, library):
 
 @pytest.mark.parametrize("size", [1, 3000, 64 << 20])
 def test_store(spark, library, monkeypatch, odd, size):
-    monkeypatch.setattr(token_store, "SHARD_BYTES", max(size, 500))
+    monkeypatch.setattr(token_store, "shard_bytes", lambda total: max(size, 500))
     monkeypatch.setattr(token_store, "BUCKET_KEYS", 37)
     monkeypatch.setattr(token_store, "READ_AHEAD", 64)
     hot = spark.range(40).select(F.lit(77).cast("long").alias("doc_id"), F.concat(F.lit("a text of the hot id "), F.col("id") % 3).alias("text"))

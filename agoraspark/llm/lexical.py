@@ -121,7 +121,14 @@ class _Shard:
 
 def build_index(docs: DataFrame) -> Index:
     """The index of docs (doc_id, text)."""
-    n_docs, n_terms = docs.select(F.regexp_count("text", F.lit(TERM)).cast("long").alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = [sum(map(len, term_lists(text.as_py()))) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (sum(n > 0 for n in lengths), sum(lengths))], ["n_docs", "n_terms"])
+
+    counted = docs.select(docs["text"]).mapInArrow(count, "n_docs long, n_terms long").agg(F.sum("n_docs"), F.sum("n_terms")).first()
+    n_docs, n_terms = (n or 0 for n in counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(n_docs, n_terms)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+from agoraspark.operators.blocks import Guard, sequences
 
 
 def idempotent(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -26,27 +24,9 @@ def balances(entries: DataFrame, key: str, delta: str, counts: Column | None = N
 def guarded(entries: DataFrame, key: str, delta: str, order: list[str]) -> DataFrame:
     """Adds granted and balance: a negative entry is granted only if the balance, of what was granted so far, covers it.
 
-    Entries of a key are streamed in their order; only the running balance is held. Entries of a null key are one key.
+    Entries of a key are cut into parts that several tasks run, see operators.blocks. Entries of a null key are one key.
     """
-    names = entries.columns
-    schema = StructType([*entries.schema.fields, StructField("granted", BooleanType()), StructField("balance", LongType())])
-    dealt = entries.repartition(key).sortWithinPartitions(key, *order)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, balance = object(), 0
-        for frame in frames:
-            granted, after = [], []
-            known = frame[key].astype(object).where(frame[key].notna(), None)  # a null is equal to a null
-            for k, d in zip(known, frame[delta], strict=True):
-                if k != current:
-                    current, balance = k, 0
-                fits = balance + d >= 0 or d >= 0
-                balance += d if fits else 0
-                granted.append(fits)
-                after.append(balance)
-            yield frame[names].assign(granted=granted, balance=after)
-
-    return dealt.mapInPandas(run, schema)
+    return sequences(entries, [key], order, Guard(delta))
 
 
 def drift(stored: DataFrame, recomputed: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,49 +2,25 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+
+from agoraspark.operators.blocks import Cap, Gap, sequences
 
 
 def accepted_rows(
-    rows: DataFrame, keys: list[str], seconds: str, order: str, gap: float | None = None, cap: int | None = None,
-    span: float | None = None
+    rows: DataFrame, keys: list[str], seconds: str, order: str, gap: int | None = None, cap: int | None = None, span: int | None = None
 ) -> DataFrame:
     """Adds accepted: whether a row counts, given the rows of its key that counted before it.
 
     gap: a row counts if the last row that did is at least so many seconds older. cap and span: a row counts if fewer
-    than cap rows counted within the last span seconds. Rows are taken in the order of seconds, then order.
-
-    Rows are sorted within partitions and streamed, so a key isn't gathered in memory: only its last cap accepted times
-    are held. A key lies in one partition, since each step needs the one before. Rows of a null key are one key.
+    than cap rows counted within the last span seconds. Rows are taken in the order of seconds (whole numbers), then order.
+    A key's rows are cut into parts that several tasks run, see operators.blocks. Rows of a null key are one key.
     """
     if (gap is None) == (cap is None):
         raise ValueError("either gap or cap with span")
-    names = rows.columns
-    schema = StructType([*rows.schema.fields, StructField("accepted", BooleanType())])
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, seconds, order)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, times = None, deque(maxlen=cap or 1)
-        for frame in frames:
-            out = []
-            known = frame[keys].astype(object).where(frame[keys].notna(), None)  # a null is equal to a null
-            for key, at in zip(known.itertuples(index=False, name=None), frame[seconds], strict=True):
-                if key != current:
-                    current = key
-                    times.clear()
-                fits = (not times or at - times[-1] >= gap) if cap is None else (len(times) < cap or at - times[0] >= span)
-                if fits:
-                    times.append(at)
-                out.append(fits)
-            yield frame[names].assign(accepted=out)
-
-    return dealt.mapInPandas(run, schema)
+    machine = Gap(seconds, gap) if cap is None else Cap(seconds, cap, span)
+    return sequences(rows, keys, [seconds, order], machine)
 
 
 def streaks(days: DataFrame, key: str, day: str) -> DataFrame:

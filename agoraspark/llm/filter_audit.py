@@ -53,7 +53,8 @@ def failing(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("text").rlike(r"[#$%&*|]").alias("D"),
     )
     slim = stored(slim, "flags")
-    equal = slim.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    # stored, so that both sides of the join are dealt for it alone, as adaptive execution needs to split a hot digest
+    equal = stored(slim.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "equal-texts")
     marked = labels.filter("doc_id is not null and (quality = 1 or toxic = 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marked = marked.agg(F.bool_or(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.bool_or(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     joined = slim.join(equal.select("digest", "least"), "digest", "left").join(marked, "doc_id", "left")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agoraspark.operators.prefix import running
+
 
 def coread_pairs(visits: DataFrame, min_pairs: int = 1) -> DataFrame:
     """a, b (items, a < b), pairs and weight over all pairs of visits that share a user (other than 0) or a session.
@@ -52,17 +54,15 @@ def positional_merge(left: DataFrame, right: DataFrame, key: str, row: str) -> D
     """
     counted = [side.groupBy(key).agg(F.count(F.lit(1)).alias("n")) for side in (left, right)]
     equal = counted[0].join(counted[1], [key, "n"]).select(key)
-    placed = [
-        side.join(equal, key).select(key, F.col(row).alias(name), F.row_number().over(Window.partitionBy(key).orderBy(row)).alias("place")) for side,
-        name in ((left, "left"), (right, "right"))
-    ]
-    return placed[0].join(placed[1], [key, "place"]).select(key, F.col("place").cast("long").alias("place"), "left", "right")
+    sides = ((left, "left"), (right, "right"))
+    placed = [running(side.join(equal, key), [key], [row]).select(key, F.col(row).alias(name), "place") for side, name in sides]
+    return placed[0].join(placed[1], [key, "place"]).select(key, "place", "left", "right")
 
 
 def by_position(wanted: DataFrame, rows: DataFrame, key: str, place: str, row: str) -> DataFrame:
     """wanted (key, place) with the place-th row of each key's sequence; places beyond its end have none.
 
-    row is a struct whose order is the sequence.
+    row is a struct whose order is the sequence. Only keys that are wanted are numbered.
     """
-    placed = rows.select(key, F.col(row), F.row_number().over(Window.partitionBy(key).orderBy(row)).cast("long").alias(place))
-    return wanted.withColumn(place, F.col(place).cast("long")).join(placed, [key, place])
+    asked = rows.select(key, row).join(wanted.select(key).distinct(), key, "left_semi")
+    return wanted.withColumn(place, F.col(place).cast("long")).join(running(asked, [key], [row], name=place), [key, place])

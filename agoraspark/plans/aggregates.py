@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agoraspark.operators.percentiles import exact_percentiles
+from agoraspark.operators.prefix import running
 from agoraspark.plans.base import AS_OF, EVENTS, Theme, events, table
 
 theme = Theme()
@@ -141,7 +142,8 @@ def agg_signed_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of all rows in per cent; the window is over one row per type."""
     rolled = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return rolled.select("event_type", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 2).alias("share"))
+    total = rolled.agg(F.sum("n").alias("total"))  # one row
+    return rolled.crossJoin(F.broadcast(total)).select("event_type", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("share"))
 
 
 @theme.add("""
@@ -176,8 +178,8 @@ SELECT min(v) FILTER (WHERE upto >= 0.1 * total) AS p10, min(v) FILTER (WHERE up
 def agg_histogram_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles, mean and maximum from a histogram, which has one row per distinct quantity."""
     histogram = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("v")).count()
-    whole = Window.partitionBy(F.lit(0))
-    tally = histogram.select("v", "count", F.sum("count").over(whole.orderBy("v")).alias("upto"), F.sum("count").over(whole).alias("total"))
+    total = histogram.agg(F.sum("count").alias("total"))  # one row
+    tally = running(histogram, [], ["v"], F.col("count"), "upto").crossJoin(F.broadcast(total))
     at = lambda share: F.min(F.when(F.col("upto") >= share * F.col("total"), F.col("v")))
     return tally.agg(
         at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"),

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agoraspark.functions.text import words
-from agoraspark.sources.files import shared_path
+from agoraspark.sources.files import file_marks, shared_path
 
 BUCKETS, SPLITS, BLOCK = 32, 4, 64
 POSTING = "id long, field string, word string, tf int, length int, positions array<int>"
@@ -114,13 +114,7 @@ def build(docs: DataFrame, id_: str, fields: list[str]) -> Index:
 
 def kept(docs: DataFrame, id_: str, fields: list[str], label: str) -> Index:
     """The index of docs, built at its first use in this application. label: what docs is derived from its files by."""
-    spark = docs.sparkSession
-    conf, marks = spark.sparkContext._jsc.hadoopConfiguration(), []
-    for name in sorted(docs.inputFiles()):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        marks.append((name, status.getLen(), status.getModificationTime()))
-    key = (spark.sparkContext.applicationId, label, id_, tuple(fields), tuple(marks))
+    key = (docs.sparkSession.sparkContext.applicationId, label, id_, tuple(fields), file_marks(docs))
     if key not in _BUILT:
         _BUILT[key] = build(docs, id_, fields)
     return _BUILT[key]

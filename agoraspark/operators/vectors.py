@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUERY_ROWS = 2000  # queries that are broadcast at once; more are taken in blocks
+from agoraspark.operators import cells
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -18,29 +18,25 @@ def norm(a: Column) -> Column:
 
 
 def cosine_top_k(queries: DataFrame, rows: DataFrame, id_: str, vector: str, k: int, floor: float = -1.0) -> DataFrame:
-    """query, id, score, place: the k rows of greatest cosine for each query, itself excluded, not below floor.
+    """query, id, score, place: the k rows of greatest cosine for each of queries, itself excluded, not below floor.
 
-    Queries are a stated set; they are counted, and broadcast in blocks of QUERY_ROWS, against which every row is held
-    once, by a nested-loop join with the broadcast block; what reaches the floor is ranked by a window per query, whose limit
-    Spark pushes below the shuffle, so each task sends k rows a query. Vectors of another length, null ones and zero ones
-    match nothing.
+    rows is a table; its vectors are put into cells once (see operators.cells), and a query meets the cells that can hold one of
+    its k. Vectors of another length than most, null ones and zero ones match nothing.
     """
-    sized = lambda d: d.filter(F.col(vector).isNotNull() & (norm(F.col(vector)) > 0))
-    asked = sized(queries).select(F.col(id_).alias("query"), F.col(vector).alias("q"))
-    n = asked.count()
-    against = sized(rows).select(F.col(id_).alias("id"), F.col(vector).alias("v")).withColumn("v_norm", norm(F.col("v")))
-    blocks = -(-n // QUERY_ROWS) or 1
-    out = None
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-        block = F.broadcast(block.withColumn("q_norm", norm(F.col("q"))))
-        score = dot(F.col("q"), F.col("v")) / (F.col("q_norm") * F.col("v_norm"))
-        met = against.join(
-            block, (F.size("q") == F.size("v")) & (F.col("query") != F.col("id"))
-        ).select("query", "id", score.alias("score")).filter(F.col("score") >= floor)
-        out = met if out is None else out.unionByName(met)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return out.withColumn("place", place).filter(F.col("place") <= k)
+    own = queries.select(F.col(id_).alias("query"), F.col(vector).alias("q"), F.array(F.col(id_).cast("long")).alias("skip"))
+    held = cells.kept(rows, id_, vector)
+    return cells.search(held, own, k, floor) if held else _none(rows)
+
+
+def cosine_within(queries: DataFrame, rows: DataFrame, id_: str, vector: str, floor: float) -> DataFrame:
+    """query, id, score: all rows whose cosine with a query is floor or more, but for itself."""
+    own = queries.select(F.col(id_).alias("query"), F.col(vector).alias("q"), F.array(F.col(id_).cast("long")).alias("skip"))
+    held = cells.kept(rows, id_, vector)
+    return cells.within(held, own, floor) if held else _none(rows).drop("place")
+
+
+def _none(rows: DataFrame) -> DataFrame:
+    return rows.sparkSession.createDataFrame([], "query long, id long, score double, place int")
 
 
 def centroids(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import sqlite3
@@ -10,12 +12,14 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 MOST_PER_REQUEST = 50
+_SHARED: list[tuple] = []  # context and path of what this process wrote
 
 
 def read_events_json(
@@ -126,7 +130,8 @@ def json_batches(rows: DataFrame, order: str, most_bytes: int, most_rows: int) -
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all machines share, as the cluster names it in spark.checkpoint.dir.
 
-    Where none is set, a temporary folder will do if Spark runs in one machine; elsewhere that is an error.
+    Where none is set, a temporary folder will do if Spark runs in one machine; elsewhere that is an error. What is written to
+    the path goes when the driver's process ends, or discard_shared() is called.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
@@ -135,7 +140,32 @@ def shared_path(spark: SparkSession, label: str) -> str:
         folder = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
         spark.sparkContext.setCheckpointDir(folder)
     base = folder if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", folder) else f"file://{os.path.abspath(folder)}"
-    return f"{base}/{label}-{uuid.uuid4().hex}"
+    path = f"{base}/{label}-{uuid.uuid4().hex}"
+    if not _SHARED:
+        atexit.register(discard_shared)
+    _SHARED.append((spark.sparkContext, path))
+    return path
+
+
+def discard_shared() -> None:
+    """Delete what this process wrote to its shared paths, where their Spark context still runs; for the end of a job."""
+    while _SHARED:
+        context, path = _SHARED.pop()
+        if context._jsc is None:
+            continue
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone already at the end of the process
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def file_marks(df: DataFrame) -> tuple:
+    """Name, length and time of the files that df is read from: what is derived from them alone holds as long as these do."""
+    context, out = df.sparkSession.sparkContext, []
+    for name in sorted(df.inputFiles()):
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agoraspark.functions.text import excerpt
+from agoraspark.operators import cells
 from agoraspark.operators.sequences import diversified
-from agoraspark.operators.vectors import cosine_top_k
+from agoraspark.operators.vectors import cosine_top_k, cosine_within
 from agoraspark.plans.base import AS_OF, EVENTS, Theme, events, table
 from agoraspark.plans.vectors import COS, MET
 
@@ -86,12 +87,13 @@ def rec_related(spark: SparkSession, sf_dir: str) -> DataFrame:
 @theme.add(f"""
 WITH e AS (SELECT DISTINCT user_id, item FROM {EVENTS} WHERE event_type = 'view'), c AS (SELECT a.item AS a, b.item AS b, count(*) AS w FROM e a JOIN e b ON a.user_id = b.user_id AND a.item <> b.item GROUP BY 1, 2 HAVING count(*) >= 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS i FROM c WHERE a % 10 = 0), t AS (SELECT a, b, 0.55 * w / max(w) OVER (PARTITION BY a) AS co FROM n WHERE i <= 100),
-s AS (SELECT query % 100 AS a, id % 100 AS b, max(score) AS sim FROM {MET} WHERE query % 10 = 0 AND score >= 0.2 AND query % 100 <> id % 100 GROUP BY 1, 2),
+v AS (SELECT q.vec_id AS a, w.vec_id AS b, {COS.format('q.embedding', 'w.embedding')} AS sim FROM embeddings q JOIN embeddings w ON q.vec_id <> w.vec_id WHERE q.vec_id IN (SELECT item FROM e WHERE item % 10 = 0)),
+s AS (SELECT a, b, sim FROM v QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 12) DESC, b) <= 32),
 u AS (SELECT coalesce(t.a, s.a) AS a, coalesce(t.b, s.b) AS b, coalesce(co, 0) + 0.30 * coalesce(sim, 0) AS score FROM t FULL JOIN s ON t.a = s.a AND t.b = s.b)
 SELECT a AS item, b AS other, round(score + 0.10 * least(1.0, hotness / 5) + 0.05 * greatest(0, 1 - age / 30.0), 6) AS score FROM u JOIN {HEAT} h ON h.item = u.b
 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score + 0.10 * least(1.0, hotness / 5) + 0.05 * greatest(0, 1 - age / 30.0), 6) DESC, b) <= 10""")
 def rec_coread_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten items for each of a stated set: co-readers against the most of them, content, activity and freshness."""
+    """Ten items for each of a stated set (ids divisible by 10): co-readers against the most of them, content, activity, freshness."""
     rows = events(spark, sf_dir)
     seen = rows.filter("event_type = 'view'").select("user_id", "item").distinct()
     asked = seen.filter("item % 10 = 0").select("user_id", F.col("item").alias("a"))
@@ -101,10 +103,9 @@ def rec_coread_related(spark: SparkSession, sf_dir: str) -> DataFrame:
         "a", "b", (0.55 * F.col("w") / F.max("w").over(mine)).alias("co")
     )
     vectors = table(spark, sf_dir, "embeddings")
-    alike = cosine_top_k(vectors.filter("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 1 << 30, 0.2)
-    alike = alike.select(
-        (F.col("query") % 100).alias("a"), (F.col("id") % 100).alias("b"), "score"
-    ).filter("a <> b and a % 10 = 0").groupBy("a", "b").agg(F.max("score").alias("sim"))
+    # an item's vector is that of the same id; each item that is asked brings its nearest ones
+    queries = vectors.join(asked.select(F.col("a").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    alike = cosine_top_k(queries, vectors, "vec_id", "embedding", 32).select(F.col("query").alias("a"), F.col("id").alias("b"), F.col("score").alias("sim"))
     merged = near.join(alike, ["a", "b"], "full").join(heat(rows).withColumnRenamed("item", "b"), "b")
     score = F.coalesce("co", F.lit(0.0)) + 0.30 * F.coalesce("sim", F.lit(0.0)) + 0.10 * F.least(F.lit(1.0), F.col("hotness") / 5) + 0.05 * F.greatest(F.lit(0.0), 1 - F.col("age") / 30.0)
     ranked = merged.select(F.col("a").alias("item"), F.col("b").alias("other"), F.round(score, 6).alias("score"))
@@ -149,17 +150,18 @@ SEEN = f"(SELECT DISTINCT user_id, item FROM {EVENTS})"
 @theme.add(f"""
 WITH u AS (SELECT DISTINCT user_id FROM (SELECT user_id FROM events WHERE user_id % 10 = 0 UNION ALL SELECT -1)), c AS (SELECT * FROM {SOUGHT}),
 v AS (SELECT vec_id AS id, embedding, label, coalesce(p_size, 0) / (coalesce(p_size, 0) + 6.0) AS quality FROM embeddings LEFT JOIN part ON p_partkey = vec_id),
-p AS (SELECT c.user_id, v.id, v.label, 0.7 * {COS.format('c.vector', 'v.embedding')} + 0.3 * quality AS rank, 'your-activity' AS reason FROM c, v WHERE NOT EXISTS (SELECT 1 FROM {SEEN} s WHERE s.user_id = c.user_id AND s.item = v.id)),
+x AS (SELECT c.user_id, v.id, v.label, quality, {COS.format('c.vector', 'v.embedding')} AS cos FROM c, v WHERE NOT EXISTS (SELECT 1 FROM {SEEN} s WHERE s.user_id = c.user_id AND s.item = v.id)),
+p AS (SELECT user_id, id, label, 0.7 * cos + 0.3 * quality AS rank, 'your-activity' AS reason FROM x QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(cos, 12) DESC, id) <= 60),
 t AS (SELECT item, 1.0 + recent / ln(2.718281828459045 + n) AS trend FROM (SELECT item, count(*) AS n, count_if(ts >= {NOW} - INTERVAL 72 HOUR) AS recent FROM {EVENTS} GROUP BY 1) WHERE recent > 0),
 k AS (SELECT u.user_id, v.id, v.label, coalesce(trend, quality) AS rank, CASE WHEN trend IS NOT NULL THEN 'trending' ELSE 'top-rated' END AS reason FROM u, v LEFT JOIN t ON t.item = v.id WHERE u.user_id NOT IN (SELECT user_id FROM c)),
 b AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY round(rank, 6) DESC, id) > 3 AS spill FROM (SELECT * FROM p UNION ALL SELECT * FROM k)),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY spill, round(rank, 6) DESC, id) AS place FROM b)
 SELECT user_id, id, round(rank, 6) AS rank, reason, place FROM o WHERE place <= 12""")
 def rec_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve items for each of a stated set of users and for a stranger (-1), three of a label first.
+    """Twelve items for each of a stated set of users (ids divisible by 10) and for a stranger (-1), three of a label first.
 
-    Users with seeds get what lies near the mean of their seeds' vectors and wasn't met yet; the others what is trending, then
-    what is best rated.
+    Users with seeds get the best of the sixty nearest to the mean of their seeds' vectors that they haven't met yet; the others
+    what is trending, then what is best rated.
     """
     rows, vectors = events(spark, sf_dir), table(spark, sf_dir, "embeddings")
     asked = rows.filter("user_id % 10 = 0")
@@ -170,12 +172,13 @@ def rec_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = seeds(asked).join(vectors.select(F.col("vec_id").alias("item"), "embedding"), "item")
     mean = wanted.select("user_id", F.posexplode("embedding").alias("at", "x")).groupBy("user_id", "at").agg(F.avg("x").alias("x"))
     centre = mean.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs")).select(
-        F.col("user_id").alias("vec_id"), F.transform("xs", lambda x: x["x"]).alias("embedding")
+        "user_id", F.transform("xs", lambda x: x["x"]).alias("q")
     )
-    # ids of users and items are apart, so no item is left out as the query itself
-    apart = centre.select((-1 - F.col("vec_id")).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    near = cosine_top_k(apart, vectors, "vec_id", "embedding", 1 << 30).select((-1 - F.col("query")).alias("user_id"), "id", "score")
-    fresh = near.join(asked.select("user_id", F.col("item").alias("id")).distinct(), ["user_id", "id"], "left_anti")
+    # what a user has met doesn't count; of the rest the nearest are ranked, five times as many as are shown
+    met = asked.groupBy("user_id").agg(F.collect_set("item").alias("skip"))
+    sought = centre.join(met, "user_id").select(F.col("user_id").alias("query"), "q", "skip")
+    held = cells.kept(vectors, "vec_id", "embedding")
+    fresh = cells.search(held, sought, 60).select(F.col("query").alias("user_id"), "id", "score")
     own = fresh.join(items, "id").select(
         "user_id", "id", "label", F.round(0.7 * F.col("score") + 0.3 * F.col("quality"), 6).alias("rank"),
         F.lit("your-activity").alias("reason")
@@ -185,7 +188,7 @@ def rec_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item").alias("id"), (1.0 + F.col("recent") / F.log(F.lit(2.718281828459045) + F.col("n"))).alias("trend")
     )
     strangers = asked.select("user_id").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("user_id"))).join(
-        centre.select(F.col("vec_id").alias("user_id")), "user_id", "left_anti"
+        centre.select("user_id"), "user_id", "left_anti"
     )
     # everyone without seeds gets the same list, so it is ranked once
     best = diversified(
@@ -277,8 +280,8 @@ def rec_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # only the first five of a set of equal names can be among a query's five, besides the query and what vectors bring
     first = keyed.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter("i <= 6").drop("i")
     vectors = table(spark, sf_dir, "embeddings")
-    semantic = cosine_top_k(
-        vectors.filter("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 1 << 30, 0.25
+    semantic = cosine_within(
+        vectors.filter("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 0.25
     ).select("query", "id", F.col("score").alias("semantic"))
     queries = keyed.filter("id % 100 = 0").select(F.col("id").alias("query"), F.col("key").alias("q_key"))
     by_name = queries.join(close, "q_key")

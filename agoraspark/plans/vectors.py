@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agoraspark.operators.vectors import centroids, cosine_top_k
+from agoraspark.operators.vectors import centroids, cosine_top_k, cosine_within
 from agoraspark.plans.base import AS_OF, EVENTS, Theme, events, table
 
 theme = Theme()
@@ -154,7 +154,7 @@ def vec_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").cast("long").alias("id"), (F.col("p_retailprice") / 2100.0).alias("lexical")
     )
     rows = table(spark, sf_dir, "embeddings")
-    semantic = cosine_top_k(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding", 1 << 30, 0.25).groupBy("id").agg(F.max("score").alias("semantic"))
+    semantic = cosine_within(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding", 0.25).groupBy("id").agg(F.max("score").alias("semantic"))
     a, b = F.coalesce("lexical", F.lit(0.0)), F.coalesce("semantic", F.lit(0.0))
     both = lexical.join(semantic, "id", "full")
     return both.select(

@@ -66,3 +66,14 @@ def by_position(wanted: DataFrame, rows: DataFrame, key: str, place: str, row: s
     """
     asked = rows.select(key, row).join(wanted.select(key).distinct(), key, "left_semi")
     return wanted.withColumn(place, F.col(place).cast("long")).join(running(asked, [key], [row], name=place), [key, place])
+
+
+def not_in(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows for which key NOT IN (others' key) holds, nulls as SQL has them.
+
+    If the others hold a null nothing is left; a null key is left only if there are no others. Both are counted in one row.
+    """
+    known = others.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(key).isNull()).alias("_nulls"))  # one row
+    apart = rows.join(others.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti").crossJoin(F.broadcast(known))
+    holds = (F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(key).isNotNull())
+    return apart.filter(holds).select(*rows.columns)

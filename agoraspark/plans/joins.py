@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agoraspark.operators.matching import coread_pairs, ladder_lookup, positional_merge
+from agoraspark.operators.matching import coread_pairs, ladder_lookup, not_in, positional_merge
 from agoraspark.plans.base import EVENTS, Theme, events, table
 
 theme = Theme()
@@ -94,6 +94,23 @@ def join_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(seen, "item", "left_anti").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
+@theme.add(f"""
+WITH r AS (SELECT event_id, nullif(item % 10, 3) AS k FROM {EVENTS})
+SELECT 'a null among the others' AS kind, event_id FROM r WHERE k NOT IN (SELECT nullif(item % 10, 3) FROM {EVENTS} WHERE event_id % 40 < 20) UNION ALL
+SELECT 'no null among them', event_id FROM r WHERE k NOT IN (SELECT item % 10 FROM {EVENTS} WHERE item % 10 IN (1, 5)) UNION ALL
+SELECT 'no others', event_id FROM r WHERE k NOT IN (SELECT item % 10 FROM {EVENTS} WHERE item < 0)""")
+def join_not_in_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NOT IN where keys are null: nothing is left if the others have a null; a null key is left only if there are no others."""
+    rows = events(spark, sf_dir).select("event_id", "item", F.nullif(F.col("item") % 10, F.lit(3).cast("long")).alias("k"))
+    cases = {
+        "a null among the others": rows.filter("event_id % 40 < 20").select("k"),
+        "no null among them": rows.filter("item % 10 in (1, 5)").select((F.col("item") % 10).alias("k")),
+        "no others": rows.filter("item < 0").select((F.col("item") % 10).alias("k")),
+    }
+    left = [not_in(rows, others, "k").select(F.lit(kind).alias("kind"), "event_id") for kind, others in cases.items()]
+    return left[0].unionAll(left[1]).unionAll(left[2])
+
+
 @theme.add("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))")
 def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership nested twice."""

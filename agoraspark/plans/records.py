@@ -155,13 +155,19 @@ def led_reconcile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "item", F.explode(F.array_compact(F.array(*found))).alias("problem"))
 
 
-@theme.add(f"SELECT item, kind, CASE WHEN len(kinds) = 1 THEN score END AS n, len(kinds) = 1 AS exact FROM (SELECT item, list_sort(list_distinct(list(event_type))) AS kinds, CAST(sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END) AS BIGINT) AS score, unnest(list_sort(list_distinct(list(event_type)))) AS kind FROM {EVENTS} WHERE ts > TIMESTAMP '2024-01-30 06:00:00' GROUP BY item)")
+KINDS_KNOWN = ("view", "click", "purchase", "signup")
+
+
+@theme.add(f"""
+WITH p AS (SELECT item, user_id, list_distinct(list(event_type)) AS kinds, CAST(sum(CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 1 ELSE 2 END) AS BIGINT) AS score FROM {EVENTS} GROUP BY ALL)
+SELECT item, user_id, kind, CASE WHEN len(kinds) = 1 THEN score END AS n, len(kinds) = 1 AND score IS NOT NULL AS exact FROM p, unnest(kinds) AS k(kind) WHERE kind IN {KINDS_KNOWN}""")
 def led_legacy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A total is known by kind only where one kind was met; it is never shared out."""
-    rows = events(spark, sf_dir).filter(F.col("ts") > F.lit("2024-01-30 06:00:00").cast("timestamp_ntz"))
-    rolled = rows.groupBy("item").agg(F.collect_set("event_type").alias("kinds"), F.sum(F.when(F.col("event_id") % 2 == 0, 1).otherwise(2)).alias("score"))
+    """A post's total is known by kind only where one kind was met; it is never shared out. Kinds without a successor are left out."""
+    worth = F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(F.col("event_id") % 2 == 0, 1).otherwise(2)
+    rolled = events(spark, sf_dir).groupBy("item", "user_id").agg(F.collect_set("event_type").alias("kinds"), F.sum(worth.cast("long")).alias("score"))
     single = F.size("kinds") == 1
-    return rolled.select("item", F.explode("kinds").alias("kind"), F.when(single, F.col("score")).alias("n"), single.alias("exact"))
+    rows = rolled.select("item", "user_id", F.explode("kinds").alias("kind"), F.when(single, F.col("score")).alias("n"), (single & F.col("score").isNotNull()).alias("exact"))
+    return rows.filter(F.col("kind").isin(*KINDS_KNOWN))
 
 
 QUEUED = f"(SELECT CASE WHEN event_type = 'signup' THEN 'group' ELSE 'item' END AS kind, CASE WHEN event_type = 'signup' THEN item % 7 ELSE item END AS id, event_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS action FROM {EVENTS} WHERE event_type IN ('error', 'click', 'signup'))"
@@ -279,15 +285,11 @@ def snk_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE = """'{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}'"""
 
 
-@theme.add(f"SELECT CAST(sum(length({LINE}) + 1) AS BIGINT) AS bytes, count(*) AS n, true AS bounded, true AS filled FROM events")
+@theme.add(f"SELECT CAST(sum(length({LINE}) + 1) AS BIGINT) AS bytes, count(*) AS n FROM events")
 def snk_json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lines in batches of 4,000 bytes and 50 rows at most, each as full as its bounds allow but for the last of a partition."""
+    """JSON lines in batches of 4,000 bytes and 50 rows at most; what all of them hold (tests hold each against its bounds)."""
     batches = json_batches(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", 4000, 50)
-    loose = F.count_if((F.col("n") < 50) & (F.col("bytes") < 3900) & ~F.col("last"))
-    return batches.agg(
-        F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), (F.max("n") <= 50).alias("fits"),
-        (F.max("bytes") <= 4000).alias("small"), (loose == 0).alias("filled")
-    ).select("bytes", "n", (F.col("fits") & F.col("small")).alias("bounded"), "filled")
+    return batches.filter("n <= 50 and bytes <= 4000").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
 
 
 @theme.add("""

@@ -34,6 +34,29 @@ def coread_pairs(visits: DataFrame, min_pairs: int = 1) -> DataFrame:
     return total.filter(F.col("pairs") >= min_pairs)
 
 
+def coread_delta(before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame:
+    """a, b, pairs and weight by which coread_pairs grows from before to after; signed, without what stays.
+
+    changed: uid and session of the visits that were added or taken away. Only visits of those users and sessions are paired, before
+    and after: pairs that didn't change are in both and cancel.
+    """
+    users = changed.select("uid").filter("uid <> 0").distinct().withColumn("_user", F.lit(True))
+    sessions = changed.select("session").filter("session is not null").distinct().withColumn("_session", F.lit(True))
+
+    def touched(visits: DataFrame) -> DataFrame:
+        return visits.join(users, "uid", "left").join(sessions, "session", "left").filter("_user or _session").drop("_user", "_session")
+
+    gone = coread_pairs(touched(before), min_pairs=0).select("a", "b", (-F.col("pairs")).alias("pairs"), (-F.col("weight")).alias("weight"))
+    both = coread_pairs(touched(after), min_pairs=0).unionByName(gone)
+    return both.groupBy("a", "b").agg(F.sum("pairs").alias("pairs"), F.sum("weight").alias("weight")).filter("pairs <> 0 or weight <> 0")
+
+
+def coread_applied(state: DataFrame, delta: DataFrame) -> DataFrame:
+    """The pairs after a delta; those of which none are left go."""
+    both = state.unionByName(delta.select(*state.columns))
+    return both.groupBy("a", "b").agg(F.sum("pairs").alias("pairs"), F.sum("weight").alias("weight")).filter("pairs > 0")
+
+
 def ladder_lookup(rows: DataFrame, value: str, rungs: list[tuple[str, float]]) -> DataFrame:
     """Adds rung (the highest whose threshold is reached, null below all) and next_at (the next threshold, null on top).
 

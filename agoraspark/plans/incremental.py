@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agoraspark.plans.base import AS_OF, EVENTS, Theme, events, table
-from agoraspark.sources.files import after, balanced, inserted, patched, upserted
-from agoraspark.streaming.state import applied, collapsed, retry_at
+from agoraspark.plans.windows import theme as windows
+from agoraspark.sources.files import after, balanced, inserted, patched, shared_path, upserted
+from agoraspark.streaming.spool import append, capped, replay
+from agoraspark.streaming.state import applied, collapsed, drain, retry_at
 
 theme = Theme()
+WINDOW_SQL = windows.sql
 QUEUE = f"(SELECT item, event_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS action, user_id FROM {EVENTS} WHERE event_type IN ('error', 'click'))"
 
 
@@ -123,3 +126,31 @@ def src_balanced_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = rolled.agg(F.sum("n").alias("total"), F.max("most").alias("largest"))  # one row
     even = F.abs(F.col("n") - F.col("total") / 4) <= F.col("largest") + 1
     return rolled.crossJoin(F.broadcast(whole)).select("part", "n", "keys", "first_key", "last_key", even.alias("even"))
+
+
+@theme.add(f"SELECT user_id, event_id FROM ({WINDOW_SQL['win_rolling_cap']}) WHERE accepted")
+def str_spool_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views that count by a stream over a spool that grows: it is replayed after each of three appends, from its checkpoint on."""
+    spool, target, checkpoint = (shared_path(spark, label) for label in ("spool", "spool-kept", "spool-checkpoint"))
+    seconds = F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts"))
+    rows = table(spark, sf_dir, "events").filter("event_type = 'view'").select("user_id", "event_id", seconds.alias("seconds"))
+    bounds = [None, 10 * 86400, 20 * 86400, None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = rows if low is None else rows.filter(F.col("seconds") >= low)
+        append(part if high is None else part.filter(F.col("seconds") < high), spool)
+        stream = spark.readStream.schema("user_id long, event_id long, seconds long").json(spool)
+        replay(capped(stream, "user_id", "event_id", "seconds", cap=3, span=432000), target, checkpoint)
+    return spark.read.parquet(target).select(F.col("key").alias("user_id"), F.col("row").alias("event_id"))
+
+
+@theme.add(f"""
+SELECT item, event_id, action, (SELECT count(*) FROM {QUEUE}) AS sent FROM {QUEUE} QUALIFY row_number() OVER (PARTITION BY item ORDER BY event_id DESC) = 1""")
+def snk_outbox_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an outbox forwards when it is drained as a stream in two runs, collapsed, and how many of its entries are marked as sent."""
+    spool, target, checkpoint = (shared_path(spark, label) for label in ("outbox", "outbox-target", "outbox-checkpoint"))
+    rows = _queue(spark, sf_dir).drop("user_id")
+    for part in (rows.filter("event_id % 3 = 0"), rows.filter("event_id % 3 <> 0")):
+        append(part, spool)
+        drain(spark.readStream.schema("item long, event_id long, action string").json(spool), target, ["item"], "event_id", checkpoint).start().awaitTermination()
+    marks = spark.read.parquet(f"{target}-sent").agg(F.count(F.lit(1)).alias("sent"))  # one row
+    return collapsed(spark.read.parquet(target).drop("batch"), ["item"], "event_id").crossJoin(F.broadcast(marks)).select("item", "event_id", "action", "sent")

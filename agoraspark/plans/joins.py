@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agoraspark.operators.matching import coread_pairs, ladder_lookup, not_in, positional_merge
+from agoraspark.operators.matching import coread_applied, coread_delta, coread_pairs, ladder_lookup, not_in, positional_merge
 from agoraspark.plans.base import EVENTS, Theme, events, table
+from agoraspark.sources.files import materialised
 
 theme = Theme()
 LADDER = [("seed", 0.0), ("sprout", 500000.0), ("branch", 1000000.0), ("oak", 2000000.0)]
@@ -51,14 +52,31 @@ SELECT x.item AS a, y.item AS b, count(*) AS pairs, CAST(sum(x.w * y.w) AS BIGIN
 ON ((x.uid = y.uid AND x.uid <> 0) OR x.session = y.session) AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 2""")
 def join_coread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items seen together by a user or in a session, with the sum of products of weights."""
-    visits = events(spark, sf_dir).filter("event_type = 'purchase'")
-    visits = visits.select(
+    return coread_pairs(_visits(spark, sf_dir), min_pairs=2)
+
+
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).filter("event_type = 'purchase'").select(
         F.when(F.col("user_id") % 5 == 0, 0).otherwise(F.col("user_id")).alias("uid"),
         F.concat_ws("-", (F.col("user_id") % 10).cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("session"),
         "item",
         F.least(F.round(F.col("value") * 100), F.lit(10000.0)).cast("long").alias("w"),
+        "event_id",
+        "user_id",
     )
-    return coread_pairs(visits, min_pairs=2)
+
+
+@theme.add(f"""
+WITH v AS (SELECT * FROM {VISITS.replace('SELECT CASE', 'SELECT event_id, user_id, CASE', 1)} WHERE NOT (user_id % 16 = 3 AND event_id % 7 = 3))
+SELECT x.item AS a, y.item AS b, count(*) AS pairs, CAST(sum(x.w * y.w) AS BIGINT) AS weight FROM v x JOIN v y
+ON ((x.uid = y.uid AND x.uid <> 0) OR x.session = y.session) AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 2""")
+def join_coread_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of items seen together after some users' visits came and others went, from its state before and signed changes."""
+    visits = _visits(spark, sf_dir)
+    came, went = (F.col("user_id") % 16 == 3) & (F.col("event_id") % 5 == 2), (F.col("user_id") % 16 == 3) & (F.col("event_id") % 7 == 3)
+    before, after, changed = visits.filter(~came), visits.filter(~went), visits.filter(came != went)
+    state = materialised(coread_pairs(before, min_pairs=1), "coread")
+    return coread_applied(state, coread_delta(before, after, changed)).filter("pairs >= 2")
 
 
 @theme.add("SELECT o_orderkey AS orderkey, l_partkey AS partkey, l_quantity AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1")

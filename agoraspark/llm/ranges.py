@@ -59,8 +59,13 @@ class Deal:
         self.bases = np.cumsum(self.parts) - self.parts
         self.shards = int(self.parts.sum())
 
+    def place(self, ids: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first shard of each id, and how many it has."""
+        at = np.maximum(np.searchsorted(self.firsts, ids, side="right"), min(1, len(self.firsts)))
+        at = np.where(missing, 0, at)
+        return self.bases[at].astype(np.int32), np.maximum(1, self.parts[at]).astype(np.int32)
+
     def of(self, ids: np.ndarray, missing: np.ndarray, salt: np.ndarray) -> np.ndarray:
         """The shard of each id. salt: what tells rows of one id apart; it decides only among the shards of one id."""
-        place = np.maximum(np.searchsorted(self.firsts, ids, side="right"), min(1, len(self.firsts)))
-        place = np.where(missing, 0, place)
-        return (self.bases[place] + salt % np.maximum(1, self.parts[place])).astype(np.int32)
+        bases, parts = self.place(ids, missing)
+        return (bases + salt % parts).astype(np.int32)

@@ -14,7 +14,8 @@ in every run; the page id itself stands in a header of its own. A target address
 the format wants, and its original goes into another header, from which it is read back.
 
 Null html counts as empty. A null page_id sorts first and is written without an id; its record is a revisit if a page
-with an id has its payload. A null url leaves the target header out. Payloads of any length pass; a task holds one record.
+with an id has its payload. Ids, or rows without one, that hold more than a shard are dealt over several by their payloads,
+and equal rows by their place in the table (which gives its rows in the same order when a lost task reads it again). A null url leaves the target header out. Payloads of any length pass; a task holds one record.
 Rows that tie in id and payload are in the order of their addresses. An empty table gives no files. Other columns are
 ignored, whatever their names.
 """
@@ -36,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agoraspark.llm.common import shared_folder, stored
+from agoraspark.llm.ranges import Deal, id_ranges
 
 MIN_REVISIT = 1000
 ROLL_BYTES = 256 << 20
 LEAST_SHARD = 1 << 20
-BUCKETS = 1 << 16
+EQUAL_ROWS = 1 << 40
 CRLF = b"\r\n"
 WRITTEN = "1970-01-01T00:00:00Z"  # pages carry no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,43 +55,6 @@ def shard_bytes(total: int) -> int:
     return max(LEAST_SHARD, int((total * (64 << 10)) ** 0.5))
 
 
-def shard_bounds(sizes: DataFrame) -> list[int]:
-    """First ids of all shards but the first one. sizes: page_id (not null), n (bytes).
-
-    Bytes are summed over BUCKETS ranges of ids; ranges heavier than a shard are summed again in finer ones, down to
-    single ids. About BUCKETS sums reach the driver at each level.
-    """
-    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    if low is None:
-        return []
-    target, width, heavy, leaves = shard_bytes(total), high - low + 1, [0], []
-    parent = F.lit(0).cast("long")
-    while heavy:
-        fine = max(1, -(-width // max(2, BUCKETS // len(heavy))))
-        offset = F.col("page_id") - F.lit(low)
-        key = (offset - offset % F.lit(fine)).cast("long")
-        level = sizes.filter(parent.isin(heavy)) if leaves or width < high - low + 1 else sizes
-        sums = level.groupBy(parent.alias("parent"), key.alias("key")).agg(F.sum("n").alias("n")).collect()
-        # keys of one parent that aren't multiples of its width are cut at it
-        heavy_next = []
-        for p, k, n in sums:
-            start = max(p, k)
-            if n > target and fine > 1:
-                heavy_next.append(start)
-            else:
-                leaves.append((start, n))
-        if heavy_next and fine == width:
-            break
-        parent, width, heavy = F.greatest(parent, key), fine, heavy_next
-    bounds, filled = [], 0
-    for start, n in sorted(leaves):
-        if filled and filled + n > target:
-            bounds.append(low + start)
-            filled = 0
-        filled += n
-    return bounds
-
-
 def _record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     lines = [b"WARC/1.1", f"WARC-Type: {kind}".encode(), *(f"{k}: {v}".encode() for k, v in headers), f"Content-Length: {len(block)}".encode()]
     return CRLF.join(lines) + CRLF + CRLF + block + CRLF + CRLF
@@ -187,17 +152,33 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll_bytes: int
     equal = stored(equal.select("digest", "n", "keep"), "equal-payloads")
     # repeats of the kept id are no revisits, a missing id is one
     notes = large.join(equal, ["digest", "n"]).filter("not page_id <=> keep").select("page_id", "digest", "keep").distinct()
-    least = slim.agg(F.min("page_id")).first()[0] or 0
-    bounds = np.array(shard_bounds(slim.select(F.coalesce("page_id", F.lit(least)).alias("page_id"), "n")), np.int64)
-
-    @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), side="right").astype(np.int32))
-
-    place = shard_of(F.coalesce("page_id", F.lit(least)))
-    noted = notes.select(place.alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "keep")
-    bodies = rows.select(place.alias("shard"), "page_id", F.sha1("payload").alias("digest"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("keep"))
-    dealt = bodies.unionByName(noted).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    total, missing = (n or 0 for n in slim.agg(F.sum("n"), F.sum(F.when(F.col("page_id").isNull(), F.col("n")))).first())
+    target = shard_bytes(total)
+    deal = Deal(id_ranges(slim.filter("page_id is not null").select(F.col("page_id").alias("id"), "n"), target), target, missing)
+    # equal rows that hold more than a shard: fewer than there are shards
+    heavy = slim.groupBy("page_id", "digest").agg(F.sum("n").alias("n")).filter(F.col("n") > target)
+    heavy = F.broadcast(stored(heavy.select("page_id", "digest", F.lit(True).alias("heavy")), "heavy-payloads"))
+
+    @F.pandas_udf("base int, parts int")
+    def place_of(ids: pd.Series, known: pd.Series) -> pd.DataFrame:
+        base, parts = deal.place(ids.to_numpy(np.int64), ~known.to_numpy(bool))
+        return pd.DataFrame({"base": base, "parts": parts})
+
+    place = place_of(F.coalesce("page_id", F.lit(0).cast("long")), F.col("page_id").isNotNull())
+    by_digest = F.pmod(F.xxhash64("digest"), F.col("at.parts"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        same = df["page_id"].eqNullSafe(heavy["page_id"]) & (df["digest"] == heavy["digest"])
+        return df.withColumn("at", place).join(heavy, same, "left").select(*(df[c] for c in df.columns), "at", "heavy")
+
+    every = F.sequence(F.lit(0).cast("long"), F.col("at.parts").cast("long") - 1)
+    noted = marked(notes).withColumn("part", F.explode(F.when(F.col("heavy"), every).otherwise(F.array(by_digest))))
+    bodied = rows.select("page_id", F.sha1("payload").alias("digest"), "url", "payload", F.monotonically_increasing_id().alias("nth"))
+    bodied = marked(bodied).withColumn("part", F.when(F.col("heavy"), F.pmod(F.xxhash64("nth"), F.col("at.parts"))).otherwise(by_digest))
+    shard = (F.col("at.base") + F.col("part")).cast("int").alias("shard")
+    noted = noted.select(shard, "part", "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "keep")
+    bodies = bodied.select(shard, "part", "page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("keep"))
+    dealt = bodies.unionByName(noted).repartitionById(deal.shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, note, last, row = _Writer(folder, roll_bytes), (None, None, None), None, 0
@@ -208,14 +189,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll_bytes: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*files, strict=True), kinds, strict=True)], [x.split()[0] for x in MANIFEST_SCHEMA.split(", ")])
 
         for batch in batches:
-            for shard, page_id, digest, kind, url, body, keep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, part, page_id, digest, kind, url, body, keep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not kind:
                     note = (page_id, digest, keep)
                     continue
                 refers_to = note[2] if note[:2] == (page_id, digest) else None
                 row = row + 1 if last == (page_id, digest) else 0
                 last = (page_id, digest)
-                yield from manifest(list(writer.add(shard, page_record(page_id, url, body, refers_to, row), len(body))))
+                number = part * EQUAL_ROWS + row  # apart from those of the other shards of this id
+                yield from manifest(list(writer.add(shard, page_record(page_id, url, body, refers_to, number), len(body))))
         yield from manifest(list(writer.close()))
 
     dealt.mapInArrow(run, MANIFEST_SCHEMA).write.parquet(f"{folder}/manifest")

@@ -240,11 +240,6 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, float, dict[str, float]]:
     return *fit_scorer(rows, np.array(targets)), posterior
 
 
-def quality_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, posterior (of good, by the labellers), score (of the trained scorer), keep (score of 0.5 or more), for every row."""
-    return _scored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), fit(docs)).withColumn("keep", F.col("score") >= 0.5)
-
-
 def _score(texts: list[str | None], model: tuple[np.ndarray, float, dict[str, float]]) -> tuple[list[float], list[float]]:
     """Posteriors and scores of texts."""
     weights, offset, post = model

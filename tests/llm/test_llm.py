@@ -126,12 +126,6 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(none, folder).count() == 0
 
 
-def test_shard_bounds_refine(spark):
-    sizes = spark.createDataFrame([(i, 1 << 18) for i in range(64)] + [(1 << 40, 1 << 18)], "page_id long, n long")
-    bounds = warc.shard_bounds(sizes)
-    assert 8 <= len(bounds) <= 40 and bounds == sorted(bounds) and max(np.diff([0, *bounds[:-1]])) <= 16
-
-
 def test_toxicity(spark, docs, odd, empty):
     words = ["plain", "green", "walks", "house", "river", "stone", "cloud", "bread"]
     rng = np.random.default_rng(3)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraspark.functions import markup
+from agoraspark.functions import guide, markup
 from agoraspark.functions import text as T
 from agoraspark.plans.base import AS_OF, EVENTS, Theme, events, table
 
@@ -109,6 +109,61 @@ def txt_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Pages as guides: list entries are claims, the menu and the footer are headings, the advertisement is a risk.
+GUIDE = """(SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(html, '<li>', '<claim tier="' || (page_id % 8) || CASE WHEN page_id % 3 = 0 THEN '" src="https://s.example/' || page_id ELSE '' END || '">'), '</li>', '</claim>'),
+  '<nav>', '<h2>More &amp; more</h2>'), '<footer>', '<h3>More, more</h3>'), '<h1>', '<h1>More more</h1><h1>'), '<div class="ad">', '<risk level="' || (CASE page_id % 6 WHEN 0 THEN 'low' WHEN 1 THEN 'Medical' WHEN 2 THEN 'unheard' WHEN 3 THEN '' ELSE 'none' END) || '"/>'),
+  '<article>', CASE WHEN page_id % 2 = 0 THEN '<spec cost="9" risk="' || (CASE page_id % 4 WHEN 0 THEN 'high' ELSE 'low' END) || '" time="" pro="yes"/>' ELSE '' END), '<title>', CASE WHEN page_id % 5 = 0 THEN '<tldr>' ELSE '<title>' END) AS html FROM pages WHERE html IS NOT NULL)"""
+
+
+@theme.add(f"""
+WITH g AS (SELECT page_id, html, html LIKE '%<tldr%' AS summary FROM {GUIDE}),
+c AS (SELECT page_id, list_transform(string_split(html, '<claim ')[2:], lambda x: split_part(x, '</claim>', 1)) AS raw, html, summary FROM g),
+t AS (SELECT page_id, html, summary, list_filter(list_transform(raw, lambda x: {{'tier': CASE WHEN page_id % 8 <= 5 THEN page_id % 8 ELSE 0 END, 'sourced': contains(split_part(x, '>', 1), 'src='), 'text': trim(regexp_replace(replace(replace(regexp_replace(substr(x, strpos(x, '>') + 1), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))}}), lambda x: x.text <> '') AS claims,
+  regexp_extract_all(html, '<risk level="([^"]*)"', 1) AS risks FROM c),
+h AS (SELECT page_id, html, summary, claims, list_transform(list_concat(list_transform(risks, lambda r: CASE WHEN r = '' THEN 'moderate' ELSE lower(r) END), CASE WHEN contains(html, '<spec ') THEN [CASE page_id % 4 WHEN 0 THEN 'high' ELSE 'low' END] ELSE [] END), lambda r: coalesce(list_position(['none', 'low', 'moderate', 'high', 'medical'], r), 0)) AS places,
+  trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS plain,
+  list_transform(regexp_extract_all(html, '(?s)<h[1-4]>(.*?)</h[1-4]>', 1), lambda x: trim(substr(trim(regexp_replace(lower(replace(replace(x, '&quot;', '"'), '&amp;', '&')), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), 1, 60))) AS bases FROM t),
+n AS (SELECT *, list_transform(bases, lambda b, i: b || CASE WHEN len(list_filter(bases[:i - 1], lambda o: o = b)) > 0 THEN '-' || len(list_filter(bases[:i], lambda o: o = b)) ELSE '' END) AS anchors, len(string_split(plain, ' ')) AS words FROM h)
+SELECT page_id, CAST(len(claims) AS BIGINT) AS claims, CAST(len(list_filter(claims, lambda x: x.sourced)) AS BIGINT) AS sourced, CAST(coalesce(list_sum(list_transform(claims, lambda x: x.tier)), 0) AS BIGINT) AS tiers,
+       md5(array_to_string(list_transform(claims, lambda x: x.text), chr(10))) AS claims_md5, md5(array_to_string(anchors, ' ')) AS anchors_md5,
+       ['none', 'low', 'moderate', 'high', 'medical'][nullif(coalesce(list_max(places), 0), 0)] AS risk, CASE WHEN contains(html, '<spec ') THEN 'cost,risk,pro' ELSE '' END AS spec,
+       CAST(words AS BIGINT) AS words, CAST(greatest(1, ceil(words / 220.0)) AS BIGINT) AS minutes, summary, summary OR len(claims) > 0 OR contains(html, '<spec ') AS is_guide FROM n""")
+def txt_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages offer as guides: claims with tiers and sources, contents, specification, worst risk, words and minutes."""
+    page = F.col("page_id")
+    level = F.when(page % 6 == 0, "low").when(page % 6 == 1, "Medical").when(page % 6 == 2, "unheard").when(page % 6 == 3, "").otherwise("none")
+    source = F.when(page % 3 == 0, F.concat(F.lit('" src="https://s.example/'), page.cast("string"))).otherwise("")
+    spec = F.concat(F.lit('<spec cost="9" risk="'), F.when(page % 4 == 0, "high").otherwise("low"), F.lit('" time="" pro="yes"/>'))
+    html = F.col("html")
+    for old, new in (
+        ("<li>", F.concat(F.lit('<claim tier="'), (page % 8).cast("string"), source, F.lit('">'))),
+        ("</li>", F.lit("</claim>")),
+        ("<nav>", F.lit("<h2>More &amp; more</h2>")),
+        ("<footer>", F.lit("<h3>More, more</h3>")),
+        ("<h1>", F.lit("<h1>More more</h1><h1>")),
+        ('<div class="ad">', F.concat(F.lit('<risk level="'), level, F.lit('"/>'))),
+        ("<article>", F.when(page % 2 == 0, spec).otherwise("")),
+        ("<title>", F.when(page % 5 == 0, "<tldr>").otherwise("<title>")),
+    ):
+        html = F.replace(html, F.lit(old), new)
+    rows = table(spark, sf_dir, "pages").filter("html is not null").select("page_id", guide.evidence(html).alias("e"))
+    count = lambda x: F.size(x).cast("long")
+    return rows.select(
+        "page_id",
+        count("e.claims").alias("claims"),
+        count(F.filter("e.claims", lambda x: x["source"].isNotNull())).alias("sourced"),
+        F.aggregate("e.claims", F.lit(0).cast("long"), lambda s, x: s + x["tier"]).alias("tiers"),
+        F.md5(F.array_join(F.transform("e.claims", lambda x: x["text"]), "\n").cast("binary")).alias("claims_md5"),
+        F.md5(F.array_join(F.transform("e.contents", lambda x: x["anchor"]), " ").cast("binary")).alias("anchors_md5"),
+        "e.risk",
+        F.array_join("e.spec", ",").alias("spec"),
+        F.col("e.words").cast("long").alias("words"),
+        F.col("e.minutes").cast("long").alias("minutes"),
+        "e.summary",
+        (F.col("e.summary") | (F.size("e.claims") > 0) | (F.size("e.spec") > 0)).alias("is_guide"),
+    )
+
+
 REVIEWED = "(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'medical' WHEN 1 THEN 'high' WHEN 2 THEN 'moderate' WHEN 3 THEN 'none' WHEN 4 THEN 'low' END AS risk, CASE WHEN doc_id % 7 <> 3 THEN CAST(doc_id % 1500 AS INTEGER) END AS days_ago FROM labels)"
 
 

@@ -8,14 +8,13 @@ import os
 import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED = "spark.agoraspark.shipped"
+from agoraspark.shipping import ship_package
+
 NO_ID = -(1 << 63)  # stands for a null doc_id in keys
 _STORED: list[tuple] = []  # context and path of what this process wrote
 
@@ -26,19 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give this package's source to the executors, once a session; they need not have it installed."""
-    if spark.conf.get(_SHIPPED, "") == spark.sparkContext.applicationId:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="ship-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for source in sorted(root.rglob("*.py")):
-            out.write(source, source.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(target))
-    spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as the cluster names it in spark.checkpoint.dir.
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agoraspark.shipping import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-31 00:00:00"
 
@@ -30,6 +32,7 @@ class Theme:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied parquet tables, by any path that Spark can read."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -25,36 +25,38 @@ def append(rows: DataFrame, spool: str) -> None:
     rows.write.mode("append").json(spool)
 
 
-class Capped(StatefulProcessor):
-    """Rows that count: fewer than cap of the key's rows counted within the last span seconds."""
-
-    def __init__(self, cap: int, span: int) -> None:
-        self.cap, self.span = cap, span
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.times = handle.getListState("times", "at long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["seconds", "row"])
-        times, kept = [t[0] for t in self.times.get()], []
-        for place, at in enumerate(frame["seconds"].tolist()):
-            if len(times) < self.cap or at - times[-self.cap] >= self.span:
-                times.append(int(at))
-                kept.append(place)
-        if kept:
-            for due in self.handle.listTimers():
-                self.handle.deleteTimer(due)
-            self.times.put([(t,) for t in times[-self.cap :]])
-            self.handle.registerTimer((times[-1] + self.span) * 1000)
-            yield frame.iloc[kept][["key", "row", "seconds"]]
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.times.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+def _processor(cap: int, span: int) -> StatefulProcessor:
+    """A processor of a class of its own, so that it travels whole to the processes that run it."""
+
+    class Capped(StatefulProcessor):
+        """Rows that count: fewer than cap of the key's rows counted within the last span seconds."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.times = handle.getListState("times", "at long")
+
+        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+            frame = pd.concat(list(rows)).sort_values(["seconds", "row"])
+            times, kept = [t[0] for t in self.times.get()], []
+            for place, at in enumerate(frame["seconds"].tolist()):
+                if len(times) < cap or at - times[-cap] >= span:
+                    times.append(int(at))
+                    kept.append(place)
+            if kept:
+                for due in self.handle.listTimers():
+                    self.handle.deleteTimer(due)
+                self.times.put([(t,) for t in times[-cap:]])
+                self.handle.registerTimer((times[-1] + span) * 1000)
+                yield frame.iloc[kept][["key", "row", "seconds"]]
+
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+            self.times.clear()
+            return iter([])
+
+        def close(self) -> None:
+            pass
+
+    return Capped()
 
 
 def capped(stream: DataFrame, key: str, row: str, seconds: str, cap: int, span: int, late: str = "1 hour") -> DataFrame:
@@ -66,7 +68,7 @@ def capped(stream: DataFrame, key: str, row: str, seconds: str, cap: int, span:
     rows = stream.select(F.col(key).alias("key"), F.col(row).alias("row"), F.col(seconds).cast("long").alias("seconds"), at.alias("at")).withWatermark("at", late)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"{n} {kinds[n]}" for n in ("key", "row", "seconds"))
-    return rows.groupBy("key").transformWithStateInPandas(Capped(cap, span), schema, "append", "EventTime")
+    return rows.groupBy("key").transformWithStateInPandas(_processor(cap, span), schema, "append", "EventTime")
 
 
 @contextmanager

@@ -37,14 +37,12 @@ def agg_event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total, round(sum(r_regionkey * o_totalprice), 2) AS weighted
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name""")
 def agg_joined_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count of facts and sum of a joined attribute along a chain of inner joins."""
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(
-        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
-    ).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    """Count of facts and sum of a joined attribute along a chain of inner joins; facts are summed by customer before they are joined."""
+    facts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("total"))
+    rows = facts.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.groupBy("n_name").agg(
-        F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"),
-        F.round(F.sum(F.col("r_regionkey") * F.col("o_totalprice")), 2).alias("weighted")
+        F.sum("orders").alias("orders"), F.round(F.sum("total"), 2).alias("total"), F.round(F.sum(F.col("r_regionkey") * F.col("total")), 2).alias("weighted")
     )
 
 

@@ -377,11 +377,11 @@ def fn_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@theme.add(f"SELECT item, 'grosse-' || item || '-ete' AS slug, count(*) AS n FROM {EVENTS} GROUP BY 1")
+@theme.add("""
+SELECT doc_id, trim(regexp_replace(strip_accents(replace(lower(substr(text, 1, 80)), 'ß', 'ss')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents WHERE text IS NOT NULL""")
 def fn_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names folded and joined by hyphens."""
-    name = F.concat(F.lit("Größe "), F.col("item").cast("string"), F.lit(" — Été!"))
-    return events(spark, sf_dir).groupBy("item").agg(F.count(F.lit(1)).alias("n")).select("item", T.slug(name).alias("slug"), "n")
+    """The beginnings of documents folded and joined by hyphens."""
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"))
 
 
 @theme.add("SELECT word, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 6)) AS word FROM documents) GROUP BY 1 QUALIFY row_number() OVER (ORDER BY docs DESC, word) <= 100")

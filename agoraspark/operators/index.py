@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from agoraspark.sources.files import file_marks, shared_path
 BUCKETS, SPLITS, BLOCK = 32, 4, 64
 POSTING = "id long, field string, word string, tf int, length int, positions array<int>"
 K1, B = 1.2, 0.75
-PREFIX, MOST_EDITS = 7, 2
+PREFIX = 7  # letters of a word of which some are deleted
 _BUILT: dict[tuple, Index] = {}
 
 
@@ -97,16 +98,18 @@ def build(docs: DataFrame, id_: str, fields: list[str]) -> Index:
     rows = _postings(docs, id_, fields)
     place = F.when(F.col("word") == "", -1).otherwise(bucket(F.col("word")))
     rows = rows.withColumn("bucket", place).withColumn("block", F.expr(f"id div {BLOCK}"))
-    dealt = rows.repartition(BUCKETS * SPLITS, "bucket", F.pmod(F.xxhash64("block"), F.lit(SPLITS))).sortWithinPartitions("bucket", "word", "block", "id")
+    # as many tasks as the rows want, up to SPLITS for a bucket
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SPLITS))).sortWithinPartitions("bucket", "word", "block", "id")
     dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
     stored = spark.read.parquet(f"{folder}/postings")
     lengths = stored.filter("bucket = -1")
-    known = {r["field"]: r for r in lengths.groupBy("field").agg(F.avg("length").alias("mean"), F.count(F.lit(1)).alias("n")).collect()}  # a row a field
+    known = {r["field"]: r for r in lengths.groupBy("field").agg(F.avg("length").alias("mean")).collect()}  # a row a field
     means = {f: known[f]["mean"] if f in known else 0.0 for f in fields}
-    index = Index(spark, folder, lengths.select("id").distinct().count() if len(fields) > 1 else sum(r["n"] for r in known.values()), means)
+    n = docs.filter(F.col(id_).isNotNull() & reduce(lambda a, b: a | b, (F.col(f).isNotNull() for f in fields))).count()
+    index = Index(spark, folder, n, means)
     most = F.max(F.col("tf") / _norm(index)).alias("most")
     maxima = stored.filter("bucket >= 0").groupBy("bucket", "word", "field", "block").agg(most, F.count(F.lit(1)).alias("n"), F.sum("tf").alias("total"))
-    maxima.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "word", "block").write.partitionBy("bucket").parquet(f"{folder}/maxima")
+    maxima.repartition("bucket").sortWithinPartitions("bucket", "word", "block").write.partitionBy("bucket").parquet(f"{folder}/maxima")
     vocabulary = index.table("maxima").groupBy("bucket", "word").agg(F.sum("n").alias("docs"), F.sum("total").alias("total"))
     vocabulary.write.parquet(f"{folder}/vocabulary")
     return index
@@ -228,7 +231,11 @@ def near_words(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
     """
     wanted = asked.select("asked", allowed(F.col("asked")).alias("most")).distinct()
     keys = F.when(F.col("most") == 0, F.array("asked")).when(F.col("most") == 1, deletions(F.col("asked"), 1)).otherwise(deletions(F.col("asked"), 2))
-    theirs = vocabulary.select("word", F.explode(deletions(F.col("word"), MOST_EDITS)).alias("key"))
+    # only words of lengths that can be met take part, with as many deletions as are asked for; lengths are few
+    lengths = wanted.filter("most > 0").select(F.length("asked").alias("n"), "most").distinct().collect()
+    met = sorted({r["n"] + d for r in lengths for d in range(-r["most"], r["most"] + 1)})
+    near = deletions(F.col("word"), max([r["most"] for r in lengths], default=0))
+    theirs = vocabulary.filter(F.length("word").isin(met)).select("word", F.explode(near).alias("key"))
     fuzzy = wanted.filter("most > 0").select("asked", "most", F.explode(keys).alias("key"))
     pairs = fuzzy.join(theirs, "key").filter(F.abs(F.length("asked") - F.length("word")) <= F.col("most")).select("asked", "most", "word").distinct()
     exact = wanted.filter("most = 0").join(vocabulary.select("word").distinct(), F.col("asked") == F.col("word")).select("asked", "most", "word")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from agoraspark.operators import cells
 from agoraspark.operators.vectors import centroids, cosine_top_k, cosine_within
 from agoraspark.plans.base import AS_OF, EVENTS, Theme, events, table
 
@@ -15,6 +16,13 @@ COS = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_inner_produ
 MET = f"(SELECT q.vec_id AS query, v.vec_id AS id, q.label AS q_label, v.label AS v_label, {COS.format('q.embedding', 'v.embedding')} AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)"
 
 
+@theme.add("SELECT count(*) AS vectors, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings WHERE list_inner_product(embedding, embedding) > 0")
+def vec_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cells of the vectors hold, which are built here if no search has done it before."""
+    held = cells.kept(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return held.vectors.agg(F.count(F.lit(1)).alias("vectors"), F.sum("id").alias("ids"))
+
+
 def _top(spark: SparkSession, sf_dir: str, k: int, floor: float = -1.0) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return cosine_top_k(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding", k, floor)

@@ -285,11 +285,22 @@ def snk_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE = """'{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}'"""
 
 
-@theme.add(f"SELECT CAST(sum(length({LINE}) + 1) AS BIGINT) AS bytes, count(*) AS n FROM events")
+@theme.add(f"SELECT CAST(sum(length({LINE}) + 1) AS BIGINT) AS bytes, count(*) AS n, coalesce(max(length({LINE}) + 1) <= 4000, true) AS bounded, true AS filled FROM events")
 def snk_json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lines in batches of 4,000 bytes and 50 rows at most; what all of them hold (tests hold each against its bounds)."""
-    batches = json_batches(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", 4000, 50)
-    return batches.filter("n <= 50 and bytes <= 4000").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    """JSON lines in batches of 4,000 bytes and 50 rows at most: what all of them hold, whether each is within its bounds, and whether
+    each but the last of its partition is filled, so that the longest line would not have fitted in as well."""
+    return batch_report(json_batches(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", 4000, 50), 4000, 50)
+
+
+def batch_report(batches: DataFrame, most_bytes: int, most_rows: int) -> DataFrame:
+    """bytes and n of all of json_batches(), bounded and filled."""
+    longest = F.max(F.array_max(F.transform(F.split("lines", "\n"), F.octet_length)) + 1)
+    least = F.min(F.when((F.col("n") < most_rows) & ~F.col("last"), F.col("bytes")))
+    bounded = (F.max("n") <= most_rows) & (F.max("bytes") <= most_bytes)
+    return batches.agg(
+        F.sum("bytes").alias("bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(bounded, F.lit(True)).alias("bounded"),
+        F.coalesce(least + longest > most_bytes, F.lit(True)).alias("filled")
+    )
 
 
 @theme.add("""

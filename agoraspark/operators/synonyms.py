@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MATCH = "array<struct<concept string, begin int, length int>>"
+_TYPE = pa.list_(pa.struct([("concept", pa.string()), ("begin", pa.int32()), ("length", pa.int32())]))
+WORDS = 1 << 16
 _END = ""  # no token is empty
 
 
@@ -51,11 +55,28 @@ def found(trie: dict, words: list[str]) -> list[tuple[str, int, int]]:
     return out
 
 
+def _cut(listed: pa.Array) -> Iterator[pa.Array]:
+    """Rows of WORDS words together, or one that has more, as only so many become Python objects at a time."""
+    after, first = np.cumsum(listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while first < len(listed):
+        end = max(first + 1, int(np.searchsorted(after, (after[first - 1] if first else 0) + WORDS, side="right")))
+        yield listed.slice(first, end - first)
+        first = end
+
+
+def _matches(trie: dict, rows: list[list[str] | None]) -> pa.Array:
+    every = [found(trie, w) if w else [] for w in rows]
+    flat = [m for row in every for m in row]
+    columns = [pa.array([m[i] for m in flat], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+    offsets = np.cumsum([0, *map(len, every)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(_TYPE.value_type)), type=_TYPE)
+
+
 def concepts(words: Column, trie: dict) -> Column:
     """The matches in an array of tokens. A null array has none."""
 
-    @F.pandas_udf(MATCH)
-    def run(listed: pd.Series) -> pd.Series:
-        return pd.Series([[] if w is None else [dict(zip(("concept", "begin", "length"), m, strict=True)) for m in found(trie, list(w))] for w in listed])
+    @F.arrow_udf(MATCH)
+    def run(listed: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_matches(trie, piece.to_pylist()) for piece in _cut(listed)] or [pa.array([], _TYPE)])
 
     return run(words)

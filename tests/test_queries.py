@@ -82,7 +82,7 @@ def test_overlaps_in_shards(spark):
 
     from agoraspark.plans.search import overlaps
 
-    held = spark.range(600).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(0), F.col("id") % 3)).cast("long").alias("item"))
+    held = spark.range(600).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") % 3)).alias("item"))
     listed = lambda df: sorted(map(tuple, df.collect()))
     rows = [tuple(r) for r in held.collect()]
     want = {}

@@ -30,9 +30,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MAX_STATES = 320_000
-MAX_PAIRS = 300_000
-MAX_PIECES = 200_000
+from agoraspark.llm.common import worker_tool
+
+MAX_STATES = 200_000
+MAX_PAIRS = 170_000
+MAX_PIECES = 120_000
 LONGEST_KEPT = 48
 DECODE_BLOCK = 8192
 EMIT_BYTES = 1024
@@ -324,9 +326,9 @@ class Utf8Stream:
         return out
 
 
-@lru_cache(2)
+@worker_tool
 def codec(path: str, pattern: str) -> Codec:
-    """A worker's codec, kept between batches and tasks."""
+    """A worker's codec, kept between batches and tasks, until the worker begins work of another kind."""
     made = Codec(read_ranks(path), pattern)
     gc.freeze()  # the trie stays, so the collector needn't walk it again and again
     return made

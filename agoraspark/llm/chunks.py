@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agoraspark.llm.common import NO_ID, row_key, stored, unclashing
+from agoraspark.llm.common import NO_ID, drop_tools, row_key, stored, unclashing
 
 REACH = 3
 LONGEST_WORDS = 64
@@ -119,6 +119,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """Every chunk of every text: doc_id and row (row_key), digest, place in bytes, words, and whether the text held it before (own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tools()
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for first in range(0, batch.num_rows, 256):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agoraspark.llm.common import row_key, stored, unclashing
+from agoraspark.llm.common import drop_tools, row_key, stored, unclashing
 from agoraspark.llm.components import connected_components
 
 SEED = 42
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1, sets: bool = Fa
     names = ["doc_id", "row", "fp"] + ["shingles"] * sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tools()
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part, prints, held = batch.slice(first, 1024), [], []
@@ -327,6 +328,7 @@ def near_links(rows: DataFrame, width: int, radius: int, max_total: int | None =
         return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tools()
         held: list[list[np.ndarray | None]] = []
         size = 0
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoraspark.llm import textvec
-from agoraspark.llm.common import stored, unit_hash
+from agoraspark.llm.common import drop_tools, stored, unit_hash
 
 BITS = 14
 SAMPLE_ROWS = 6000  # documents that the scorer is trained on, in expectation
@@ -147,6 +147,7 @@ def _votes_and_sample(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tools()
         schema = pa.schema([("votes", pa.string()), ("n", pa.int64()), ("place", pa.int64()), ("at", pa.binary()), ("x", pa.binary())])
         tally: dict[str, int] = {}
         given = set()
@@ -258,6 +259,7 @@ def quality_scores(docs: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))  # 2**14 weights, at most 3**9 patterns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tools()
         for batch in batches:
             posts, scores = _score(batch.column(1).to_pylist(), model.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(posts, pa.float64()), pa.array(scores, pa.float64())], ["doc_id", "posterior", "score"])
@@ -276,6 +278,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tools()
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)

@@ -15,24 +15,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from agoraspark.llm import bpe, chunks, decontaminate, simhash, weak_quality
-from agoraspark.llm.common import ship_package, stored, table
+from agoraspark.llm.common import bound_batches, ship_package, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label scorer rejects go."""
     ship_package(spark)
+    bound_batches(spark)
     return weak_quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the least doc_id."""
     ship_package(spark)
+    bound_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut out of the later ones."""
     ship_package(spark)
+    bound_batches(spark)
     return chunks.remove_runs(docs)
 
 
@@ -44,6 +47,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digests of ids and of decoded bytes."""
     ship_package(spark)
+    bound_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
